@@ -68,3 +68,23 @@ def split_running_sum(df: DataFrame, group: str, chunk: str, order: list, value:
         .withColumn(out, F.col(out) + F.col(base))
         .drop(base, val)
     )
+
+
+def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
+    """At most ``parts - 1`` ascending bounds that cut ``key`` into even ranges."""
+    if parts < 2:
+        return []
+    at = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(key, at, 20 * parts)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_number(key: Column, bounds: list[int]) -> Column:
+    """How many bounds lie below ``key``: its range, 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key)))
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

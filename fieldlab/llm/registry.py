@@ -1,7 +1,7 @@
 """Collects the queries of the subpackage for ``__spark_entry__``."""
 
-from fieldlab.llm import language_id, mixing, quality_rules, toxicity
+from fieldlab.llm import bpe, fingerprint, language_id, mixing, quality_rules, token_store, toxicity
 
-_MODULES = [language_id, toxicity, mixing, quality_rules]
+_MODULES = [bpe, language_id, toxicity, mixing, fingerprint, quality_rules, token_store]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
