@@ -251,29 +251,31 @@ def decode(encoded: DataFrame, keep: list[str], path: str | None = None) -> Data
     return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Digests of the ids and of the text decoded from them, in one pass over the texts."""
+def round_trip(docs: DataFrame, keep: list[str], path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``keep`` columns and digests of the ids and of the text decoded from them,
+    in one pass over the texts; also the ids themselves if asked for."""
     definition = load_definition(docs.sparkSession, path)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-
-    def digests(bpe, texts):
-        for ids in bpe.encode_batch(texts):
-            line = ",".join(map(bpe.text_of.__getitem__, ids)).encode()
-            yield len(ids), hashlib.sha256(line).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
         bpe = coder(definition.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                n, ids, decoded = zip(*digests(bpe, part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
+                ids = bpe.encode_batch(part.column("text").to_pylist())
+                lines = [hashlib.sha256(",".join(map(bpe.text_of.__getitem__, x)).encode()).hexdigest() for x in ids]
+                texts = [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]
+                cols = [pa.array(list(map(len, ids)), pa.int64()), pa.array(lines, pa.string()), pa.array(texts, pa.string())]
+                if with_ids:
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *cols], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(read(spark, sf_dir, "documents"))
+    return round_trip(read(spark, sf_dir, "documents"), ["doc_id"])
 
 
 QUERIES = {"op1_bpe": op1_bpe}

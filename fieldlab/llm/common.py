@@ -88,3 +88,13 @@ def range_number(key: Column, bounds: list[int]) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a few numbers that may be broadcast: some 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_broadcast(df: DataFrame, label: str) -> DataFrame:
+    """``df`` (rows of a few numbers) as a written table, with a broadcast hint if it is small."""
+    df = materialize(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlab.llm.common import materialize, n_words, read, split_running_sum
+from fieldlab.llm.common import materialize, n_words, read, small_broadcast, split_running_sum
 
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval for the lookup of points by an equi-join.
@@ -109,6 +109,15 @@ def taken_words(line: DataFrame, pieces: DataFrame) -> DataFrame:
     return line.join(pieces.groupBy(*row).agg(F.sum("words").alias("taken")), row, "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
+def whole_documents(docs: DataFrame, line: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them, to the nearest whole reading: rows of 0 to
+    ``max_epochs`` copies.  Rows of one doc_id are taken alike."""
+    copies = taken_words(line, pieces).where("size > 0 AND taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
+    copies = small_broadcast(copies.where(F.col("__copies") > 0).withColumnRenamed("doc_id", "__id"), "mix-copies")
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, _, pieces = mix(read(spark, sf_dir, "documents"))
     return taken_words(line, pieces).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.col("taken").cast("long"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import materialize, read, shuffle_parts
+from fieldlab.llm.common import materialize, read, shuffle_parts, small_broadcast
 
 #: Prefixes that hold a token before it counts as frequent.
 FREQUENT = 40
@@ -436,6 +436,20 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
     )
 
 
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the members of a component but its smallest doc_id.
+
+    ``found`` comes from similarity_components over the same rows.  Of rows
+    with equal doc_id and text one stays.
+    """
+    found = materialize(found.select("doc_id", "component_id"), "join-found")
+    gone = small_broadcast(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
+    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return similarity_components(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
