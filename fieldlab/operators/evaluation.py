@@ -7,6 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 CAUSES = ("modelAbsent", "emptyAsset", "decode", "timeout", "interpreter", "workerDeath")
@@ -173,7 +174,7 @@ def score_with(rows: DataFrame, columns: list[str], predict, keep: list[str]) ->
             out["probabilities"] = list(predict(f[columns]))
             yield out
 
-    schema = rows.select(*keep).schema.add("probabilities", "array<double>")
+    schema = rows.select(*keep).schema.add("probabilities", T.ArrayType(T.DoubleType()))
     return rows.select(*dict.fromkeys([*keep, *columns])).mapInPandas(run, schema)
 
 
