@@ -64,7 +64,7 @@ def lexicon_keys(text: str | None) -> set[str]:
 
 
 class Lexicon:
-    """Weights of words, stems and exception phrases (two words), with a link."""
+    """Weights of folded words, stems and exception phrases (two words), with a link."""
 
     def __init__(self, words: dict[str, float], phrases: set[str] = frozenset(), link: tuple[float, ...] = (0.0, 0.0, 0.0)):
         self.words, self.phrases, self.link, self._found = words, phrases, link, None
