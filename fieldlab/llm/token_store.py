@@ -19,8 +19,9 @@ doc_ids stand first; an empty table gives an empty store.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import zlib
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,8 +35,10 @@ from fieldlab.llm.pretoken import library_splitter, split_words
 
 #: A shard is closed once it holds this many ids.
 SHARD_IDS = 1 << 20
-#: Words whose ids a task keeps, in each of two generations.
-CACHE = 150_000
+#: Words whose ids a task keeps.
+CACHE = 500_000
+#: Words that the library is given in one line.
+RUN = 256
 #: The key that stands for a null doc_id.
 NO_KEY = -(1 << 63)
 SCHEMA = "part int, shard int, first_key long, last_key long, n_docs long, n_ids long, start long, width int, payload binary, keys binary, pilots binary, prints binary, offsets binary, counts binary"
@@ -137,10 +140,28 @@ def _shard_row(start: int, width: int, blobs: list[bytes], keys: list[int], ordi
 # --- encoding with the library ----------------------------------------------
 
 
+class _Codes(dict):
+    """Numbers words as they come up; the new ones wait in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        code = self[word] = len(self)
+        return code
+
+
 class LibraryEncoder:
-    """Ids of whole texts from the tokenizers library, asked once for each word."""
+    """Ids of whole texts from the tokenizers library, asked once for each word.
+
+    A word has a number; the ids of all numbered words lie in one array, from
+    which those of a batch of texts are gathered.
+    """
 
     def __init__(self, definition: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -148,27 +169,71 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = library_splitter(self.tokenizer)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.ids, self.ends = _Codes(), np.empty(0, self.kind), np.zeros(1, np.int64)
+
+    def _ask(self, words: list[str]) -> list[np.ndarray]:
+        """The library's ids of each word.
+
+        Words of a space and no other white space go in lines of RUN words: the
+        library splits them there again, and the ids that start with a space say
+        where a word begins.
+        """
+        out: list = [None] * len(words)
+        led = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        runs = [led[i : i + RUN] for i in range(0, len(led), RUN)]
+        lines = ["".join(map(words.__getitem__, run)) for run in runs]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) == len(run):
+                for i, a, b in zip(run, first.tolist(), [*first[1:].tolist(), len(ids)]):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, self.kind)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.codes) > CACHE:
+            self._forget()
         whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        words = [None if i in whole else split_words(t, self.split) for i, t in enumerate(texts)]
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        ask = []
-        for w in set(chain.from_iterable(x for x in words if x)).difference(self.new):
-            known = self.old.get(w)
-            if known is None:
-                ask.append(w)
-            else:
-                self.new[w] = known
-        for w, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            self.new[w] = np.array(e.ids, self.kind).tobytes()
-        known = self.new.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if w is None else b"".join(map(known, w)) for t, w in zip(texts, words)]
+        number = self.codes.__getitem__
+        codes = []
+        for i, t in enumerate(texts):
+            words = [] if i in whole else split_words(t, self.split)
+            codes.append(np.fromiter(map(number, words), np.int64, len(words)))
+        if self.codes.fresh:
+            new = self._ask(self.codes.fresh)
+            self.ids = np.concatenate([self.ids, *new])
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in new])))
+            self.codes.fresh = []
+        every = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        size = self.ends[every + 1] - self.ends[every]
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        flat = self.ids[np.repeat(self.ends[every] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        cut = (upto[np.cumsum([0, *map(len, codes)])] * self.width).tolist()
+        out = [flat[a:b] for a, b in zip(cut, cut[1:])]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.kind).tobytes()
+        return out
+
+
+_ENCODERS: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(definition: str) -> LibraryEncoder:
+    """One encoder for each vocabulary and Python worker."""
+    key = hashlib.sha256(definition.encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = LibraryEncoder(definition)
+    return _ENCODERS[key]
 
 
 def write_store(docs: DataFrame, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS, vocabulary: str | None = None) -> None:
@@ -181,7 +246,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, shard_ids: int = SH
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        encoder = LibraryEncoder(definition.value)
+        encoder = library_encoder(definition.value)
         end = np.array([end_id], encoder.kind).tobytes()
         now, shard, start, size, last, nth = None, 0, 0, 0, None, 0
         blobs, keys, ordinals = [], [], []
