@@ -8,7 +8,7 @@ NO_ADDRESS = "Localização não disponível"
 ADDRESS_LABEL = "Endereço não disponível"
 CLASS_LABEL = "Não classificado"
 COORDINATES_LABEL = "Coordenadas não disponíveis"
-SHARE_TITLE = "VisioSoil — análise de solo"
+SHARE_TITLE = "Análise de solo"
 DISCLAIMER = "Dicas de manejo consultivas, baseadas em fontes públicas. Não substituem avaliação técnica presencial."
 LOCALE = "pt-BR"
 BAND_LABELS = {"high": "Alta", "moderate": "Moderada", "low": "Baixa"}

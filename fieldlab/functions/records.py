@@ -81,10 +81,10 @@ def display_class() -> Column:
     return F.when(has_classification(), F.col("texture_class")).otherwise(CLASS_LABEL)
 
 
-def share_caption(include_location: bool = False) -> Column:
+def share_caption(include_location: bool = False, title: str = SHARE_TITLE) -> Column:
     """Title, class and date on a line each; the place only if asked for."""
     percent = F.when(F.col("confidence_score").isNotNull(), F.concat(F.lit(" ("), display_confidence(), F.lit(")"))).otherwise("")
-    lines = [F.lit(SHARE_TITLE), F.when(has_classification(), F.concat(F.lit("Classe: "), F.col("texture_class"), percent))]
+    lines = [F.lit(title), F.when(has_classification(), F.concat(F.lit("Classe: "), F.col("texture_class"), percent))]
     if include_location:
         lines += [F.when(has_valid_address(), F.concat(F.lit("Local: "), "address")), F.when(has_coordinates(), F.concat(F.lit("Coordenadas: "), display_coordinates()))]
     return F.concat_ws("\n", *lines, F.concat(F.lit("Data: "), display_stamp(F.col("timestamp"))))
