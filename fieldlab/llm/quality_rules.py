@@ -142,7 +142,10 @@ def fit_decision_list(x: np.ndarray, bad: np.ndarray, names: list[str], precisio
         on = left & _covers(x, rule)
         if not rule or bad[on].sum() < least or bad[on].mean() < precision:
             break
-        rules.append([(names[f], op, v) for f, op, v in rule])
+        tightest: dict[tuple[int, str], float] = {}
+        for f, op, v in rule:
+            tightest[f, op] = (min if op == "<=" else max)(v, tightest.get((f, op), v))
+        rules.append([(names[f], op, v) for (f, op), v in tightest.items()])
         left &= ~on
     return rules
 
