@@ -30,6 +30,7 @@ with a null doc_id gets a null component.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -242,29 +243,39 @@ def _keys(percent: int):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 cut = b.slice(lo, 1024)
-                reps, keys = [], []
+                reps, sizes, keys = [], [], []
                 for rep, n, shared in zip(cut.column("rep").to_pylist(), cut.column("n").to_pylist(), cut.column("shared")):
                     v = shared.values
                     at = v.field("at").to_numpy()
                     order = np.argsort(at)
                     k = index_keys(n, percent, at[order].astype(np.int64), v.field("token").to_numpy()[order].view(np.uint64), v.field("often").to_numpy(zero_copy_only=False)[order])
                     reps.append(np.full(len(k), rep, np.int64))
+                    sizes.append(np.full(len(k), n, np.int64))
                     keys.append(k.view(np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(reps))], names=["key", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, reps, sizes)], names=["key", "rep", "n"])
 
     return run
 
 
 def buckets(reps: DataFrame, percent: int) -> DataFrame:
-    """(key, rep): index keys that two or more representatives share, one key for each set of them."""
+    """(key, rep, m): index keys that m >= 2 representatives share, one key for each set of them.
+
+    Sizes of linked sets differ by a factor under 100 / percent, so each key is
+    split by the logarithm of the size, neighbouring classes together.
+    """
     tokens = reps.mapInArrow(_explode_zone, "token long, rep long, n long, at int")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = tokens.join(shared, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("at", "token", (F.col("df") > FREQUENT).alias("often"))).alias("shared"))
-    keys = materialize(known.mapInArrow(_keys(percent), "key long, rep long"), "join-keys")
-    members = keys.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
-    chosen = members.where("m > 1").groupBy("m", "s", "x").agg(F.min("key").alias("key")).select("key", "m")
-    return materialize(keys.join(chosen, "key"), "join-buckets")
+    keys = materialize(known.mapInArrow(_keys(percent), "key long, rep long, n long"), "join-keys")
+    # a little over the largest factor, so that rounding cannot put two classes between linked sizes
+    size = F.floor(F.ln("n") / math.log(100 / percent * 1.000001))
+    split = keys.select(F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1))).alias("key"), "rep").repartition(shuffle_parts(keys.sparkSession), "key")
+    several = split.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared_keys = materialize(split.join(several, "key"), "join-shared")
+    members = shared_keys.groupBy("key", "m").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
+    chosen = members.groupBy("m", "s", "x").agg(F.min("key").alias("key")).select("key")
+    return materialize(shared_keys.join(chosen, "key"), "join-buckets")
 
 
 def _hub_pairs(percent: int):
