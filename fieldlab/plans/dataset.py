@@ -185,3 +185,25 @@ def _(spark, d):
     fake = manifest(spark, d).where("photo % 4 = 1").select(F.concat(F.lit("s-"), "photo").alias("item"), F.col("photo").alias("parent"))
     of, _bad = D.inherit_split(fake, s)
     return of.select("item", "sample_group", "split", (F.col("split") == "test").alias("refused"))
+
+
+@query("manifest_format_diagnosis")
+def _(spark, d):
+    root = scratch(spark, "manifests")
+    m = manifest(spark, d).select("sample_id", "texture_class", F.col("path").alias("image"), "setting", F.concat(F.lit("São "), "site").alias("site"), "device")
+    m.write.option("header", True).csv(f"{root}/good")
+    m.write.option("header", True).option("sep", ";").csv(f"{root}/semicolon")
+    m.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{root}/latin")
+    found = M.manifest_format(spark, f"{root}/*/*.csv")
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "problem").distinct()
+
+
+@query("manifest_hash")
+def _(spark, d):
+    root = scratch(spark, "manifests")
+    manifest(spark, d).write.option("header", True).csv(root)
+    recorded = M.manifest_hash(spark, f"{root}/*.csv")
+    recorded.write.parquet(f"{root}-hashes")
+    again = M.manifest_hash(spark, f"{root}/*.csv").select("path", F.col("sha256").alias("now"))
+    both = spark.read.parquet(f"{root}-hashes").join(again, "path")
+    return both.agg(F.count("*").alias("files"), F.min(F.col("sha256") == F.col("now")).alias("unchanged"))
