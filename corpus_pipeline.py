@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from fieldlab.llm.common import materialize, read
+from fieldlab.llm.common import bounded_batches, materialize, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents scored at the threshold or over it go."""
+    bounded_batches(spark)
     labels = read(spark, sf_dir, "labels").where(toxicity.id_fold("doc_id", 3) != 1)
     lexicon = toxicity.learn_lexicon(docs.select("doc_id", "text"), labels)
     return toxicity.score_texts(docs, lexicon, docs.columns).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
@@ -23,23 +24,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: boilerplate lines go, documents stay; n_chars follows the text."""
+    bounded_batches(spark)
     cleaned = line_dedup.drop_boilerplate(docs)
     return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3 (five words, similarity 0.8): the smallest doc_id of each group stays."""
+    bounded_batches(spark)
     return ngram_join.keep_one(docs, ngram_join.similarity_components(docs, width=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: each document as often as the mix takes it, to the nearest whole reading."""
+    bounded_batches(spark)
     line, _, pieces = mixing.mix(docs)
     return mixing.whole_documents(docs, line, pieces)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: token ids of each document, with digests of ids and decoded text."""
+    bounded_batches(spark)
     return bpe.round_trip(docs, ["doc_id", "source"], with_ids=True)
 
 

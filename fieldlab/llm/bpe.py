@@ -32,6 +32,8 @@ from fieldlab.llm.pretoken import library_splitter, split_words
 
 #: Encoded words that a task keeps in each of two generations.
 CACHE = 150_000
+#: Pairs of tokens whose stability a task remembers.
+PAIRS = 500_000
 
 
 def vocabulary_path() -> str:
@@ -112,7 +114,7 @@ class TrieBpe:
                 before, right_next, right = b, True, halves[right][0]
             else:
                 break
-        if len(self.stable) > 2_000_000:
+        if len(self.stable) > PAIRS:
             self.stable.clear()
         self.stable[key] = good
         return good
