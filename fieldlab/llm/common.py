@@ -102,8 +102,8 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a few numbers that may be broadcast: some 16 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers that may be broadcast: some 50 MB as a hash table.
+BROADCAST_ROWS = 500_000
 
 
 def small_broadcast(df: DataFrame, label: str) -> DataFrame:

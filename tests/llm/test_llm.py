@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlab.llm import bpe, chat_tree, fingerprint, language_id, line_dedup, mixing, ngram_join, quality_rules, token_store, toxicity
+from fieldlab.llm import bpe, chat_tree, common, fingerprint, language_id, line_dedup, mixing, ngram_join, quality_rules, token_store, toxicity
 from fieldlab.llm.common import read
 from fieldlab.llm.registry import ORACLE_SQL, QUERIES
 
@@ -165,6 +165,7 @@ def test_components_by_brute_force(spark, monkeypatch, width, percent, seed, fre
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     monkeypatch.setattr(ngram_join, "HUB_DEAL", 5)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", -1 if seed == 2 else 300_000)
     texts = copies(seed)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_components(docs, width, percent).collect()}
@@ -284,7 +285,7 @@ def test_toxicity_of_odd_rows(spark, nasty, empty):
 # --- 7: mixing ---------------------------------------------------------------
 
 
-def test_mix_meets_targets(spark, nasty, empty):
+def test_mix_meets_targets(spark, nasty, empty, monkeypatch):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(0, 40), ["hot"] * 6 + ["b", "c", None]) for i in range(900)]
     docs = spark.createDataFrame([(i, t, s[i % 9]) for i, t, s in rows], "doc_id long, text string, source string")
@@ -300,6 +301,7 @@ def test_mix_meets_targets(spark, nasty, empty):
     assert len(slots) == len(set(slots))
     again = mixing.taken_words(*[x for k, x in enumerate(mixing.mix(docs)) if k != 1]).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     for df in (nasty, empty):
         line, _, pieces = mixing.mix(df)
         assert mixing.taken_words(line, pieces).count() == df.count()
