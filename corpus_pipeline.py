@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from fieldlab.llm import bpe, line_dedup, mixing, ngram_join, toxicity
 from fieldlab.llm.common import bounded_batches, materialize, read
 
+#: A line on over this share of a host's distinct pages, and at least so many of them, is boilerplate.
+LINE_RATIO, LINE_PAGES = 0.01, 5
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents scored at the threshold or over it go."""
@@ -25,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: boilerplate lines go, documents stay; n_chars follows the text."""
     bounded_batches(spark)
-    cleaned = line_dedup.drop_boilerplate(docs)
+    cleaned = line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES, distinct=True)
     return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

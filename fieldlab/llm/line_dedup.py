@@ -3,7 +3,10 @@
 A line is boilerplate on a host if at least ``min_pages`` of the host's pages
 hold it and these are more than ``ratio`` of all its pages.  Lines are compared
 without white space at their ends and known by a 64-bit hash; each page counts
-a line once.  Only (host, hash) pairs are shuffled, summed up before they move;
+a line once.  With ``distinct`` a host's pages of equal text are one page, so
+copies of a page do not turn its own lines into boilerplate.  Only (host, hash)
+pairs are shuffled, summed up before they move (with a hash of the text beside
+them if ``distinct``);
 the few boilerplate hashes of each host come back to the pages, as a broadcast
 where their number is under ``BROADCAST_LINES``, else by a join in which each
 host is dealt over ``SALTS`` keys.
@@ -36,22 +39,24 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(_ENDS)))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines.
 
     A host has at most (distinct lines of its average page) / ratio of them.
     """
     at = F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST)).alias("host")
-    pages = docs.groupBy(at).agg(F.count("*").alias("pages"))
+    page = F.xxhash64("text").alias("page")
+    pages = (docs.select(at, page).distinct() if distinct else docs).groupBy("host" if distinct else at).agg(F.count("*").alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_ENDS)) != ""), _key))
-    seen = docs.select(at, F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    seen = docs.select(at, page, F.explode(keys).alias("line"))
+    seen = (seen.distinct() if distinct else seen).groupBy("host", "line").agg(F.count("*").alias("n"))
     common = seen.where(F.col("n") >= min_pages).join(pages, "host").where(F.col("n") > F.col("pages") * ratio)
     return common.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """``docs`` with the cleaned ``text``, ``n_lines`` and ``n_dropped``; other columns stay."""
-    found = materialize(boilerplate(docs, host, ratio, min_pages), "boilerplate")
+    found = materialize(boilerplate(docs, host, ratio, min_pages, distinct), "boilerplate")
     total = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     names = {c: f"__{c}" for c in ("host", "lines", "salt")}
     found = found.withColumnsRenamed(names)

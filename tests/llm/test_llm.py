@@ -208,6 +208,17 @@ def test_both_ways_to_the_pages(spark, sf_dir, monkeypatch):
     assert all("menu" not in x and "body" in x and "n_dropped=2" in x for x in a)
 
 
+def test_pipeline_drops_lines_of_a_few_pages_in_a_hundred(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    body = {i: f"body {i}" + ("\nmenu" if i % 25 == 0 else "") + ("\nchance" if i < 4 else "") for i in range(200)}
+    body |= {i: "one page\nmany copies" for i in range(200, 220)}
+    docs = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in body.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in cp.drop_repeated_lines(spark, docs, sf_dir).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {i: t.replace("\nmenu", "") for i, t in body.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 # --- 5: chats ----------------------------------------------------------------
 
 
