@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlab.llm.common import materialize, n_words, read, small_broadcast, split_running_sum
+from fieldlab.llm.common import materialize, n_words, read, shuffle_parts, small_broadcast, split_running_sum
 
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval for the lookup of points by an equi-join.
 CELLS = 4096
 #: Slots that share a chunk when they are ranked.
 SLOT_CHUNK = 65536
+#: Blocks that were topped up come after all slots.
+TOP_UP = (1 << 63) - 1
 
 
 def cyclic_weights(rank: Column) -> Column:
@@ -111,11 +113,16 @@ def taken_words(line: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def whole_documents(docs: DataFrame, line: DataFrame, pieces: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them, to the nearest whole reading: rows of 0 to
-    ``max_epochs`` copies.  Rows of one doc_id are taken alike."""
-    copies = taken_words(line, pieces).where("size > 0 AND taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
-    copies = small_broadcast(copies.where(F.col("__copies") > 0).withColumnRenamed("doc_id", "__id"), "mix-copies")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*docs.columns)
+    ``max_epochs`` copies, each at the slot in which its reading begins; the
+    partitions are ranges of slots.  Rows of one doc_id are taken alike."""
+    row = ["source_no", "chunk", "row_no"]
+    reads = pieces.groupBy(*row, "epoch").agg(F.sum("words").alias("words"), F.min(F.coalesce("slot", F.lit(TOP_UP))).alias("slot"), F.min("block").alias("block"))
+    reads = reads.join(line.select(*row, "doc_id", "size", "at"), row).where(F.col("words") * 2 >= F.col("size"))
+    taken = reads.groupBy(F.col("doc_id").alias("__id"), "epoch").agg(F.min(F.struct("slot", "block", "source_no", "epoch", "at")).alias("__place"))
+    taken = small_broadcast(taken.select("__id", "__place"), "mix-copies")
+    order = ["__place", F.xxhash64("text")]
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return out.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

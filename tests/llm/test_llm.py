@@ -319,6 +319,28 @@ def test_mix_meets_targets(spark, nasty, empty, monkeypatch):
         assert mixing.whole_documents(df, line, pieces).columns == df.columns
 
 
+def test_whole_documents_come_in_slot_order(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(1, 40), "abc"[i // 300]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    line, _, pieces = mixing.mix(docs)
+    first, words = {}, Counter()
+    for r in pieces.collect():
+        k = r["doc_id"], r["epoch"]
+        words[k] += r["words"]
+        at = (r["slot"] is None, r["slot"] or 0, r["block"])
+        first[k] = min(first.get(k, at), at)
+    size = {i: t.count("w") for i, t, _ in rows}
+    want = sorted((at, i) for (i, e), at in first.items() if 2 * words[i, e] >= size[i])
+    got = [r["doc_id"] for r in mixing.whole_documents(docs, line, pieces).collect()]
+    assert Counter(got) == Counter(i for _, i in want)
+    place = {i: [at for at, k in want if k == i] for i in set(got)}
+    seen = [place[i].pop(0) for i in got]
+    assert seen == sorted(seen)
+    whole, part = (Counter(rows[i][2] for i in x) for x in (got, got[: len(got) // 4]))
+    assert all(abs(part[s] / len(got) * 4 - whole[s] / len(got)) < 0.1 for s in "abc")
+
+
 # --- 8: fingerprints ---------------------------------------------------------
 
 
