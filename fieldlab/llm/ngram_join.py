@@ -23,8 +23,9 @@ driver sees counts.
 
 Defined results: words are lower-cased (A-Z) runs of anything but ASCII white
 space; shorter texts are one shingle of all their words; null and wordless
-texts have no shingles and stay alone; repeated rows get one component; a row
-with a null doc_id gets a null component.
+texts have no shingles and stay alone; repeated rows get one component; texts
+that share a doc_id are linked each by itself; a row with a null doc_id gets a
+null component, but is linked (and dropped by ``keep_one``) like any other.
 """
 
 from __future__ import annotations
@@ -207,7 +208,7 @@ def _close(n_a, map_a, n_b, map_b, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest, zone, bitmap; the last two null where no other set can link."""
+    """doc_id, text_key, n, digest, zone, bitmap; the last two null where no other set can link."""
 
     def run(batches):
         for b in batches:
@@ -221,9 +222,9 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     alone = len(s) * (100 - percent) < percent
                     zones.append(None if alone else zone(s, percent).tobytes())
                     maps.append(None if alone else parity_bitmap(s))
-                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, zones, maps))], names=["doc_id", "n", "digest", "zone", "bitmap"])
+                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("text_key"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, zones, maps))], names=["doc_id", "text_key", "n", "digest", "zone", "bitmap"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, zone binary, bitmap binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, digest binary, zone binary, bitmap binary")
 
 
 def _explode_zone(batches):
@@ -423,11 +424,24 @@ def merge_components(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id
-    (smallest doc_id with an equal set), component_id (smallest doc_id reachable by links)."""
+    (smallest doc_id with an equal set), component_id (smallest doc_id reachable by links),
+    text_key (hash of the text) and stays (whether it is the first of its component by
+    doc_id, nulls last, and text_key).
+
+    Representatives go by their doc_id; where ids are null or repeated, by a hash of
+    their set, so that each text has its own.
+    """
     sets = materialize(_sets(docs, width, percent), "join-sets")
-    classes = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = sets.where("zone IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("zone").alias("zone"), F.first("bitmap").alias("bitmap")).drop("digest")
+    odd = sets.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    rep = F.xxhash64("digest").alias("rep") if odd else F.col("class_id").alias("rep")
+    classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), *([first] if odd else [])).select("*", rep)
+    reps = sets.where("zone IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("zone").alias("zone"), F.first("bitmap").alias("bitmap")).select("*", rep).drop("digest", "class_id")
     reps = materialize(reps, "join-reps")
+    if odd:
+        named = classes.select("rep", F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
+        docs = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))).select(F.col("rep").alias("doc_id"), "text")
+        docs = materialize(docs.dropDuplicates(["doc_id"]), "join-named")
     facts = reps.select("rep", "n", "bitmap")
     bucket = buckets(reps.select("rep", "n", "zone"), percent)
     comps = materialize(bucket.select("rep").distinct().withColumn("comp", F.col("rep")), "join-components")
@@ -441,22 +455,29 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
         pairs = materialize(cross_pairs(bucket, facts, comps, percent, nearest_only), "join-pairs")
         if pairs.limit(1).count():
             comps = merge_components(comps, verify(docs, pairs, width, percent))
-    of = classes.join(comps, "rep", "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
-    return sets.select("doc_id", "n", "digest").join(of, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), *(F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c) for c in ("class_id", "component_id"))
+    of = classes.join(comps, "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
+    stays = F.col("doc_id") == F.coalesce("component_id", "doc_id")
+    if odd:
+        of = materialize(of, "join-classes")
+        ids = of.groupBy("component_id").agg(F.min("class_id").alias("smallest"), F.min("first").alias("kept"))
+        of = of.join(ids, "component_id").drop("component_id").withColumnRenamed("smallest", "component_id")
+        stays = F.col("kept").isNull() | (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key")))
+    of = of.select("digest", "class_id", "component_id", *(["kept"] if odd else []))
+    return sets.select("doc_id", "text_key", "n", "digest").join(of, "digest", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), *(F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c) for c in ("class_id", "component_id")), "text_key", stays.alias("stays")
     )
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the members of a component but its smallest doc_id.
+    """``docs`` without the members of a component but its first (``stays``).
 
-    ``found`` comes from similarity_components over the same rows.  Of rows
-    with equal doc_id and text one stays.
+    ``found`` comes from similarity_components over the same rows.  Rows go by
+    doc_id and text; of rows with both equal (nulls too) one stays.
     """
-    found = materialize(found.select("doc_id", "component_id"), "join-found")
-    gone = small_broadcast(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
-    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    found = materialize(found.select("doc_id", "text_key", "stays"), "join-found")
+    gone = small_broadcast(found.where("NOT stays").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct(), "join-gone")
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
 

@@ -188,6 +188,17 @@ def test_components_of_odd_rows(nasty, empty):
     assert ngram_join.similarity_components(empty).count() == 0
 
 
+def test_texts_of_one_doc_id_stay_and_go_by_themselves(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    near = {k: t + " more" for k, t in text.items()}
+    rows = [(2, text["a"]), (5, text["a"]), (5, text["b"]), (7, near["b"]), (5, text["c"]), (None, text["d"]), (None, text["d"]), (None, near["d"]), (None, text["a"]), (None, text["e"]), (9, near["e"]), (11, text["f"]), (11, near["f"]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.keep_one(docs, ngram_join.similarity_components(docs)).collect()]
+    sure = {(2, text["a"]), (5, text["b"]), (5, text["c"]), (9, near["e"]), (None, None)}
+    assert sure <= set(got) and len(got) == len(sure) + 2
+    assert len({(None, text["d"]), (None, near["d"])} & set(got)) == 1 and len({(11, text["f"]), (11, near["f"])} & set(got)) == 1
+
+
 # --- 4: lines ----------------------------------------------------------------
 
 
