@@ -13,7 +13,8 @@ generations), so its memory does not grow with the corpus.
 
 Defined results: null texts encode as empty ones (no ids, empty decoded text);
 the strings of added tokens become their ids, as the library does; repeated
-rows are encoded one by one; surrogates cannot occur in Arrow strings.
+rows are encoded one by one; surrogates cannot occur in Arrow strings; a kept
+column that has an output's name keeps it, and the output gets an underscore.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlab.llm.common import read
+from fieldlab.llm.common import keep_and_add, read
 from fieldlab.llm.pretoken import library_splitter, split_words
 
 #: Encoded words that a task keeps in each of two generations.
@@ -49,11 +50,26 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check_byte_level(spec: dict) -> None:
+    """Raises for a vocabulary file that asks for more than the published byte-level split and plain merges."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = {
+        "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "normalizer": bool(spec.get("normalizer")),
+        "pre_tokenizer": split.get("type") != "ByteLevel" or split.get("add_prefix_space", False) or not split.get("use_regex", True),
+        "decoder": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+        "added_tokens": any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")),
+    }
+    if any(odd.values()):
+        raise ValueError(f"not a plain byte-level BPE: {', '.join(k for k, v in odd.items() if v)}")
+
+
 class TrieBpe:
     """Encoder and decoder for a vocabulary file (its JSON text)."""
 
     def __init__(self, definition: str, cache: int = CACHE):
         spec, byte_of = json.loads(definition), _byte_of()
+        check_byte_level(spec)
         raw = lambda s: bytes(byte_of[c] for c in s)
         vocab, added = spec["model"]["vocab"], spec["added_tokens"]
         self.added = {x["content"]: x["id"] for x in added}
@@ -226,7 +242,7 @@ def load_definition(spark: SparkSession, path: str | None = None):
 def encode(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """``keep`` columns and ``ids``, the token ids of each whole text."""
     definition = load_definition(docs.sparkSession, path)
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", ids array<int>"
+    rows, schema, names = keep_and_add(docs, keep, "ids array<int>")
 
     def run(batches):
         bpe = coder(definition.value)
@@ -234,31 +250,30 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFra
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = pa.array(bpe.encode_batch(part.column("text").to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids], names=[*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids], names=names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
-    """``keep`` columns and ``text`` from ``ids``; null ids decode to an empty text."""
+def decode(encoded: DataFrame, keep: list[str], path: str | None = None, ids: str = "ids") -> DataFrame:
+    """``keep`` columns and ``text`` from the column ``ids``; null ids decode to an empty text."""
     definition = load_definition(encoded.sparkSession, path)
-    schema = encoded.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", text string"
+    rows, schema, names = keep_and_add(encoded, keep, "text string", (ids,))
 
     def run(batches):
         bpe = coder(definition.value)
         for b in batches:
-            texts = pa.array([bpe.decode(x.as_py() or []) for x in b.column("ids")], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), texts], names=[*keep, "text"])
+            texts = pa.array([bpe.decode(x.as_py() or []) for x in b.column(ids)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), texts], names=names)
 
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, keep: list[str], path: str | None = None, with_ids: bool = False) -> DataFrame:
     """``keep`` columns and digests of the ids and of the text decoded from them,
     in one pass over the texts; also the ids themselves if asked for."""
     definition = load_definition(docs.sparkSession, path)
-    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    rows, schema, names = keep_and_add(docs, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def run(batches):
         bpe = coder(definition.value)
@@ -273,7 +288,7 @@ def round_trip(docs: DataFrame, keep: list[str], path: str | None = None, with_i
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *cols], names=names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

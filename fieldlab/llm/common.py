@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF, CR.
@@ -30,22 +32,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
+    """This application's folder among those that driver and executors share.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a
-    temporary folder is chosen and kept for the session.
+    It lies in what ``spark.checkpoint.dir`` names.  Where that is unset, as in
+    tests on one machine, a local master gets a temporary folder; a cluster has
+    to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not base:
-        base = tempfile.mkdtemp(prefix="fieldlab-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="fieldlab-"))
+    return f"{base.rstrip('/')}/fieldlab-{app}"
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; results that still read them are void after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -57,6 +72,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and other signs included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with underscores behind it until no taken name equals it (case aside)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keep_and_add(df: DataFrame, keep: list[str], added: str, read: tuple[str, ...] = ("text",)) -> tuple[DataFrame, T.StructType, list[str]]:
+    """What an Arrow pass over ``df`` reads, its result's schema and that schema's names.
+
+    The pass gets the ``keep`` columns and those of ``read``; its result has
+    the ``keep`` columns, then ``added`` (a list of DDL fields), renamed by
+    ``free_names`` where a kept column has the name already.
+    """
+    kept = df.select(*map(quoted, keep)).schema
+    new = T.StructType.fromDDL(added)
+    names = free_names(keep, *new.names)
+    schema = T.StructType([*kept.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, new.fields))])
+    return df.select(*map(quoted, dict.fromkeys([*keep, *read]))), schema, schema.names
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -91,11 +136,23 @@ def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def number_list(values: Iterable[int | None]) -> Column:
+    """A constant array of longs: one literal for the optimizer, however long it is."""
+    text = ",".join("" if v is None else str(v) for v in values)
+    return F.split(F.lit(text), ",").try_cast("array<bigint>")
+
+
 def range_number(key: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below ``key``: its range, 0 for null."""
+    """How many of the ascending ``bounds`` lie below ``key``: its range, 0 for null.
+
+    A binary search in one constant array: the expression is as large for
+    20,000 ranges as for two, and a row costs the logarithm of their number.
+    """
     if not bounds:
         return F.lit(0)
-    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key)))
+    at = number_list(bounds)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(at, n + step - 1) < key, n + step).otherwise(n))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -8,8 +8,8 @@ of the length codes, at most ``LENGTH_CAP``; the sum is bounded by ``FAR``,
 what unrelated digests come to, and scaled to a likeness of 0 to 1.
 
 The query also needs each document's successor in descending order of doc_id:
-rows go to ranges of doc_id, each range is sorted, and the first row of the
-range below is sent along as its last row's successor.
+rows go to ranges of doc_id, a task a range, each range is sorted, and the
+first row of the range below is sent along as its last row's successor.
 
 Defined results: null texts count as empty; texts under three bytes have an
 all-zero digest behind their length; equal texts have equal digests; rows of
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import range_bounds, range_number, read, shuffle_parts
+from fieldlab.llm.common import keep_and_add, number_list, range_bounds, range_number, read, shuffle_parts
 
 BUCKETS = 128
 LENGTH_CAP = 12
@@ -70,14 +70,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``fingerprint`` of each whole text; no shuffle."""
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", fingerprint string"
+    rows, schema, names = keep_and_add(docs, keep, "fingerprint string")
 
     def run(batches):
         for b in batches:
             found = [as_text(digest((x.as_py() or "").encode())) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(found, pa.string())], names=[*keep, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(found, pa.string())], names=names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def with_successor(docs: DataFrame) -> DataFrame:
@@ -89,16 +89,16 @@ def with_successor(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bounds = range_bounds(docs, "doc_id", parts)
     docs = docs.withColumn("part", range_number(F.col("doc_id"), bounds))
-    # one row a part
+    # one row a range: its largest doc_id, and the range above whose last row it follows
     top = sorted(tuple(r) for r in docs.groupBy("part").agg(F.max("doc_id")).collect())
-    above = {part: top[(i + 1) % len(top)][0] for i, (part, _) in enumerate(top)}
-    leads = F.lit(False)
-    for part, most in top:
-        leads = leads | ((F.col("part") == part) & F.col("doc_id").eqNullSafe(F.lit(most)))
-    to = F.element_at(F.create_map(*(F.lit(x) for kv in above.items() for x in kv)), F.col("part")) if above else F.lit(None).cast("int")
-    both = F.when(leads, F.array(F.struct("part", F.lit(0).alias("extra")), F.struct(to.alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct("part", F.lit(0).alias("extra"))))
+    most, above = [None] * parts, [None] * parts
+    for i, (part, largest) in enumerate(top):
+        most[part], above[part] = largest, top[(i + 1) % len(top)][0]
+    leads = F.col("doc_id").eqNullSafe(F.get(number_list(most), F.col("part")))
+    own, lead = F.struct("part", F.lit(0).alias("extra")), F.struct(F.get(number_list(above), F.col("part")).cast("int").alias("part"), F.lit(1).alias("extra"))
+    both = F.when(leads, F.array(own, lead)).otherwise(F.array(own))
     rows = docs.select("doc_id", "text", F.explode(both).alias("to")).select("to.*", "doc_id", "text")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def _edited(text: str, nxt: str) -> str:

@@ -12,7 +12,8 @@ The driver holds one profile of ``TOP`` n-grams a language.
 
 Defined results: a null text or one without a letter is ``und`` with score 0,
 as is everything when nothing is labelled; equal distances go to the smaller
-language name; equal counts rank by n-gram code.
+language name; equal counts rank by n-gram code; a kept
+column that has an output's name keeps it, and the output gets an underscore.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlab.llm.common import read
+from fieldlab.llm.common import keep_and_add, read
 
 TOP = 300
 SAMPLE = 2000
@@ -114,14 +115,14 @@ def learn_profiles(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Pro
 
 def identify(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
     """``keep`` columns with lang_pred and score; reads no other column but text."""
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", lang_pred string, score double"
+    rows, schema, names = keep_and_add(docs, keep, "lang_pred string, score double")
 
     def run(batches):
         for b in batches:
             found = [profiles.predict(x.as_py()) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

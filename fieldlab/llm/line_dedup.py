@@ -11,9 +11,13 @@ the few boilerplate hashes of each host come back to the pages, as a broadcast
 where their number is under ``BROADCAST_LINES``, else by a join in which each
 host is dealt over ``SALTS`` keys.
 
+A page's boilerplate is looked up once for the page (a hash set), not once a line.
+
 Defined results: blank lines are never dropped; a null text stays null, an
 empty one empty; the null host is a host of its own; repeated rows are pages
-of their own; a page of nothing but boilerplate is left with an empty text.
+of their own; a page of nothing but boilerplate is left with an empty text; a
+url without a host belongs to the null host; columns of the pages that are
+called as an output stay, and the output gets an underscore.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import materialize, read
+from fieldlab.llm.common import free_names, materialize, quoted, read
 
 RATIO, MIN_PAGES = 0.1, 5
 #: Most hashes that are broadcast: 8 MB.
@@ -39,12 +43,21 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(_ENDS)))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+def host_of(url: Column) -> Column:
+    """The host of a url in lower case, without port; null if it has none."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def _at(host: str | Column) -> Column:
+    return F.coalesce((quoted(host) if isinstance(host, str) else host).cast("string"), F.lit(_NO_HOST))
+
+
+def boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines.
 
     A host has at most (distinct lines of its average page) / ratio of them.
     """
-    at = F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST)).alias("host")
+    at = _at(host).alias("host")
     page = F.xxhash64("text").alias("page")
     pages = (docs.select(at, page).distinct() if distinct else docs).groupBy("host" if distinct else at).agg(F.count("*").alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_ENDS)) != ""), _key))
@@ -54,26 +67,29 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     return common.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """``docs`` with the cleaned ``text``, ``n_lines`` and ``n_dropped``; other columns stay."""
     found = materialize(boilerplate(docs, host, ratio, min_pages, distinct), "boilerplate")
     total = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    names = {c: f"__{c}" for c in ("host", "lines", "salt")}
-    found = found.withColumnsRenamed(names)
-    left = docs.withColumn("__at", F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST)))
+    at, deal, b_host, b_lines, b_salt, kept = free_names(docs.columns, "__at", "__deal", "__host", "__lines", "__salt", "__kept")
+    found = found.withColumnsRenamed({"host": b_host, "lines": b_lines})
+    left = docs.withColumn(at, _at(host))
     if total <= BROADCAST_LINES:
-        joined = left.join(F.broadcast(found), F.col("__at") == F.col("__host"), "left")
+        joined = left.join(F.broadcast(found), F.col(at) == F.col(b_host), "left")
     else:
-        left = left.withColumn("__deal", F.pmod(F.xxhash64("text"), F.lit(SALTS)))
-        found = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = left.join(found, (F.col("__at") == F.col("__host")) & (F.col("__deal") == F.col("__salt")), "left").drop("__salt", "__deal")
-    known = F.coalesce("__lines", F.array().cast("array<bigint>"))
-    kept = F.filter(_lines(F.col("text")), lambda x: (F.btrim(x, F.lit(_ENDS)) == "") | ~F.array_contains(known, _key(x)))
-    before = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long")
-    out = joined.withColumn("__kept", F.when(F.col("text").isNotNull(), kept))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(before).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
-    return out.withColumn("text", F.array_join("__kept", "\n")).select(*docs.columns, "n_lines", "n_dropped")
+        left = left.withColumn(deal, F.pmod(F.xxhash64("text"), F.lit(SALTS)))
+        found = found.withColumn(b_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = left.join(found, (F.col(at) == F.col(b_host)) & (F.col(deal) == F.col(b_salt)), "left")
+    lines = _lines(F.col("text"))
+    bad = F.array_intersect(F.transform(lines, _key), F.coalesce(b_lines, F.array().cast("array<bigint>")))
+    # the one-element array binds a page's hits to a name, so they are found once a page
+    left_over = F.transform(F.array(bad), lambda hits: F.filter(lines, lambda x: (F.btrim(x, F.lit(_ENDS)) == "") | ~F.array_contains(hits, _key(x))))
+    n_lines, n_dropped = free_names(docs.columns, "n_lines", "n_dropped")
+    out = joined.withColumn(kept, F.when(F.col("text").isNotNull(), F.get(left_over, F.lit(0))))
+    out = out.withColumn(n_lines, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    out = out.withColumn(n_dropped, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col(n_lines) - F.size(kept)).cast("long"))
+    out = out.withColumn(n_lines, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col(n_lines)).cast("long"))
+    return out.withColumn("text", F.array_join(kept, "\n")).select(*map(quoted, docs.columns), n_lines, n_dropped)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

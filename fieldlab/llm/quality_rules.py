@@ -12,7 +12,8 @@ Statistics and verdicts cover every document.
 
 Defined results: a null or empty text has no words and fails the base rules;
 lines are split at ``\\n`` only; without labels of both kinds the list is empty
-and keeps whatever passes the base rules; repeated rows are judged one by one.
+and keeps whatever passes the base rules; repeated rows are judged one by one;
+kept columns that have a name of this operator's get an underscore.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import materialize, read
+from fieldlab.llm.common import free_names, keep_and_add, materialize, quoted, read
 
 #: Labelled rows of each label that a list is fitted on, at most.
 SAMPLE = 10_000
@@ -42,6 +43,7 @@ FEATURES = {
     "mean_word": "word_chars / n_words",
     "n_words": "n_words",
 }
+VERDICTS = ("rule", "base_failed", "kept")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -76,16 +78,21 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and the counts of its texts, in one pass without a shuffle."""
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", " + STATS
-    names = [x.split()[0] for x in STATS.split(", ")]
+    """``keep`` columns of ``docs`` and the counts of its texts, in one pass without a shuffle.
+
+    Kept columns that have a name of this operator's get an underscore.
+    """
+    free = free_names([*(x.split()[0] for x in STATS.split(", ")), *FEATURES, *VERDICTS], *keep)
+    docs = docs.select(*(quoted(k).alias(n) for k, n in zip(keep, free)), *["text"] * ("text" not in keep))
+    rows, schema, names = keep_and_add(docs, free, STATS)
+    n_stats = len(names) - len(keep)
 
     def run(batches):
         for b in batches:
-            rows = zip(*(text_stats(x.as_py()) for x in b.column("text"))) if b.num_rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(x, pa.int64()) for x in rows)], names=[*keep, *names])
+            stats = zip(*(text_stats(x.as_py()) for x in b.column("text"))) if b.num_rows else [()] * n_stats
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in free), *(pa.array(x, pa.int64()) for x in stats)], names=names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def with_features(stats: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def labelled_sample(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE
     """At most ``sample`` labelled rows of each label, by a hash of doc_id."""
     want = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [want.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    return featured.join(chosen[0].union(chosen[1]), "doc_id").select("doc_id", "quality", *FEATURES)
+    return featured.select("doc_id", *FEATURES).join(chosen[0].union(chosen[1]), "doc_id").select("doc_id", "quality", *FEATURES)
 
 
 def learn_rules(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE, **fit) -> list[list[tuple[str, str, float]]]:

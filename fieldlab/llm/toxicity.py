@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import materialize, read
+from fieldlab.llm.common import keep_and_add, materialize, read
 from fieldlab.llm.language_id import fold as id_fold
 
 #: Labelled rows of each label that the model is fitted on, at most.
@@ -153,7 +153,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, leas
     """Fits on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic)."""
     want = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [want.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * sample short rows
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * sample short rows
     rows = rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = materialize(rows.withColumn("fit", F.substring("key", 1, 1).isin(*"0123456789")).drop("key"), "toxicity-sample")
     fit = rows.where("fit")
@@ -194,13 +194,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, leas
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """``keep`` columns and the score; reads no other column but text."""
-    schema = docs.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", score double"
+    rows, schema, names = keep_and_add(docs, keep, "score double")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([lexicon.score(x.as_py()) for x in b.column("text")], pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([lexicon.score(x.as_py()) for x in b.column("text")], pa.float64())], names=names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
