@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from fieldlab.llm.common import bounded_batches, materialize, read
+from fieldlab.llm.common import bounded_batches, free_names, materialize, quoted, read
 
 #: A line on over this share of a host's distinct pages, and at least so many of them, is boilerplate.
 LINE_RATIO, LINE_PAGES = 0.01, 5
@@ -22,14 +22,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     labels = read(spark, sf_dir, "labels").where(toxicity.id_fold("doc_id", 3) != 1)
     lexicon = toxicity.learn_lexicon(docs.select("doc_id", "text"), labels)
-    return toxicity.score_texts(docs, lexicon, docs.columns).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free_names(docs.columns, "score")[0]
+    return toxicity.score_texts(docs, lexicon, docs.columns).where(F.col(score) < toxicity.THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: boilerplate lines go, documents stay; n_chars follows the text."""
     bounded_batches(spark)
     cleaned = line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES, distinct=True)
-    return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_dropped = free_names(docs.columns, "n_lines", "n_dropped")[1]
+    return cleaned.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
