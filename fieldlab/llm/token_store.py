@@ -8,18 +8,26 @@ members to slots of their own, and a slot holds offset, count and a 32-bit
 fingerprint that turns strange keys away.  So one key costs two hashes and one
 slice, however many documents a shard has.
 
-Texts move once, to ranges of doc_id; ids are written by the task that made
-them.  The driver sees one total for each range, to place the ranges one after
-the other.
+Texts move once, to ranges of doc_id, a task a range; ids are written by the
+task that made them.  The driver sees one row for each range, to place the
+ranges one after the other.
+
+Ids come from the tokenizers library.  For a plain byte-level BPE the encoding
+of a text is that of its words, end to end, so each worker asks the library for
+a word once; every ``VERIFY``-th text (by its checksum) also goes to the
+library whole, and a difference stops the job.  With ``whole``, or for any
+other kind of vocabulary, every text goes to the library whole.
 
 Defined results: null texts count as empty and hold the end id alone; rows of
 one doc_id stand in order of text and are told apart by their ordinal; null
-doc_ids stand first; an empty table gives an empty store.
+doc_ids stand first; an empty table gives an empty store; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from pathlib import Path
@@ -29,20 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.bpe import vocabulary_path
-from fieldlab.llm.common import new_path, range_bounds, range_number, read, shuffle_parts
+from fieldlab.llm.bpe import check_byte_level, vocabulary_path
+from fieldlab.llm.common import BROADCAST_ROWS, materialize, new_path, number_list, range_bounds, range_number, read, shuffle_parts
 from fieldlab.llm.pretoken import library_splitter, split_words
 
 #: A shard is closed once it holds this many ids.
 SHARD_IDS = 1 << 20
 #: Words whose ids a task keeps.
 CACHE = 500_000
+#: One text in so many is encoded both by words and whole.
+VERIFY = 64
 #: Words that the library is given in one line.
 RUN = 256
 #: The key that stands for a null doc_id.
 NO_KEY = -(1 << 63)
-SCHEMA = "part int, shard int, first_key long, last_key long, n_docs long, n_ids long, start long, width int, payload binary, keys binary, pilots binary, prints binary, offsets binary, counts binary"
-_FIELDS = ["first_key", "last_key", "n_docs", "n_ids", "start", "width", "payload", "keys", "pilots", "prints", "offsets", "counts"]
+SCHEMA = "part int, shard int, first_key long, last_key long, first_nth long, n_docs long, n_ids long, start long, width int, payload binary, keys binary, pilots binary, prints binary, offsets binary, counts binary"
 
 
 # --- minimal perfect hash ---------------------------------------------------
@@ -103,7 +112,7 @@ class Shard:
     """Keyed access to one shard row (a mapping of the columns of SCHEMA)."""
 
     def __init__(self, row):
-        self.n = row["n_docs"]
+        self.n, self.first_key, self.first_nth = row["n_docs"], row["first_key"], row["first_nth"]
         self.ids = np.frombuffer(row["payload"], f"<u{row['width']}")
         self.keys = np.frombuffer(row["keys"], "<i8").reshape(2, -1)
         self.pilots, self.prints = np.frombuffer(row["pilots"], "<u4"), np.frombuffer(row["prints"], "<u4")
@@ -115,6 +124,20 @@ class Shard:
         at = slots(h, self.pilots, self.n)
         return np.where(self.prints[at] == prints_of(h), at, -1)
 
+    def find_all(self, keys: np.ndarray) -> list[tuple[int, int]]:
+        """(key, slot) of every document of the given keys, in order of ordinals.
+
+        A key's ordinals start at 0, but for the first key of the shard, which
+        may have begun in the shard before.
+        """
+        k, nth, found = keys, np.where(keys == self.first_key, self.first_nth, 0), []
+        while len(k):
+            at = self.find(k, nth)
+            k, nth, at = k[at >= 0], nth[at >= 0], at[at >= 0]
+            found += zip(k.tolist(), at.tolist())
+            nth = nth + 1
+        return found
+
     def get(self, slot: int) -> np.ndarray:
         a = int(self.offsets[slot])
         return self.ids[a : a + int(self.counts[slot])]
@@ -131,7 +154,7 @@ def _shard_row(start: int, width: int, blobs: list[bytes], keys: list[int], ordi
     for p, v in zip(placed, (prints_of(h), offsets, counts)):
         p[at] = v
     return {
-        "first_key": keys[0], "last_key": keys[-1], "n_docs": len(k), "n_ids": int(counts.sum()), "start": start, "width": width,
+        "first_key": keys[0], "last_key": keys[-1], "first_nth": ordinals[0], "n_docs": len(k), "n_ids": int(counts.sum()), "start": start, "width": width,
         "payload": b"".join(blobs), "keys": np.stack([k, o]).astype("<i8").tobytes(), "pilots": pilots.astype("<u4").tobytes(),
         "prints": placed[0].tobytes(), "offsets": placed[1].tobytes(), "counts": placed[2].tobytes(),
     }
@@ -154,13 +177,13 @@ class _Codes(dict):
 
 
 class LibraryEncoder:
-    """Ids of whole texts from the tokenizers library, asked once for each word.
+    """Ids of texts from the tokenizers library, asked once for each word or for whole texts.
 
     A word has a number; the ids of all numbered words lie in one array, from
     which those of a batch of texts are gathered.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, whole: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -173,6 +196,11 @@ class LibraryEncoder:
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = library_splitter(self.tokenizer)
+        try:
+            check_byte_level(json.loads(definition))
+            self.whole = whole
+        except ValueError:
+            self.whole = True
         self._forget()
 
     def _forget(self) -> None:
@@ -200,7 +228,20 @@ class LibraryEncoder:
             out[i] = np.array(e.ids, self.kind)
         return out
 
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.whole:
+            return self.encode_whole(texts)
+        out = self._encode_words(texts)
+        sure = [i for i, t in enumerate(texts) if zlib.crc32(t.encode()) % VERIFY == 0]
+        for i, ids in zip(sure, self.encode_whole([texts[i] for i in sure])):
+            if ids != out[i]:
+                raise ValueError(f"ids of the words of a text differ from those of the text: {texts[i][:200]!r}")
+        return out
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
         if len(self.codes) > CACHE:
             self._forget()
         whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
@@ -228,25 +269,25 @@ class LibraryEncoder:
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
-def library_encoder(definition: str) -> LibraryEncoder:
+def library_encoder(definition: str, whole: bool = False) -> LibraryEncoder:
     """One encoder for each vocabulary and Python worker."""
-    key = hashlib.sha256(definition.encode()).hexdigest()
+    key = hashlib.sha256(definition.encode()).hexdigest() + str(whole)
     if key not in _ENCODERS:
-        _ENCODERS[key] = LibraryEncoder(definition)
+        _ENCODERS[key] = LibraryEncoder(definition, whole)
     return _ENCODERS[key]
 
 
-def write_store(docs: DataFrame, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS, vocabulary: str | None = None) -> None:
+def write_store(docs: DataFrame, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS, vocabulary: str | None = None, whole: bool = False) -> None:
     """Encodes ``docs`` (doc_id, text) and writes a store to ``path``."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     definition = spark.sparkContext.broadcast(Path(vocabulary or vocabulary_path()).read_text(encoding="utf-8"))
     part = range_number(F.col("doc_id"), range_bounds(docs, "doc_id", parts))
     rows = docs.select(part.cast("int").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        encoder = library_encoder(definition.value)
+        encoder = library_encoder(definition.value, whole)
         end = np.array([end_id], encoder.kind).tobytes()
         now, shard, start, size, last, nth = None, 0, 0, 0, None, 0
         blobs, keys, ordinals = [], [], []
@@ -308,35 +349,35 @@ def read_documents(store: DataFrame) -> DataFrame:
     return store.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(store: DataFrame, keys: list[int]) -> DataFrame:
-    """(doc_id, ids) of the asked keys; strange keys give no row.
+def lookup(store: DataFrame, keys: DataFrame | list[int]) -> DataFrame:
+    """(doc_id, ids) of the asked keys (a list, or the column doc_id of a table); strange keys give no row.
 
-    Shards whose key range holds none of the keys are pruned by their footer
-    statistics; the others answer each key in constant time.
+    Keys go to their range by a binary search over the last keys of the ranges
+    (one row a range comes to the driver), to their shard by the first and last
+    keys within that range, and are then found by hash.  Shards outside the
+    span of all keys are pruned by their footer statistics.
     """
-    asked = sorted(set(keys))
-    near = F.lit(False)
-    for k in asked:
-        near = near | ((F.col("first_key") <= k) & (F.col("last_key") >= k))
+    spark = store.sparkSession
+    asked = keys if isinstance(keys, DataFrame) else spark.createDataFrame([(int(k),) for k in keys], "doc_id long")
+    asked = materialize(asked.select(F.col("doc_id").cast("long").alias("key")).where("key IS NOT NULL").distinct(), "store-keys")
+    least, most, n = asked.agg(F.min("key"), F.max("key"), F.count("*")).first()
+    ranges = sorted((r["last"], r["part"]) for r in store.groupBy("part").agg(F.max("last_key").alias("last")).collect())
+    place = F.get(number_list(part for _, part in ranges), range_number(F.col("key"), [last for last, _ in ranges]))
+    asked = asked.withColumn("part", place.cast("int"))
+    shards = store.select("part", "shard", "first_key", "last_key")
+    to = asked.join(shards, "part").where("key >= first_key AND key <= last_key").groupBy("part", "shard").agg(F.collect_list("key").alias("asked"))
+    to = materialize(to, "store-asked")  # at most the documents of a shard in a row
+    near = store.where((F.col("last_key") >= F.lit(least)) & (F.col("first_key") <= F.lit(most)))
+    near = near.join(F.broadcast(to) if n <= BROADCAST_ROWS else to, ["part", "shard"])
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                s, found = Shard(row), []
-                k = np.array([x for x in asked if row["first_key"] <= x <= row["last_key"]], np.int64)
-                nth = np.zeros(len(k), np.int64)
-                # ordinals of a repeated key may start in an earlier shard
-                if len(k):
-                    lowest = {int(x): int(o) for x, o in zip(s.keys[0][::-1], s.keys[1][::-1])}
-                    nth = np.array([lowest.get(int(x), 0) for x in k], np.int64)
-                while len(k):
-                    at = s.find(k, nth)
-                    k, nth, at = k[at >= 0], nth[at >= 0], at[at >= 0]
-                    found += [(int(x), s.get(i).tolist()) for x, i in zip(k, at)]
-                    nth = nth + 1
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
-
-    return store.where(near).mapInArrow(run, "doc_id long, ids array<long>")
+                s = Shard(row)
+                found = s.find_all(np.array(row["asked"], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.get(i).tolist() for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return near.mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
