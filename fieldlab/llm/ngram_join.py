@@ -12,13 +12,18 @@ next power are indexed for both.
 
 Sets that are equal become one representative at once.  Keys with the same
 representatives are one bucket.  Buckets are resolved without listing their
-pairs: representatives are first checked against the smallest one of a bucket,
-then each two components that still meet in a bucket by their closest pair,
-then whatever pairs of different components are left.  A parity bitmap (as
-many bits as tokens, or twice that) bounds the symmetric difference from below
-and only drops pairs that cannot link; every link is verified on whole sets.
-
-Rows shuffled: prefixes, keys, bitmaps, and the sets of candidates only.  The
+pairs: representatives are first checked against the smallest one of a bucket;
+then those outside the largest component of their bucket are compared with all
+of its other members, each two components by their closest pair; then, in the
+buckets where such pairs were found, whatever pairs of different components are
+left.  A parity bitmap (as many bits as tokens, or twice that) bounds the
+symmetric difference from below and only drops pairs that cannot link; every
+link is verified on whole sets.
+
+Rows shuffled: prefixes, keys, bitmaps, and the sets of candidates only.  What
+a bucket is (its size, first member, signature) comes from aggregates that are
+summed up before they move, so a key that a third of all rows share is a row a
+task there; members meet their bucket in plain joins, which AQE splits.  The
 driver sees counts.
 
 Defined results: words are lower-cased (A-Z) runs of anything but ASCII white
@@ -44,12 +49,14 @@ from fieldlab.llm.common import materialize, read, shuffle_parts, small_broadcas
 FREQUENT = 40
 #: Tokens of a set that a range of hashes holds, at least.
 RANGE_TOKENS = 5
-#: Representatives in a tile of a bucket.
-TILE = 512
+#: Representatives that ask in a tile of a bucket, those that answer, and those compared in a step.
+TILE, SEGMENT, STEP = 512, 8192, 512
 #: Documents whose ids are broadcast to the scan that verifies them: 16 MB.
 BROADCAST_IDS = 1_000_000
-#: Members that meet one set of their hub in a task.
+#: Members that meet one set of their hub in a task, and hubs that a row of a member lists, about.
 HUB_DEAL = 2000
+#: Bytes of sets in an Arrow batch.
+SET_BYTES = 16 << 20
 
 # --- shingles ---------------------------------------------------------------
 
@@ -271,7 +278,7 @@ def buckets(reps: DataFrame, percent: int) -> DataFrame:
     keys = materialize(known.mapInArrow(_keys(percent), "key long, rep long, n long"), "join-keys")
     # a little over the largest factor, so that rounding cannot put two classes between linked sizes
     size = F.floor(F.ln("n") / math.log(100 / percent * 1.000001))
-    split = keys.select(F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1))).alias("key"), "rep").repartition(shuffle_parts(keys.sparkSession), "key")
+    split = keys.select(F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1))).alias("key"), "rep")
     several = split.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared_keys = materialize(split.join(several, "key"), "join-shared")
     members = shared_keys.groupBy("key", "m").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
@@ -299,83 +306,120 @@ def _hub_pairs(percent: int):
     return run
 
 
+#: What a row does in a tile: it asks, or asks and answers its peers, or answers.
+ASKS, PEER, ANSWERS = 0, 1, 2
+
+
 def _tile_pairs(percent: int, nearest_only: bool):
-    """Pairs of different components in tiles that come sorted by (key, i, j)."""
-
-    def pairs(rows):
-        part, rep, comp, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        maps = [r[4] for r in rows]
-        side = [np.flatnonzero((part == 0) | (part == 2)), np.flatnonzero((part == 1) | (part == 2))]
-        same = (part == 2).any()
-        got = _close(n[side[0]], [maps[k] for k in side[0]], n[side[1]], [maps[k] for k in side[1]], percent)
-        a, b, d = side[0][got[:, 0]], side[1][got[:, 1]], got[:, 2]
-        keep = (comp[a] != comp[b]) & ((a < b) if same else True)
-        a, b, d = a[keep], b[keep], d[keep]
-        if nearest_only and len(a):
-            lo, hi = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-            order = np.lexsort((rep[b], rep[a], d, hi, lo))
-            first = np.concatenate(([True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)))
-            a, b = a[order][first], b[order][first]
-        return np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+    """Pairs of different components in tiles that come sorted by (key, tile, segment, role).
+
+    A tile's asking rows are held (about TILE of them), the answering ones pass
+    by in steps.  Peers of a tile are compared once, by the smaller rep.
+    """
 
-    def batch(found):
-        lo, hi = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), ())))
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["hub", "rep"])
+    def pairs(asking, answering):
+        (role_a, rep_a, comp_a, n_a), (role_b, rep_b, comp_b, n_b) = (np.array([r[:4] for r in x], np.int64).T for x in (asking, answering))
+        got = _close(n_a, [r[4] for r in asking], n_b, [r[4] for r in answering], percent)
+        i, j, away = got.T
+        keep = (comp_a[i] != comp_b[j]) & ((role_b[j] == ANSWERS) | (rep_a[i] < rep_b[j]))
+        i, j, away = i[keep], j[keep], away[keep]
+        if nearest_only and len(i):
+            lo, hi = np.minimum(comp_a[i], comp_b[j]), np.maximum(comp_a[i], comp_b[j])
+            order = np.lexsort((rep_b[j], rep_a[i], away, hi, lo))
+            first = np.concatenate(([True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)))
+            i, j = i[order][first], j[order][first]
+        return np.minimum(rep_a[i], rep_b[j]), np.maximum(rep_a[i], rep_b[j])
 
     def run(batches):
-        tile, rows, found = None, [], []
+        tile, asking, answering = None, [], []
+        found: list[list[np.ndarray]] = [[], [], []]
+
+        def settle():
+            if asking and answering:
+                hub, rep = pairs(asking, answering)
+                for out, x in zip(found, (np.full(len(hub), tile[0], np.int64), hub, rep)):
+                    out.append(x)
+            answering.clear()
+
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "part", "rep", "comp", "n", "bitmap"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("key", "tile", "segment", "role", "rep", "comp", "n", "bitmap"))):
                 if r[:3] != tile:
-                    if len(rows) > 1:
-                        found.append(pairs(rows))
-                    tile, rows = r[:3], []
-                rows.append(r[3:])
-            if found:
-                yield batch(found)
-                found = []
-        if len(rows) > 1:
-            yield batch([pairs(rows)])
+                    settle()
+                    tile, asking = r[:3], []
+                if r[3] != ANSWERS:
+                    asking.append(r[3:])
+                if r[3] != ASKS:
+                    answering.append(r[3:])
+                    # peers are settled once all that ask are here
+                    if len(answering) >= STEP and r[3] == ANSWERS:
+                        settle()
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["key", "hub", "rep"])
+                found = [[], [], []]
+        settle()
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["key", "hub", "rep"])
 
     return run
 
 
 def cross_pairs(bucket: DataFrame, facts: DataFrame, comps: DataFrame, percent: int, nearest_only: bool) -> DataFrame:
-    """(hub, rep): pairs of different components that share a bucket and may link."""
-    spark = bucket.sparkSession
+    """(key, hub, rep): pairs of different components that share a bucket and may link.
+
+    Only representatives outside a bucket's largest component ask.  They are
+    dealt over tiles, and those that answer over segments; a pair meets in one
+    tile and one segment.
+    """
     now = bucket.join(comps, "rep")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    # part 2: a tile with itself, 0 and 1: the two sides of a tile pair
-    spots = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(own, t).alias("i"), F.greatest(own, t).alias("j"), F.when(own == t, F.lit(2)).when(own < t, F.lit(0)).otherwise(F.lit(1)).alias("part")))
-    rows = now.join(mixed, "key").join(facts, "rep").withColumn("spot", F.explode(spots)).select("key", "spot.*", "rep", "comp", "n", "bitmap")
-    rows = rows.repartition(shuffle_parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_tile_pairs(percent, nearest_only), "hub long, rep long").distinct()
+    of = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    shape = of.groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    shape = shape.where(F.col("all") > F.col("most")).select("key", "main", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("tiles"), F.ceil(F.col("all") / SEGMENT).cast("int").alias("segments"))
+    tile, segment = (F.pmod(F.xxhash64("rep", F.lit(k)), c).cast("int") for k, c in enumerate(("tiles", "segments")))
+    spot = lambda t, g, role: F.struct(t.alias("tile"), g.alias("segment"), F.lit(role).alias("role"))
+    outside = F.col("comp") != F.col("main")
+    upto = F.sequence(F.lit(0), F.col("tiles") - 1)
+    asks = F.transform(F.sequence(F.lit(0), F.col("segments") - 1), lambda g: F.when(g == segment, spot(tile, g, PEER)).otherwise(spot(tile, g, ASKS)))
+    answers = F.transform(F.filter(upto, lambda t: ~outside | (t < tile)), lambda t: spot(t, segment, ANSWERS))
+    spots = F.when(outside, F.concat(asks, answers)).otherwise(answers)
+    rows = now.join(shape, "key").join(facts, "rep").withColumn("spot", F.explode(spots)).select("key", "spot.*", "rep", "comp", "n", "bitmap")
+    rows = rows.repartition("key", "tile", "segment").sortWithinPartitions("key", "tile", "segment", "role")
+    return rows.mapInArrow(_tile_pairs(percent, nearest_only), "key long, hub long, rep long")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (hub, rep) whose whole sets link.  Each candidate's text is read once more."""
+    """The pairs (hub, rep) whose whole sets link.  Each candidate's text is read once more.
+
+    A hub's members are dealt over as many copies of its set as they need, and
+    what a document is asked for over as many rows.
+    """
     spark = docs.sparkSession
     load = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_DEAL).cast("int").alias("deals"))
     dealt = pairs.join(load, "hub").select("hub", F.pmod(F.xxhash64("rep"), "deals").cast("int").alias("deal"), F.col("rep").alias("doc_id"), F.lit(1).alias("member"))
     hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("hub").alias("doc_id"), F.lit(0).alias("member"))
-    asked = materialize(dealt.unionByName(hubs).groupBy("doc_id").agg(F.collect_list(F.struct("hub", "deal", "member")).alias("to")), "join-asked")
+    every = materialize(dealt.unionByName(hubs), "join-dealt")
+    lists = every.groupBy("doc_id").agg(F.ceil(F.count("*") / HUB_DEAL).cast("int").alias("lists"))
+    listed = every.join(lists, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("hub", "deal"), "lists").alias("list"))
+    asked = materialize(listed.agg(F.collect_list(F.struct("hub", "deal", "member")).alias("to")).drop("list"), "join-asked")
     size = asked.agg(F.coalesce(F.sum(F.size("to")), F.lit(0))).first()[0]
     if size <= BROADCAST_IDS:
         asked = F.broadcast(asked)
     texts = docs.select("doc_id", "text").join(asked, "doc_id")
+    names, kinds = ["hub", "deal", "member", "doc_id", "tokens"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
     def sets(batches):
+        out, held = [], 0
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                cut = b.slice(lo, 128)
-                out = []
-                for doc_id, text, to in zip(cut.column("doc_id").to_pylist(), cut.column("text"), cut.column("to").to_pylist()):
-                    s = shingle_set(text.as_py(), width).tobytes()
-                    out += [(x["hub"], x["deal"], x["member"], doc_id, s) for x in to]
-                cols = zip(*out) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["hub", "deal", "member", "doc_id", "tokens"])
+            for doc_id, text, to in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("to")):
+                s = shingle_set(text.as_py(), width).tobytes()
+                for x in to.as_py():
+                    out.append((x["hub"], x["deal"], x["member"], doc_id, s))
+                    held += len(s)
+                    if held >= SET_BYTES:
+                        yield batch(out)
+                        out, held = [], 0
+        if out:
+            yield batch(out)
 
     def compare(batches):
         hub, own = None, None
@@ -422,15 +466,10 @@ def merge_components(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps
 
 
-def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id
-    (smallest doc_id with an equal set), component_id (smallest doc_id reachable by links),
-    text_key (hash of the text) and stays (whether it is the first of its component by
-    doc_id, nulls last, and text_key).
-
-    Representatives go by their doc_id; where ids are null or repeated, by a hash of
-    their set, so that each text has its own.
-    """
+def _candidates(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """(sets, classes, representatives, docs by representative, whether ids are null or repeated)."""
+    if not 50 <= percent <= 100:
+        raise ValueError(f"similarity of {percent} %: index keys are complete from 50 % to 100 %")
     sets = materialize(_sets(docs, width, percent), "join-sets")
     odd = sets.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
@@ -442,6 +481,36 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
         named = classes.select("rep", F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
         docs = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))).select(F.col("rep").alias("doc_id"), "text")
         docs = materialize(docs.dropDuplicates(["doc_id"]), "join-named")
+    return sets, classes, reps, docs, odd
+
+
+def similarity_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(links, members): every link between classes of equal sets, and the class of each row.
+
+    ``links`` (a, b): keys of two classes, each pair once.  ``members``: doc_id,
+    text_key, class (null for texts without words).  The work grows with the
+    links, as its result does; similarity_components doesn't list them.
+    """
+    sets, classes, reps, named, _ = _candidates(docs, width, percent)
+    facts = reps.select("rep", "n", "bitmap")
+    bucket = buckets(reps.select("rep", "n", "zone"), percent)
+    alone = bucket.select("rep").distinct().withColumn("comp", F.col("rep"))
+    pairs = materialize(cross_pairs(bucket, facts, alone, percent, False).select("hub", "rep").distinct(), "join-pairs")
+    links = verify(named, pairs, width, percent).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    members = sets.select("doc_id", "text_key", "digest").join(classes.select("digest", F.col("rep").alias("class")), "digest", "left").drop("digest")
+    return links, members
+
+
+def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id
+    (smallest doc_id with an equal set), component_id (smallest doc_id reachable by links),
+    text_key (hash of the text) and stays (whether it is the first of its component by
+    doc_id, nulls last, and text_key).
+
+    Representatives go by their doc_id; where ids are null or repeated, by a hash of
+    their set, so that each text has its own.
+    """
+    sets, classes, reps, docs, odd = _candidates(docs, width, percent)
     facts = reps.select("rep", "n", "bitmap")
     bucket = buckets(reps.select("rep", "n", "zone"), percent)
     comps = materialize(bucket.select("rep").distinct().withColumn("comp", F.col("rep")), "join-components")
@@ -453,8 +522,11 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
     comps = merge_components(comps, verify(docs, materialize(near.select("hub", "rep"), "join-pairs"), width, percent))
     for nearest_only in (True, False):
         pairs = materialize(cross_pairs(bucket, facts, comps, percent, nearest_only), "join-pairs")
-        if pairs.limit(1).count():
-            comps = merge_components(comps, verify(docs, pairs, width, percent))
+        if not pairs.limit(1).count():
+            break
+        comps = merge_components(comps, verify(docs, pairs.select("hub", "rep").distinct(), width, percent))
+        # a bucket without such a pair has no further link between two components
+        bucket = bucket.join(pairs.select("key").distinct(), "key", "left_semi")
     of = classes.join(comps, "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     stays = F.col("doc_id") == F.coalesce("component_id", "doc_id")
     if odd:
