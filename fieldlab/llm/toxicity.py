@@ -9,11 +9,14 @@ clean texts use that phrase.  One automaton finds words and phrases; the sum of
 weights, alone and per word of the text, goes through a logistic link.
 
 Fitted on at most ``SAMPLE`` labelled rows of each label: the lexicon on about
-two thirds of them, the link on the rest.  Every whole text is scored.
+two thirds of them, the link on the rest.  The lexicon comes to the driver: it
+holds only words of at least ``least_docs`` documents of that sample.  Every
+whole text is scored.
 
 Defined results: null, empty and wordless texts have no match and get the
 score of a text without matches; without labels of both kinds the lexicon is
-empty and every score is 0; repeated rows are scored one by one.
+empty and every score is 0; repeated rows are scored one by one; a kept column
+called ``score`` keeps its name, and the score gets an underscore.
 """
 
 from __future__ import annotations
@@ -27,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import keep_and_add, materialize, read
+from fieldlab.llm.common import ArrowPass, materialize, read
 from fieldlab.llm.language_id import fold as id_fold
 
 #: Labelled rows of each label that the model is fitted on, at most.
 SAMPLE = 10_000
-#: Words in a lexicon, and exception phrases, at most.
-MOST_WORDS, MOST_PHRASES = 2000, 500
 #: Letters of a stem.
 STEM = 5
 #: Documents are rejected from this score on.
@@ -58,9 +59,9 @@ def folded_words(text: str | None) -> list[str]:
 
 
 def lexicon_keys(text: str | None) -> set[str]:
-    """The words of a text and the stems of its longer words."""
+    """The words of a text and the stems of those that are long enough."""
     words = set(folded_words(text))
-    return words | {f"{w[:STEM]}*" for w in words if len(w) > STEM}
+    return words | {f"{w[:STEM]}*" for w in words if len(w) >= STEM}
 
 
 class Lexicon:
@@ -80,7 +81,7 @@ class Lexicon:
             self._found = ahocorasick.Automaton()
             for w, x in self.words.items():
                 if not w.endswith("*"):
-                    x = max(0.0, x - self.words.get(f"{w[:STEM]}*", 0.0)) if len(w) > STEM else x
+                    x = max(0.0, x - self.words.get(f"{w[:STEM]}*", 0.0)) if len(w) >= STEM else x
                 self._found.add_word(f" {w[:-1]}" if w.endswith("*") else f" {w} ", x)
             for p in self.phrases:
                 self._found.add_word(f" {p} ", -max(map(self.weight, p.split(" "))))
@@ -90,7 +91,7 @@ class Lexicon:
 
     def weight(self, word: str) -> float:
         """Of the heaviest entry that matches a word."""
-        return max(self.words.get(word, 0.0), self.words.get(f"{word[:STEM]}*", 0.0) if len(word) > STEM else 0.0)
+        return max(self.words.get(word, 0.0), self.words.get(f"{word[:STEM]}*", 0.0) if len(word) >= STEM else 0.0)
 
     def measure(self, text: str | None) -> tuple[float, float]:
         """Sum of the weights matched, and that sum per 100 words."""
@@ -164,7 +165,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, leas
     found = fit.select("text", "toxic").mapInArrow(_per_batch(lexicon_keys, schema), schema).groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds, ratio = _odds(F.col("a"), F.col("b"), n[1], n[0])
     words = found.withColumn("odds", odds).withColumn("ratio", ratio).where((F.col("a") >= least_docs) & (F.col("odds") > np.log(10)) & (F.col("ratio") >= least_ratio))
-    words = {r["key"]: r["odds"] for r in words.orderBy(F.desc("ratio"), "key").limit(MOST_WORDS).collect()}
+    words = {r["key"]: r["odds"] for r in words.collect()}
     if not words:
         return Lexicon({})
 
@@ -178,7 +179,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, leas
     pairs = fit.select("text", "toxic").mapInArrow(_per_batch(phrases, schema), schema).groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # a phrase of clean texts: seen there, and not more often among toxic texts than texts at large
     pairs = pairs.where((F.col("b") >= least_docs) & (F.col("a") * n[0] <= F.col("b") * n[1]))
-    exempt = {r["key"] for r in pairs.orderBy(F.desc("b"), "key").limit(MOST_PHRASES).collect()}
+    exempt = {r["key"] for r in pairs.collect()}
     raw = Lexicon(words, exempt)
 
     def measured(batches):
@@ -194,13 +195,14 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, leas
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """``keep`` columns and the score; reads no other column but text."""
-    rows, schema, names = keep_and_add(docs, keep, "score double")
+    arrow = ArrowPass(docs, keep, "score double")
+    kept, names = arrow.kept, arrow.names
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([lexicon.score(x.as_py()) for x in b.column("text")], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array([lexicon.score(x.as_py()) for x in b.column("text")], pa.float64())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow.run(run)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
