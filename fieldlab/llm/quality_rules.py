@@ -2,8 +2,8 @@
 
 Sequential covering: rules that predict low quality are grown one after the
 other as conjunctions of thresholds on per-document statistics (FOIL gain on a
-grow set), pruned on a prune set, and kept while they hold there; the rows that
-a rule covers leave before the next one is grown.  The ordered list becomes one
+grow set), pruned on a prune set, and kept while they hold on the prune set; the
+rows that a rule covers leave before the next one is grown.  The ordered list becomes one
 Spark ``CASE WHEN`` expression.
 
 The list is fitted on at most ``SAMPLE`` labelled rows of each label (chosen by
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import free_names, keep_and_add, materialize, quoted, read
+from fieldlab.llm.common import ArrowPass, free_names, materialize, quoted, read
 
 #: Labelled rows of each label that a list is fitted on, at most.
 SAMPLE = 10_000
@@ -84,15 +84,16 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     free = free_names([*(x.split()[0] for x in STATS.split(", ")), *FEATURES, *VERDICTS], *keep)
     docs = docs.select(*(quoted(k).alias(n) for k, n in zip(keep, free)), *["text"] * ("text" not in keep))
-    rows, schema, names = keep_and_add(docs, free, STATS)
+    arrow = ArrowPass(docs, free, STATS)
+    kept, names = arrow.kept, arrow.names
     n_stats = len(names) - len(keep)
 
     def run(batches):
         for b in batches:
             stats = zip(*(text_stats(x.as_py()) for x in b.column("text"))) if b.num_rows else [()] * n_stats
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in free), *(pa.array(x, pa.int64()) for x in stats)], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *(pa.array(x, pa.int64()) for x in stats)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow.run(run)
 
 
 def with_features(stats: DataFrame) -> DataFrame:
@@ -106,10 +107,10 @@ def _covers(x: np.ndarray, rule: list[tuple[int, str, float]]) -> np.ndarray:
     return reduce(np.logical_and, (x[:, f] <= v if op == "<=" else x[:, f] > v for f, op, v in rule), np.ones(len(x), bool))
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, most: int) -> list[tuple[int, str, float]]:
-    """Adds the threshold test of best FOIL gain until only bad rows are covered."""
+def _grow(x: np.ndarray, bad: np.ndarray) -> list[tuple[int, str, float]]:
+    """Adds the threshold test of best FOIL gain until only bad rows are covered or none gains."""
     rule, on = [], np.ones(len(x), bool)
-    while len(rule) < most:
+    while True:
         p0, n0 = bad[on].sum(), (~bad[on]).sum()
         if n0 == 0 or p0 == 0:
             break
@@ -137,17 +138,24 @@ def _worth(x: np.ndarray, bad: np.ndarray, rule: list) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
-def fit_decision_list(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.9, least: int = 5, most_tests: int = 4, most_rules: int = 24) -> list[list[tuple[str, str, float]]]:
-    """Ordered rules; a row that any rule covers is of low quality."""
+def fit_decision_list(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.9, least: int = 5) -> list[list[tuple[str, str, float]]]:
+    """Ordered rules; a row that any rule covers is of low quality.
+
+    A third of the rows prunes: the last tests of a rule go as long as the rule
+    does no worse on those rows, and the list ends with the first rule that does
+    not hold there (``precision`` of what it covers is bad) or covers under
+    ``least`` bad rows in all.
+    """
     pruning = np.arange(len(x)) % 3 == 2
     left, rules = np.ones(len(x), bool), []
-    while len(rules) < most_rules and bad[left & ~pruning].sum() >= least:
-        rule = _grow(x[left & ~pruning], bad[left & ~pruning], most_tests)
+    while bad[left & ~pruning].sum() >= least:
+        rule = _grow(x[left & ~pruning], bad[left & ~pruning])
         held = left & pruning
         while len(rule) > 1 and _worth(x[held], bad[held], rule[:-1]) >= _worth(x[held], bad[held], rule):
             rule = rule[:-1]
         on = left & _covers(x, rule)
-        if not rule or bad[on].sum() < least or bad[on].mean() < precision:
+        proof = bad[on & pruning]
+        if not rule or bad[on].sum() < least or not len(proof) or proof.mean() < precision:
             break
         tightest: dict[tuple[int, str], float] = {}
         for f, op, v in rule:
