@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlab.llm.common import keep_and_add, read
+from fieldlab.llm.common import ArrowPass, read
 
 TOP = 300
 SAMPLE = 2000
@@ -47,7 +47,8 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one pad after each word
-    line = np.concatenate(([_PAD], np.where(letter, cp, _PAD)[keep], [_PAD]))
+    line = np.concatenate(([_PAD], np.where(letter, cp, _PAD)[keep], [_PAD] * bool(letter[-1])))
+    line = line.astype(np.int64)
     two = (line[:-1] << _SHIFT) | line[1:]
     three = (two[:-1] << _SHIFT) | line[2:]
     return np.unique(np.concatenate((cp[letter], two, three)), return_counts=True)
@@ -115,14 +116,15 @@ def learn_profiles(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Pro
 
 def identify(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
     """``keep`` columns with lang_pred and score; reads no other column but text."""
-    rows, schema, names = keep_and_add(docs, keep, "lang_pred string, score double")
+    arrow = ArrowPass(docs, keep, "lang_pred string, score double")
+    kept, names = arrow.kept, arrow.names
 
     def run(batches):
         for b in batches:
             found = [profiles.predict(x.as_py()) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow.run(run)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
