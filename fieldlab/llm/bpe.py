@@ -28,7 +28,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlab.llm.common import keep_and_add, read
+from fieldlab.llm.common import ArrowPass, read
 from fieldlab.llm.pretoken import library_splitter, split_words
 
 #: Encoded words that a task keeps in each of two generations.
@@ -242,7 +242,8 @@ def load_definition(spark: SparkSession, path: str | None = None):
 def encode(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """``keep`` columns and ``ids``, the token ids of each whole text."""
     definition = load_definition(docs.sparkSession, path)
-    rows, schema, names = keep_and_add(docs, keep, "ids array<int>")
+    arrow = ArrowPass(docs, keep, "ids array<int>")
+    kept, names = arrow.kept, arrow.names
 
     def run(batches):
         bpe = coder(definition.value)
@@ -250,30 +251,32 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFra
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = pa.array(bpe.encode_batch(part.column("text").to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), ids], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow.run(run)
 
 
 def decode(encoded: DataFrame, keep: list[str], path: str | None = None, ids: str = "ids") -> DataFrame:
     """``keep`` columns and ``text`` from the column ``ids``; null ids decode to an empty text."""
     definition = load_definition(encoded.sparkSession, path)
-    rows, schema, names = keep_and_add(encoded, keep, "text string", (ids,))
+    arrow = ArrowPass(encoded, keep, "text string", (ids,))
+    kept, names = arrow.kept, arrow.names
 
     def run(batches):
         bpe = coder(definition.value)
         for b in batches:
             texts = pa.array([bpe.decode(x.as_py() or []) for x in b.column(ids)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), texts], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), texts], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow.run(run)
 
 
 def round_trip(docs: DataFrame, keep: list[str], path: str | None = None, with_ids: bool = False) -> DataFrame:
     """``keep`` columns and digests of the ids and of the text decoded from them,
     in one pass over the texts; also the ids themselves if asked for."""
     definition = load_definition(docs.sparkSession, path)
-    rows, schema, names = keep_and_add(docs, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    arrow = ArrowPass(docs, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    kept, names = arrow.kept, arrow.names
 
     def run(batches):
         bpe = coder(definition.value)
@@ -286,9 +289,9 @@ def round_trip(docs: DataFrame, keep: list[str], path: str | None = None, with_i
                 cols = [pa.array(list(map(len, ids)), pa.int64()), pa.array(lines, pa.string()), pa.array(texts, pa.string())]
                 if with_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *cols], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *cols], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow.run(run)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,18 +88,25 @@ def free_names(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def keep_and_add(df: DataFrame, keep: list[str], added: str, read: tuple[str, ...] = ("text",)) -> tuple[DataFrame, T.StructType, list[str]]:
-    """What an Arrow pass over ``df`` reads, its result's schema and that schema's names.
+class ArrowPass:
+    """An Arrow pass over ``df`` that hands the ``keep`` columns on and adds columns.
 
-    The pass gets the ``keep`` columns and those of ``read``; its result has
-    the ``keep`` columns, then ``added`` (a list of DDL fields), renamed by
+    Inside, kept columns go by plain names (``kept``), as signs in names are
+    not safe there, and those of ``read`` by their own.  The result has the
+    ``keep`` columns, then ``added`` (a list of DDL fields), renamed by
     ``free_names`` where a kept column has the name already.
     """
-    kept = df.select(*map(quoted, keep)).schema
-    new = T.StructType.fromDDL(added)
-    names = free_names(keep, *new.names)
-    schema = T.StructType([*kept.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, new.fields))])
-    return df.select(*map(quoted, dict.fromkeys([*keep, *read]))), schema, schema.names
+
+    def __init__(self, df: DataFrame, keep: list[str], added: str, read: tuple[str, ...] = ("text",)):
+        new = T.StructType.fromDDL(added)
+        self.kept = [k if k in read else f"k{i}" for i, k in enumerate(keep)]
+        self.rows = df.select(*(quoted(k).alias(n) for k, n in zip(keep, self.kept)), *(quoted(k) for k in read if k not in keep))
+        self.names = [*self.kept, *(f"new{i}" for i in range(len(new)))]
+        self.final = [*keep, *free_names(keep, *new.names)]
+        self.schema = T.StructType([*self.rows.select(*self.kept).schema.fields, *(T.StructField(f"new{i}", f.dataType) for i, f in enumerate(new))])
+
+    def run(self, f) -> DataFrame:
+        return self.rows.mapInArrow(f, self.schema).toDF(*self.final)
 
 
 def n_words(text: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import keep_and_add, number_list, range_bounds, range_number, read, shuffle_parts
+from fieldlab.llm.common import ArrowPass, number_list, range_bounds, range_number, read, shuffle_parts
 
 BUCKETS = 128
 LENGTH_CAP = 12
@@ -70,14 +70,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``fingerprint`` of each whole text; no shuffle."""
-    rows, schema, names = keep_and_add(docs, keep, "fingerprint string")
+    arrow = ArrowPass(docs, keep, "fingerprint string")
+    kept, names = arrow.kept, arrow.names
 
     def run(batches):
         for b in batches:
             found = [as_text(digest((x.as_py() or "").encode())) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(found, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(found, pa.string())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return arrow.run(run)
 
 
 def with_successor(docs: DataFrame) -> DataFrame:

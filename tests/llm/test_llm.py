@@ -97,6 +97,37 @@ def test_language_on_held_out_rows(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def brute_ranks(text):
+    """n-grams of a text by falling count, then by their code points."""
+    counts = Counter()
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    line = "_" + "".join(f"{w}_" for w in words)
+    counts.update("".join(words))
+    for n in (2, 3):
+        counts.update(line[i : i + n] for i in range(len(line) - n + 1))
+    return counts
+
+
+def _ranked(counts, top):
+    code = lambda g: sum(ord(c) << (21 * k) for k, c in enumerate(reversed(g)))
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:top]
+
+
+def test_language_of_the_query_by_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: (r["text"] or "", r["lang"]) for r in read(spark, sf_dir, "documents").collect()}
+    sums = defaultdict(Counter)
+    for i, (text, lang) in docs.items():
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang].update(brute_ranks(text))
+    top = language_id.TOP
+    places = {lang: {g: k for k, g in enumerate(_ranked(c, top))} for lang, c in sums.items()}
+    for r in QUERIES["op2_language_id"](spark, sf_dir).collect():
+        own = _ranked(brute_ranks(docs[r["doc_id"]][0]), top)
+        away = {lang: sum(abs(p[g] - k) if g in p else top for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(away), key=away.get) if own else "und"
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - away[best] / (top * len(own)) if own else 0.0)
+
+
 def test_language_of_odd_rows(nasty, empty):
     p = language_id.learn_profiles(nasty)
     got = {r["doc_id"]: r for r in language_id.identify(nasty, p, ["doc_id"]).collect()}
@@ -106,16 +137,11 @@ def test_language_of_odd_rows(nasty, empty):
 
 
 def test_ngram_ranks_by_brute_force():
-    text = "the cat, the hat! Été"
-    counts = Counter()
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
-        padded = f"_{w}_"
-        counts.update(w)
-    line = "_" + "".join(w + "_" for w in re.findall(r"[^\W\d_]+", text.lower()))
-    for n in (2, 3):
-        counts.update(line[i : i + n] for i in range(len(line) - n + 1))
+    text = "the cat, the hat! Été x" * 3
     codes, n = language_id.ngram_counts(text)
-    assert sorted(n.tolist()) == sorted(counts.values()) and padded
+    read_code = lambda c: "".join(chr((c >> k) & 0x1FFFFF) for k in (42, 21, 0)).lstrip("\0")
+    assert {read_code(c): k for c, k in zip(codes.tolist(), n.tolist())} == dict(brute_ranks(text))
+    assert [read_code(c) for c in language_id.ranked(codes, n, 12).tolist()] == _ranked(brute_ranks(text), 12)
 
 
 # --- 3: near duplicates ------------------------------------------------------
@@ -163,8 +189,8 @@ def copies(seed, groups=6, size=25, words=120):
 @pytest.mark.parametrize(("width", "percent", "seed", "frequent", "tile"), [(3, 90, 1, 40, 512), (3, 90, 2, 3, 8), (5, 80, 3, 4, 16)])
 def test_components_by_brute_force(spark, monkeypatch, width, percent, seed, frequent, tile):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "TILE", tile)
-    monkeypatch.setattr(ngram_join, "HUB_DEAL", 5)
+    for name, value in (("TILE", tile), ("SEGMENT", 3 * tile), ("STEP", tile), ("HUB_DEAL", 5), ("SET_BYTES", 4096)):
+        monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", -1 if seed == 2 else 300_000)
     texts = copies(seed)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -172,6 +198,35 @@ def test_components_by_brute_force(spark, monkeypatch, width, percent, seed, fre
     assert got == brute_components(texts, width, percent)
 
 
+def test_links_by_brute_force(spark, monkeypatch):
+    for name, value in (("FREQUENT", 3), ("TILE", 8), ("SEGMENT", 16), ("STEP", 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = copies(9, groups=4)
+    docs = spark.createDataFrame([*texts.items(), (1000, None), (1001, "")], "doc_id long, text string")
+    links, members = ngram_join.similarity_links(docs, 3, 80)
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(3)))) for i, t in texts.items()}
+    of = {r["doc_id"]: r["class"] for r in members.collect()}
+    assert of[1000] is None and of[1001] is None
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {(of[i], of[j]) for i in texts for j in texts if of[i] < of[j] and near(sets[i], sets[j])}
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert all((of[i] == of[j]) == (sets[i] == sets[j]) for i in texts for j in texts)
+
+
+def test_similarity_below_half_is_refused(nasty):
+    with pytest.raises(ValueError):
+        ngram_join.similarity_components(nasty, 3, 40)
+
+
+def test_one_doc_id_with_two_texts_keeps_links(spark):
+    words = [f"w{i}" for i in range(101)]
+    rows = [(1, " ".join(words)), (1, "some other text " * 5), (2, " ".join(words[:-1])), (0, "nothing in common with the rest of them")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.similarity_components(docs, 3, 90).collect()}
+    assert got[2, 98] == got[1, 99] == 1 and got[0, 6] == 0
+
+
 def test_components_of_the_documents(spark, sf_dir, documents):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op3_ngram_join"](spark, sf_dir).collect()}
     assert got == brute_components(documents, 3, 90)
@@ -210,6 +265,32 @@ def test_lines_of_odd_rows(spark, nasty, empty):
     assert line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_lines_with_columns_of_the_same_names(spark):
+    rows = [(i, f"http://H{i % 2}.example.org:80/{i}", f"menu\nbody {i}", 5, "kept", "x") for i in range(20)] + [(99, "no url", "menu", 5, "kept", "x")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, text string, n_lines long, `page.url` string, __host string")
+    out = line_dedup.drop_boilerplate(docs, host=line_dedup.host_of(F.col("url")))
+    assert out.columns == [*docs.columns, "n_lines_", "n_dropped"]
+    got = {r["page_id"]: r for r in common.materialize(out, "test").collect()}
+    assert all(got[i]["text"] == f"body {i}" and got[i]["n_dropped"] == 1 and got[i]["n_lines"] == 5 and got[i]["page.url"] == "kept" for i in range(20))
+    assert got[99]["text"] == "menu"
+    hosts = line_dedup.boilerplate(docs, host=line_dedup.host_of(F.col("url"))).collect()
+    assert {r["host"] for r in hosts} == {"h0.example.org", "h1.example.org"}
+
+
+def test_lines_of_raw_pages(spark, sf_dir):
+    from urllib.parse import urlsplit
+
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("html", ">", ">\n").alias("text"))
+    rows = {r["page_id"]: (urlsplit(r["url"]).hostname, r["text"]) for r in pages.collect()}
+    strip = lambda x: x.strip(" \t\r\x0b\x0c")
+    per, held = Counter(h for h, _ in rows.values()), Counter((h, x) for h, t in rows.values() for x in {strip(y) for y in t.split("\n")})
+    bad = lambda h, x: x and held[h, x] >= 2 and held[h, x] > 0.3 * per[h]
+    out = line_dedup.drop_boilerplate(pages, host=line_dedup.host_of(F.col("url")), ratio=0.3, min_pages=2)
+    for r in out.collect():
+        h, t = rows[r["page_id"]]
+        assert r["text"] == "\n".join(x for x in t.split("\n") if not bad(h, strip(x)))
+
+
 def test_both_ways_to_the_pages(spark, sf_dir, monkeypatch):
     pages = [(i, f"h{i % 2}", f"menu \nbody {i}\n\n menu\t\nfoot {i % 9}") for i in range(60)]
     docs = spark.createDataFrame(pages, "doc_id long, source string, text string")
@@ -233,34 +314,76 @@ def test_pipeline_drops_lines_of_a_few_pages_in_a_hundred(spark, sf_dir):
 # --- 5: chats ----------------------------------------------------------------
 
 
-def test_chats_read_back(spark):
+def chat_digests(turns):
+    """n_turns, turns_sha256, loss_chars, loss_sha256 of (role, text) turns."""
+    loss = "".join(x for r, x in turns if r == "assistant")
+    said = "".join(f"{a}\n{b}\n" for a, b in turns)
+    return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def _digests(r):
+    return r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]
+
+
+@pytest.mark.parametrize("parts", ["4", "61"])
+def test_chats_read_back(spark, parts):
     said = ["hi", "</s>[INST] ok [/INST]", "a\\b <s>", "", None, "[ROLE] x [IS] ", " [/INST]", "😀\n"]
     rng, rows = random.Random(3), []
     for c in range(60):
         for t in range(rng.randint(1, 6)):
             rows.append((c, t, ["user", "assistant", "system", "tool [IS]", None][0 if t == 0 else rng.randrange(5)], "hello" if t == 0 and c % 3 else rng.choice(said)))
     rows += [(100, t, r, x) for c, t, r, x in rows if c == 1]
+    rows += [(200, 0, "user\0x", "y"), (201, 0, "user", "x\0y"), (202, 0, "user", "5 4 "), (203, 0, "user5 4 ", "")]
     chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    segments, members = chat_tree.format_conversations(chats)
-    got = {r["conv_id"]: r for r in chat_tree.read_back(segments, members).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        segments, members = chat_tree.format_conversations(chats)
+        got = {r["conv_id"]: r for r in chat_tree.read_back(segments, members).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     per = defaultdict(list)
     for c, t, r, x in rows:
         per[c].append((r or "", x or ""))
-    assert len(got) == len(per)
-    for c, turns in per.items():
-        loss = "".join(x for r, x in turns if r == "assistant")
-        r = got[c]
-        assert r["n_turns"] == len(turns) and r["loss_chars"] == len(loss)
-        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
-        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert {c: _digests(r) for c, r in got.items()} == {c: chat_digests(turns) for c, turns in per.items()}
     nodes = {tuple(turns[: k + 1]) for turns in per.values() for k in range(len(turns))}
     seg = segments.orderBy("start").collect()
     assert len(seg) == len(nodes)
-    at = 0
+    at = id_at = 0
+    ids = [i for s in seg for i in s["ids"]]
     for s in seg:
-        assert s["start"] == at and sum(a["length"] for a in s["ancestors"]) == s["position"]
-        assert all(a["start"] + a["length"] <= s["start"] for a in s["ancestors"])
-        at += s["length"]
+        assert (s["start"], s["id_start"]) == (at, id_at)
+        assert sum(a["length"] for a in s["ancestors"]) == s["position"] and sum(a["length"] for a in s["id_ancestors"]) == s["position_id"]
+        assert all(a["start"] + a["length"] <= s["start"] for a in s["ancestors"]) and all(a["start"] + a["length"] <= s["id_start"] for a in s["id_ancestors"])
+        at, id_at = at + s["length"], id_at + len(s["ids"])
+    coder = bpe.TrieBpe(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    by_start = {s["start"]: s for s in seg}
+    for s in seg:  # attended tokens and own ones spell the conversation up to here; loss tokens spell the loss
+        seen = [i for a in s["id_ancestors"] for i in ids[a["start"] : a["start"] + a["length"]]] + s["ids"]
+        text = "".join(x["text"] for x in seg for a in s["ancestors"] if a["start"] <= x["start"] < a["start"] + a["length"]) + s["text"]
+        assert coder.decode(seen) == text
+        for m, k in zip(s["loss"], s["id_loss"]):
+            assert coder.decode(s["ids"][k["start"] : k["start"] + k["length"]]) == s["text"][m["start"] : m["start"] + m["length"]]
+        assert s["nodes"] is None or [by_start[n]["depth"] for n in s["nodes"]] == list(range(len(s["nodes"])))
+    for r in chat_tree.token_rows(segments).collect():
+        assert r["position_ids"] == list(range(r["position_ids"][0], r["position_ids"][0] + len(r["ids"])))
+
+
+def test_chats_of_the_query(spark, sf_dir):
+    per = defaultdict(list)
+    for r in read(spark, sf_dir, "conversations").collect():
+        per[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
+    per[-1] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    got = {r["conv_id"]: r for r in QUERIES["op5_chat_tree"](spark, sf_dir).collect()}
+    assert {c: _digests(r) for c, r in got.items()} == {c: chat_digests([x[1:] for x in sorted(turns)]) for c, turns in per.items()}
+    assert got[-1]["formatted_chars"] > len("</s>[INST] ok [/INST]") * 2
+
+
+def test_odd_conversations(spark):
+    rows = [(None, 1, "user", "a"), (None, 0, "user", "b"), (7, 0, "user", "x"), (7, 0, "user", "x"), (8, None, "user", "late?"), (8, 0, "assistant", "y"), (9, 0, "user", "long " * 30_000)]
+    chats = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, path string")
+    got = {r["conv_id"]: r for r in chat_tree.read_back(*chat_tree.format_conversations(chats)).collect()}
+    assert _digests(got[None]) == chat_digests([("user", "b"), ("user", "a")]) and got[7]["n_turns"] == 2 and got[9]["n_turns"] == 1
+    assert _digests(got[8]) == chat_digests([("user", "late?"), ("assistant", "y")])
 
 
 def test_no_chats(spark):
@@ -298,6 +421,55 @@ def test_toxicity_learns_planted_words(spark):
     assert all((r["score"] >= 0.7) == bool(r["toxic"]) for r in got)
 
 
+def brute_measure(lex, text):
+    """Sum of weights over the words, less the exception phrases; and that per 100 words."""
+    words = toxicity.folded_words(text)
+    weigh = lambda w: max([0.0, *(x for k, x in lex.words.items() if k == w or (k.endswith("*") and w.startswith(k[:-1])))])
+    weights = {w: weigh(w) for w in set(words)}
+    total = sum(weights[w] for w in words) - sum(max(weights[a], weights[b]) for a, b in zip(words, words[1:]) if f"{a} {b}" in lex.phrases)
+    return max(0.0, total), 100 * max(0.0, total) / len(words) if words else 0.0
+
+
+def test_toxicity_of_the_query_by_brute_force(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    lex = toxicity.learn_lexicon(docs, labels.where(toxicity.id_fold("doc_id", 3) != 1), least_docs=1, least_ratio=6.0)
+    assert any(k.endswith("*") for k in lex.words) and any(not k.endswith("*") for k in lex.words)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score_texts(docs, lex, ["doc_id"]).collect():
+        a, b = brute_measure(lex, texts[r["doc_id"]])
+        z = lex.link[0] + lex.link[1] * np.log1p(a) + lex.link[2] * np.log1p(b)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    rows = QUERIES["op6_toxicity"](spark, sf_dir).collect()
+    assert {r["doc_id"]: r["held_out"] for r in rows} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in texts}
+    assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    toxic = {r["doc_id"]: r["toxic"] for r in read(spark, sf, "labels").collect()}
+    rows = [r for r in QUERIES["op6_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
+    caught = [r["predicted"] for r in rows if toxic[r["doc_id"]]]
+    assert sum(caught) >= 0.75 * len(caught) and not any(r["predicted"] for r in rows if not toxic[r["doc_id"]])
+
+
+def test_scores_beside_columns_of_the_same_name(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(1, "fine", 0.1, "u", "d"), (2, "you idiot", 0.2, "u", "d")], "doc_id long, text string, score double, `page url` string, `a.b` string")
+    lex = toxicity.Lexicon({"idiot": 5.0}, frozenset(), (-2.0, 2.0, 0.0))
+    out = common.materialize(toxicity.score_texts(docs, lex, docs.columns), "test")
+    assert out.columns == [*docs.columns, "score_"] and {r["doc_id"]: r["score"] for r in out.collect()} == {1: 0.1, 2: 0.2}
+    full = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(9), "n_lines": F.lit(1), "n_dropped": F.lit(77), "ids": F.lit("i"), "__kept": F.lit(1)})
+    now = full
+    for _, stage in cp.STAGES[:4]:
+        now = common.materialize(stage(spark, now, "/root/testdata/sf0.001"), "test")
+        assert now.columns == full.columns
+    assert {r["n_dropped"] for r in now.collect()} <= {77}
+    for f in (lambda k: bpe.round_trip(full, k, with_ids=True), lambda k: bpe.encode(full, k), lambda k: fingerprint.fingerprints(full, k), lambda k: quality_rules.with_stats(full, k), lambda k: language_id.identify(full, language_id.Profiles({}), k)):
+        out = common.materialize(f(full.columns), "test")
+        assert out.count() == 2 and len(set(out.columns)) == len(out.columns)
+
+
 def test_toxicity_of_odd_rows(spark, nasty, empty):
     lex = toxicity.learn_lexicon(nasty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert lex.words == {} and {r["score"] for r in toxicity.score_texts(nasty, lex, ["doc_id"]).collect()} == {0.0}
@@ -307,22 +479,66 @@ def test_toxicity_of_odd_rows(spark, nasty, empty):
 # --- 7: mixing ---------------------------------------------------------------
 
 
-def test_mix_meets_targets(spark, nasty, empty, monkeypatch):
+def brute_mix(rows, slots_a_source, block_words):
+    """(taken, first slot, slots) of each document, slot by slot; rows are (doc_id, words, source)."""
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, n, t in rows if t == s) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    full: set = set()
+    while True:
+        free = [s for s in names if s not in full]
+        level = (1.5 * sum(size.values()) - sum(2 * size[s] for s in full)) / (sum(weight[s] for s in free) or 1)
+        over = {s for s in free if weight[s] * level >= 2 * size[s]}
+        if not over:
+            break
+        full |= over
+    quota = {s: round(2 * size[s] if s in full else weight[s] * level) for s in names}
+    total = sum(quota.values())
+    block = max(1, min(block_words, total // (slots_a_source * len(names))))
+    line = {s: [] for s in names}
+    for s in names:  # the words of a source in shuffled order, read twice
+        for i, n, _ in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"mix{r[0]}".encode()).hexdigest()):
+            line[s] += [i] * n
+        line[s] *= 2
+    taken, slots, rank = Counter(), defaultdict(list), Counter()
+    for slot in range(-(-total // block)):
+        point, upto = (slot + 1) * mixing.GOLDEN % 1.0, 0
+        for s in names:
+            upto += quota[s]
+            if quota[s] and (point < upto / total or s == names[-1]):
+                break
+        got = line[s][rank[s] * block : (rank[s] + 1) * block]
+        rank[s] += 1
+        taken.update(got)
+        for i in set(got):
+            slots[i].append(slot)
+    return {i: (taken[i], slots[i]) for i, _, _ in rows}, quota, block
+
+
+def test_mix_by_brute_force(spark, monkeypatch):
     rng = random.Random(6)
-    rows = [(i, "w " * rng.randint(0, 40), ["hot"] * 6 + ["b", "c", None]) for i in range(900)]
-    docs = spark.createDataFrame([(i, t, s[i % 9]) for i, t, s in rows], "doc_id long, text string, source string")
+    rows = [(i, rng.randint(0, 40), ([*["hot"] * 6, "b", "c", None])[i % 9]) for i in range(900)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "SLOTS", 300)
     line, sources, pieces = mixing.mix(docs)
-    got = mixing.taken_words(line, pieces).collect()
-    by = defaultdict(int)
-    for r in got:
-        assert 0 <= r["taken"] <= 2 * r["size"]
-        by[r["source"]] += r["taken"]
-    for s in sources.collect():
-        assert by[s["source"]] == round(s["target"]) <= 2 * s["source_size"]
-    slots = [r["slot"] for r in pieces.select("slot", "source_no").distinct().where("slot IS NOT NULL").collect()]
-    assert len(slots) == len(set(slots))
+    got = {r["doc_id"]: r for r in mixing.taken_words(line, pieces).collect()}
+    want, quota, block = brute_mix(rows, 300, 4096)
+    by = Counter()
+    for i, n, s in rows:
+        taken, slots = want[i]
+        assert (got[i]["taken"], got[i]["first_slot"]) == (taken, min(slots, default=None)) and taken <= 2 * n
+        assert got[i]["n_slots"] >= len(slots)  # a block may hold the end of one reading and the start of the next
+        by[s] += taken
+    assert block > 1 and all(abs(by[s] - q) <= 4 * block for s, q in quota.items())
+    assert {r["source"]: round(r["target"]) for r in sources.collect()} == quota
     again = mixing.taken_words(*[x for k, x in enumerate(mixing.mix(docs)) if k != 1]).collect()
-    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    assert sorted(map(repr, got.values())) == sorted(map(repr, again))
+    monkeypatch.setattr(mixing, "GOLDEN", 0.5)  # without its schedule the mix is another one
+    line, _, pieces = mixing.mix(docs)
+    assert {r["doc_id"]: r["taken"] for r in mixing.taken_words(line, pieces).collect()} != {i: r["taken"] for i, r in got.items()}
+
+
+def test_mix_of_odd_rows(nasty, empty, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     for df in (nasty, empty):
         line, _, pieces = mixing.mix(df)
@@ -370,6 +586,35 @@ def test_fingerprints(spark, sf_dir, documents):
     assert np.mean([r["near_edited"] for r in got.values()]) > np.mean([r["near_next"] for r in got.values()])
 
 
+def test_ranges_of_any_number(spark):
+    import bisect
+
+    rng = random.Random(2)
+    bounds = sorted({rng.randint(-(10**12), 10**12) for _ in range(5000)})
+    keys = [*rng.sample(bounds, 300), *(b + 1 for b in bounds[:300]), bounds[0] - 1, bounds[-1] + 1, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").select("k", common.range_number(F.col("k"), bounds).alias("n"))
+    assert all(r["n"] == (0 if r["k"] is None else bisect.bisect_left(bounds, r["k"])) for r in df.collect())
+
+
+def test_fingerprints_at_many_partitions(spark, sf_dir):
+    few = sorted(map(repr, QUERIES["op8_fingerprint"](spark, sf_dir).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "700")
+    try:
+        assert few == sorted(map(repr, QUERIES["op8_fingerprint"](spark, sf_dir).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_likeness_by_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.concatenate((rng.integers(0, 90, 1), rng.integers(0, 4, 128))).astype(np.uint8) for _ in range(2))
+        away = min(12, abs(int(a[0]) - int(b[0])))
+        for x, y in zip(a[1:].tolist(), b[1:].tolist()):
+            away += 6 if abs(x - y) == 3 else abs(x - y)
+        assert fingerprint.likeness(a, b) == 1 - min(208, away) / 208
+
+
 def test_digest_by_brute_force():
     data = "grüße aus dem Feld, grüße!".encode()
     counts = [0] * 128
@@ -423,6 +668,37 @@ def test_rules_find_thresholds(spark):
     assert quality_rules.fit_decision_list(x, np.zeros(3000, bool), ["a", "b", "c"]) == []
 
 
+def test_verdicts_of_the_query(spark, sf_dir, documents):
+    labels = {r["doc_id"]: r["quality"] for r in read(spark, sf_dir, "labels").collect() if r["doc_id"] in documents}
+    stats = {i: quality_rules.text_stats(t) for i, t in documents.items()}
+    names = [x.split()[0] for x in quality_rules.STATS.split(", ")]
+
+    def feature(i, f):
+        v = dict(zip(names, stats[i]))
+        a, _, b = quality_rules.FEATURES[f].partition(" / ")
+        return float(v[a]) if not b else v[a] / v[b] if v[b] else 0.0
+
+    ids = sorted(labels)
+    x, bad = np.array([[feature(i, f) for f in quality_rules.FEATURES] for i in ids]), np.array([labels[i] == 0 for i in ids])
+    order = np.random.default_rng(7).permutation(len(ids))
+    rules = quality_rules.fit_decision_list(x[order], bad[order], list(quality_rules.FEATURES))
+    assert rules
+    for r in QUERIES["op9_quality_rules"](spark, sf_dir).collect():
+        hit = [all((feature(r["doc_id"], f) <= v) == (op == "<=") for f, op, v in rule) for rule in rules]
+        assert r["rule"] == (hit.index(True) + 1 if any(hit) else None)
+        assert r["kept"] == (not r["base_failed"] and not any(hit))
+
+
+def test_rules_hold_on_the_prune_rows():
+    rng = np.random.default_rng(2)
+    x, bad = rng.random((900, 2)), rng.random(900) < 0.3  # nothing to learn
+    assert quality_rules.fit_decision_list(x, bad, ["a", "b"]) == []
+    bad = x[:, 0] > 0.7
+    wrong = bad.copy()
+    wrong[2::3] = ~bad[2::3]  # the prune rows deny what the others say
+    assert quality_rules.fit_decision_list(x, bad, ["a", "b"]) and quality_rules.fit_decision_list(x, wrong, ["a", "b"]) == []
+
+
 def test_quality_of_odd_rows(spark, nasty, empty):
     f = quality_rules.with_features(quality_rules.with_stats(nasty, ["doc_id"]))
     assert f.count() == len(NASTY)
@@ -455,6 +731,51 @@ def test_store_of_odd_rows(spark, nasty, empty, library, tmp_path):
     assert token_store.read_documents(spark.read.schema(token_store.SCHEMA).parquet(str(tmp_path / "b"))).count() == 0
 
 
+def test_store_of_whole_texts_is_the_same(library):
+    definition = open(bpe.vocabulary_path(), encoding="utf-8").read()
+    texts = ["", "plain words here", "<|endoftext|> x", "tabs\t\tand  blanks ", "ՠ日本語 ok", "don't we'll I'm"] * 3
+    words, whole = token_store.LibraryEncoder(definition), token_store.LibraryEncoder(definition, whole=True)
+    assert words.encode(texts) == whole.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
+def test_a_difference_stops_the_store(monkeypatch):
+    encoder = token_store.LibraryEncoder(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    monkeypatch.setattr(token_store, "VERIFY", 1)
+    monkeypatch.setattr(encoder, "_encode_words", lambda texts: [b"" for _ in texts])
+    with pytest.raises(ValueError):
+        encoder.encode(["some text"])
+
+
+def test_other_tokenizers_are_refused(library):
+    import json
+
+    spec = json.loads(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    bpe.check_byte_level(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"pre_tokenizer": None}):
+        with pytest.raises(ValueError):
+            bpe.TrieBpe(json.dumps({**spec, **change}))
+    lower = token_store.LibraryEncoder(json.dumps({**spec, "normalizer": {"type": "Lowercase"}}))
+    assert lower.whole and lower.encode(["ABC"]) == [np.array(library.encode("abc").ids, "<u2").tobytes()]
+
+
+def test_lookup_of_many_keys(spark, library, tmp_path):
+    rows = [(i * 3, f"text number {i}") for i in range(6000)] + [(900, f"again {k} " * 5) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_store.write_store(docs, str(tmp_path / "s"), shard_ids=500)
+    store = spark.read.schema(token_store.SCHEMA).parquet(str(tmp_path / "s"))
+    assert store.where("first_nth > 0").count() > 0  # a key that goes on in further shards
+    want = defaultdict(list)
+    for k, t in rows:
+        want[k].append(library.encode(t, add_special_tokens=False).ids + [0])
+    got = defaultdict(list)
+    for r in token_store.lookup(store, list(range(10_000))).collect():
+        got[r["doc_id"]].append(r["ids"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if k < 10_000}
+    few = token_store.lookup(store, spark.createDataFrame([(3,), (4,), (None,), (3,)], "doc_id long")).collect()
+    assert [(r["doc_id"], r["ids"]) for r in few] == [(3, want[3][0])]
+    assert token_store.lookup(store, []).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 997])
 def test_perfect_hash(n):
     keys = np.arange(n) * 31 - 5
