@@ -50,7 +50,7 @@ FREQUENT = 40
 #: Tokens of a set that a range of hashes holds, at least.
 RANGE_TOKENS = 5
 #: Representatives that ask in a tile of a bucket, those that answer, and those compared in a step.
-TILE, SEGMENT, STEP = 512, 8192, 512
+TILE, SEGMENT, STEP = 512, 2048, 512
 #: Documents whose ids are broadcast to the scan that verifies them: 16 MB.
 BROADCAST_IDS = 1_000_000
 #: Members that meet one set of their hub in a task, and hubs that a row of a member lists, about.
