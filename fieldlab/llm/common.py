@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,16 +50,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables; results that still read them are void after that."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+    _MADE.clear()
+
+
+@contextmanager
+def only_the_last(spark: SparkSession):
+    """Of the tables made inside, only the last one stays: for steps that end in a written table."""
+    before = len(_MADE)
+    yield
+    for path in _MADE[before:-1]:
+        _delete(spark, path)
+    del _MADE[before:-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -806,6 +806,18 @@ def test_pipeline_stages(spark, sf_dir, library):
         assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
 
 
+def test_pipeline_leaves_one_table(spark, sf_dir):
+    import os
+
+    import corpus_pipeline as cp
+
+    base = common.shared_dir(spark)
+    before = set(os.listdir(base))
+    rows = cp.run(spark, sf_dir)
+    left = set(os.listdir(base)) - before
+    assert len(left) == 1 and rows.count() > 0 and rows.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
 def test_pipeline_of_odd_rows(spark, nasty, sf_dir):
     import corpus_pipeline as cp
 
