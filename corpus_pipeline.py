@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from fieldlab.llm.common import bounded_batches, free_names, materialize, quoted, read
+from fieldlab.llm.common import bounded_batches, free_names, materialize, only_the_last, quoted, read
 
 #: A line on over this share of a host's distinct pages, and at least so many of them, is boilerplate.
 LINE_RATIO, LINE_PAGES = 0.01, 5
@@ -67,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES, 1):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    with only_the_last(spark):
+        for k, (_, stage) in enumerate(STAGES, 1):
+            with only_the_last(spark):  # the stage before stays until this one is written
+                docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs
