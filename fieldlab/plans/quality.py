@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldlab.constants import QualityCriteria
 from fieldlab.operators import quality as Q
-from fieldlab.sources.standins import PLANES_SQL, planes, table
+from fieldlab.sources.standins import PHOTOS_SQL, PLANES_SQL, photos, planes, table
 
 QUERIES, SQL = {}, {}
 SIDE = 8
@@ -87,11 +87,30 @@ def _(spark, d):
     return Q.pixel_metrics(planes(spark, d), SIDE).select("image_id", Q.verdict(Q.failures(CRITERIA)).alias("verdict"))
 
 
-@query("image_quality_audit", f"""{_ALL} SELECT m.image_id, round(any_value(blur), 4) AS blur, round(any_value(mean_luma), 6) AS mean_luma, round(any_value(contrast), 6) AS contrast,
-  round(any_value(specular), 6) AS specular, coalesce(string_agg(criterion, ',' ORDER BY no), '') AS failing, {_VERDICT} FROM metrics m LEFT JOIN failing f ON f.image_id = m.image_id GROUP BY 1""")
+#: Photos above this side are averaged down for blur, and smaller ones than the least side fail.
+BLUR, LEAST = 12, 10
+AUDIT = A = QualityCriteria(min_blur=20000.0, min_luma=120.0, max_luma=135.0, max_clipped=0.01, min_contrast=48.0, max_cast=0.06, max_specular=0.01, min_side=LEAST)
+_AUDIT = f"""WITH {PHOTOS_SQL}, lit AS (SELECT image_id, least(w, h) AS side, x - (w - least(w, h)) // 2 AS x, y - (h - least(w, h)) // 2 AS y, r, g, b, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l
+    FROM photos WHERE x - (w - least(w, h)) // 2 BETWEEN 0 AND least(w, h) - 1 AND y - (h - least(w, h)) // 2 BETWEEN 0 AND least(w, h) - 1),
+  share AS (SELECT o, i, (least((o + 1) * 16 / {BLUR}::DOUBLE, i + 1) - greatest(o * 16 / {BLUR}::DOUBLE, i)) * {BLUR} / 16::DOUBLE AS part FROM (SELECT unnest(range({BLUR})) AS o) CROSS JOIN (SELECT unnest(range(16)) AS i)),
+  sw AS (SELECT * FROM share WHERE part > 0),
+  plane AS (SELECT image_id, x, y, l FROM lit WHERE side <= {BLUR} UNION ALL SELECT image_id, a.o, b.o, sum(l * a.part * b.part) FROM lit JOIN sw a ON a.i = x JOIN sw b ON b.i = y WHERE side > {BLUR} GROUP BY 1, 2, 3),
+  edges AS (SELECT image_id, lag(l) OVER rw + lead(l) OVER rw + lag(l) OVER cl + lead(l) OVER cl - 4 * l AS e FROM plane WINDOW rw AS (PARTITION BY image_id, y ORDER BY x), cl AS (PARTITION BY image_id, x ORDER BY y)),
+  blurs AS (SELECT image_id, var_pop(e) AS blur FROM edges WHERE e IS NOT NULL GROUP BY image_id),
+  metrics AS (SELECT * FROM (SELECT image_id, any_value(side) AS side, {_LUMA}, {_CAST}, {_SHINY} FROM lit GROUP BY image_id) JOIN blurs USING (image_id)),
+  failing AS (SELECT image_id, unnest([{{'no': 1, 'name': 'blur', 'hit': blur < {A.min_blur}, 'blocking': true}}, {{'no': 2, 'name': 'exposure', 'hit': mean_luma NOT BETWEEN {A.min_luma} AND {A.max_luma}, 'blocking': true}},
+    {{'no': 3, 'name': 'clipping', 'hit': clipped > {A.max_clipped}::DOUBLE, 'blocking': true}}, {{'no': 4, 'name': 'contrast', 'hit': contrast < {A.min_contrast}, 'blocking': false}}, {{'no': 5, 'name': 'colorCast', 'hit': cast_ > {A.max_cast}::DOUBLE, 'blocking': false}},
+    {{'no': 6, 'name': 'specular', 'hit': specular > {A.max_specular}::DOUBLE, 'blocking': false}}, {{'no': 7, 'name': 'resolution', 'hit': side < {LEAST}, 'blocking': true}}]) AS f FROM metrics)
+  SELECT m.image_id, round(any_value(blur), 4) AS blur, round(any_value(mean_luma), 11) AS mean_luma, round(any_value(contrast), 6) AS contrast, round(any_value(specular), 6) AS specular, CAST(any_value(side) AS INT) AS side,
+    coalesce(string_agg(f.name, ',' ORDER BY f.no) FILTER (WHERE f.hit), '') AS failing, CASE WHEN bool_or(f.hit AND f.blocking) THEN 'blocking' WHEN bool_or(f.hit) THEN 'advisory' ELSE 'ok' END AS verdict
+  FROM metrics m JOIN failing f ON f.image_id = m.image_id GROUP BY 1"""
+
+
+@query("image_quality_audit", _AUDIT)
 def image_quality_audit(spark, d):
-    a = Q.audit(Q.as_images(planes(spark, d), SIDE), "image_id", CRITERIA)
-    return a.select("image_id", F.round("blur", 4).alias("blur"), F.round("mean_luma", 6).alias("mean_luma"), F.round("contrast", 6).alias("contrast"), F.round("specular", 6).alias("specular"), F.array_join(F.transform("failures", lambda f: f["criterion"]), ",").alias("failing"), "verdict")
+    a = Q.audit(Q.as_images(photos(spark, d)), "image_id", AUDIT, BLUR)
+    # means are multiples of 0.001 / 256, whole at 11 places
+    return a.select("image_id", F.round("blur", 4).alias("blur"), F.round("mean_luma", 11).alias("mean_luma"), F.round("contrast", 6).alias("contrast"), F.round("specular", 6).alias("specular"), "side", F.array_join(F.transform("failures", lambda f: f["criterion"]), ",").alias("failing"), "verdict")
 
 
 @query("verify_images", "SELECT vec_id AS image_id FROM embeddings WHERE vec_id % 50 = 0")

@@ -72,7 +72,7 @@ def remote_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         F.col("event_type").alias("texture_class"),
         (F.col("value") / 100.0).alias("confidence_score"),
     )
-    even = rows.where("seq % 2 = 0 AND uuid <> 'u-7'")
+    even = rows.where("seq % 2 = 0")
     local = even.groupBy("uuid").agg(F.max_by(F.struct("seq", "updated_at", "deleted", "texture_class", "confidence_score"), "seq").alias("r")).select("uuid", F.col("r.seq").alias("id"), "r.updated_at", F.lit(False).alias("deleted"), "r.texture_class", "r.confidence_score")
     return local, rows.where("seq % 2 = 1")
 
@@ -83,7 +83,7 @@ SELECT 'u-' || user_id AS uuid, event_id AS seq, date_trunc('day', ts) AS instan
   event_type AS texture_class, value / 100.0::DOUBLE AS confidence_score FROM events),
 local AS (SELECT uuid, max(seq) AS id, max_by(instant, seq) AS instant, max_by(updated_at, seq) AS updated_at, false AS deleted,
   max_by(texture_class, seq) AS texture_class, max_by(confidence_score, seq) AS confidence_score
-  FROM rows WHERE seq % 2 = 0 AND uuid <> 'u-7' GROUP BY uuid),
+  FROM rows WHERE seq % 2 = 0 GROUP BY uuid),
 remote AS (SELECT * FROM rows WHERE seq % 2 = 1)"""
 
 
@@ -116,8 +116,8 @@ def tips_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.struct(
         F.when(F.size("a") == 0, "abstained").otherwise("grounded").alias("status"),
         F.transform("a", lambda x: F.struct(x["text"].alias("text"), F.array(x["turn"].cast("int"), (x["turn"] + 1).cast("int")).alias("citations"))).alias("tips"),
-        F.transform("u", lambda x: F.struct(F.substring(x["text"], 1, 20).alias("title"), F.concat(F.lit("https://example.org/"), x["turn"]).alias("url"), F.when(x["turn"] % 4 == 0, "Editora").alias("publisher"), F.lit(None).cast("string").alias("date"))).alias("sources"),
-        F.when(F.col("conv_id") % 5 == 0, " ").otherwise("Consulte um técnico.").alias("disclaimer"),
+        F.transform("u", lambda x: F.struct(x["text"].alias("title"), F.concat(F.lit("https://example.org/"), x["turn"]).alias("url"), F.when(x["turn"] % 4 == 0, "Editora").alias("publisher"), F.lit(None).cast("string").alias("date"))).alias("sources"),
+        F.when(F.col("conv_id") % 10 == 0, " \n\t").when(F.col("conv_id") % 5 == 0, " ").otherwise("Consulte um técnico.").alias("disclaimer"),
         F.lit("m1").alias("model"),
         F.lit("2026-01-01T00:00:00.000Z").alias("retrievedAt"),
     )
@@ -130,11 +130,11 @@ TIPS_SQL = """turns AS (SELECT conv_id, turn, role, text FROM conversations),
 tips_cache AS (
 SELECT conv_id, 'rec-' || conv_id AS record_uuid, conv_id % 11 = 0 AS broken,
   CASE WHEN count(*) FILTER (WHERE role = 'assistant') = 0 THEN 'abstained' ELSE 'grounded' END AS status,
-  CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE 'Consulte um técnico.' END AS disclaimer,
+  CASE WHEN conv_id % 10 = 0 THEN ' ' || chr(10) || chr(9) WHEN conv_id % 5 = 0 THEN ' ' ELSE 'Consulte um técnico.' END AS disclaimer,
   CAST(count(*) FILTER (WHERE role = 'assistant') AS INT) AS n_tips, CAST(count(*) FILTER (WHERE role = 'user') AS INT) AS n_sources
 FROM turns GROUP BY conv_id),
 tip AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS tip_no FROM turns WHERE role = 'assistant'),
-source AS (SELECT conv_id, substr(text, 1, 20) AS title, 'https://example.org/' || turn AS url, CASE WHEN turn % 4 = 0 THEN 'Editora' END AS publisher,
+source AS (SELECT conv_id, text AS title, 'https://example.org/' || turn AS url, CASE WHEN turn % 4 = 0 THEN 'Editora' END AS publisher,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS source_no FROM turns WHERE role = 'user')"""
 
 
@@ -201,15 +201,34 @@ planes AS (SELECT vec_id AS image_id, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS IN
 FROM pixel)"""
 
 
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel rows (image_id, y, x, r, g, b) of photos 8 or 16 wide and 8 or 16 high from embeddings."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    v = F.col("vec_id")
+    e = e.withColumns({"w": F.when(v % 2 == 0, 8).otherwise(16), "h": F.when(F.floor(v / 2) % 2 == 0, 8).otherwise(16)})
+    e = e.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    at = lambda k: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round(127.5 + 400 * F.get("embedding", (F.col("y") * 9 + F.col("x") * 5 + k) % 64).cast("double"))))
+    return e.select(v.alias("image_id"), "y", "x", at(0).alias("r"), at(21).alias("g"), at(42).alias("b"))
+
+
+PHOTOS_SQL = """sized AS (SELECT vec_id, embedding, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 16 END AS w, CASE WHEN vec_id // 2 % 2 = 0 THEN 8 ELSE 16 END AS h FROM embeddings),
+spot AS (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM sized)),
+photos AS (SELECT vec_id AS image_id, w, h, x, y,
+  least(255.0::DOUBLE, greatest(0.0::DOUBLE, round(127.5::DOUBLE + 400 * embedding[(y * 9 + x * 5) % 64 + 1]::DOUBLE))) AS r,
+  least(255.0::DOUBLE, greatest(0.0::DOUBLE, round(127.5::DOUBLE + 400 * embedding[(y * 9 + x * 5 + 21) % 64 + 1]::DOUBLE))) AS g,
+  least(255.0::DOUBLE, greatest(0.0::DOUBLE, round(127.5::DOUBLE + 400 * embedding[(y * 9 + x * 5 + 42) % 64 + 1]::DOUBLE))) AS b FROM spot)"""
+
+
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item, version, truth (0 to 4), probabilities: softmax of ten times five dimensions."""
+    """item, version, truth (0 to 4), probabilities: softmax of two times the sums of every fifth dimension."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    x = e.withColumn("x", F.transform(F.slice("embedding", 1, 5), lambda v: F.exp(v.cast("double") * 10)))
+    dims = lambda k: F.aggregate(F.sequence(F.lit(k), F.lit(63), F.lit(5)), F.lit(0.0), lambda a, i: a + F.get("embedding", i).cast("double"))
+    x = e.withColumn("x", F.array(*(F.exp(2 * dims(k)) for k in range(5))))
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
     return x.select(F.col("vec_id").alias("item"), (F.col("vec_id") % 2).cast("int").alias("version"), (F.col("label") % 5).alias("truth"), F.transform("x", lambda v: v / total).alias("probabilities"))
 
 
-PROBABILITIES_SQL = """logit AS (SELECT vec_id, label, [exp(10 * embedding[1]::DOUBLE), exp(10 * embedding[2]::DOUBLE), exp(10 * embedding[3]::DOUBLE), exp(10 * embedding[4]::DOUBLE), exp(10 * embedding[5]::DOUBLE)] AS x FROM embeddings),
+PROBABILITIES_SQL = """logit AS (SELECT vec_id, label, list_transform(range(5), lambda k: exp(2 * list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(k, 64, 5), lambda i: embedding[i + 1]::DOUBLE)), lambda a, v: a + v))) AS x FROM embeddings),
 probs AS (SELECT vec_id AS item, CAST(vec_id % 2 AS INT) AS version, label % 5 AS truth,
   list_transform(x, lambda v: v / (x[1] + x[2] + x[3] + x[4] + x[5])) AS p FROM logit),
 cell AS (SELECT item, version, truth, unnest(p) AS p, unnest(range(5)) AS k FROM probs),
