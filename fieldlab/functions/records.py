@@ -9,17 +9,33 @@ from fieldlab.constants import (
     ADDRESS_LABEL, BAND_LABELS, CLASS_LABEL, COORDINATES_LABEL, HIGH, MODERATE, NO_ADDRESS, SHARE_TITLE,
 )
 
-# The shapes of timestamps that devices write, offset forms first.
-STAMP_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd")
+# The commonest shape of a timestamp, and the ISO-8601 grammar of the devices' parser
+# (groups: year, month, day, hour, minute, second, fraction, zone, sign, zone hours, zone minutes).
+COMMON_STAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"
+STAMP = r"^([+-]?\d{4,6})-?(\d\d)-?(\d\d)(?:[ T](\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d+))?)?)?( ?[zZ]| ?([-+])(\d\d)(?::?(\d\d))?)?)?\z"
+#: Years beyond this do not fit a timestamp of microseconds.
+LAST_YEAR = 275_760
 
 
 def instant(text: Column) -> Column:
-    """The instant of an ISO-8601 text; null if it has none of the known shapes.
+    """The instant of an ISO-8601 text; null if it is none.
 
-    A text without an offset is read in the session time zone, which jobs set
-    to the device's zone or UTC.
+    Extended and basic forms, a blank for the T, commas for points, any number
+    of decimals (cut after the microseconds) and zones with or without a colon
+    are read; parts beyond their range carry over, as 30 February does into
+    March.  A text without a zone is read in the session time zone, which jobs
+    set to the device's zone or UTC.
     """
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in STAMP_FORMATS))
+    part = lambda k: F.regexp_extract(text, STAMP, k)
+    number = lambda k: F.coalesce(part(k).try_cast("long"), F.lit(0))
+    year = number(1).cast("int")
+    day = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), number(2).cast("int") - 1), number(3).cast("int") - 1)
+    seconds = F.unix_date(day).cast("long") * 86_400 + number(4) * 3600 + number(5) * 60 + number(6)
+    offset = (number(10) * 3600 + number(11) * 60) * F.when(part(9) == "-", -1).otherwise(1)
+    micros = F.rpad(part(7), 6, "0").substr(1, 6).try_cast("long")
+    utc = F.timestamp_micros((seconds - offset) * 1_000_000 + F.coalesce(micros, F.lit(0)))
+    at = F.when(part(8) == "", F.to_utc_timestamp(utc, F.current_timezone())).otherwise(utc)
+    return F.coalesce(F.try_to_timestamp(text, F.lit(COMMON_STAMP)), F.when(text.rlike(STAMP) & (F.abs(year) <= LAST_YEAR), at))
 
 
 def instant_or_epoch(text: Column) -> Column:

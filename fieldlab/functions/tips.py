@@ -32,7 +32,8 @@ def shown_status(payload: Column) -> Column:
 
 
 def shown_disclaimer(payload: Column) -> Column:
-    return F.when(F.trim(payload["disclaimer"]) == "", DISCLAIMER).otherwise(payload["disclaimer"])
+    blank = payload["disclaimer"].rlike(r"^[\s\x85\ufeff\p{Z}]*\z")  # white space of any kind
+    return F.when(blank, DISCLAIMER).otherwise(payload["disclaimer"])
 
 
 def source_titles(payload: Column) -> Column:

@@ -61,14 +61,15 @@ def lww_applied(local: DataFrame, remote: DataFrame) -> DataFrame:
 def drain_outbox(outbox: DataFrame, records: DataFrame, remote_id: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, outbox, pushed) after every pending operation was pushed.
 
-    An upsert gets its remote id, a delete leaves it; orphans push nothing but
+    An upsert takes the remote id that the backend gave it, whatever it had; a
+    delete, or a backend that gave none, leaves it.  Orphans push nothing but
     are synced as well.  ``pushed`` is the number of operations.
     """
     todo = outbox.where(F.col("status") == "pending")
     by_record = todo.groupBy(F.col("record_uuid").alias("uuid")).agg(F.max(F.col("operation") == "upsert").alias("upserted"))
     given = F.concat(F.lit("remote-"), "uuid") if remote_id is None else remote_id
     after = records.join(by_record, "uuid", "left")
-    after = after.withColumn("remote_id", F.when(F.col("upserted"), F.coalesce("remote_id", given)).otherwise(F.col("remote_id")))
+    after = after.withColumn("remote_id", F.when(F.col("upserted"), F.coalesce(given, "remote_id")).otherwise(F.col("remote_id")))
     after = after.withColumn("sync_status", F.when(F.col("upserted").isNotNull(), "synced").otherwise(F.col("sync_status"))).select(*records.columns)
     return after, outbox.withColumn("status", F.lit("synced")), todo.agg(F.count("*").alias("pushed"))
 

@@ -171,7 +171,7 @@ def _(spark, d):
 
 
 @query("drain_outbox", _W + f""", {OUTBOX_SQL}, todo AS (SELECT record_uuid, bool_or(operation = 'upsert') AS upserted FROM outbox WHERE status = 'pending' GROUP BY 1)
-  SELECT uuid, CASE WHEN upserted THEN coalesce(remote_id, 'remote-' || uuid) ELSE remote_id END AS remote_id,
+  SELECT uuid, CASE WHEN upserted THEN 'remote-' || uuid ELSE remote_id END AS remote_id,
     CASE WHEN upserted IS NOT NULL THEN 'synced' ELSE sync_status END AS sync_status, (SELECT count(*) FROM outbox WHERE status = 'pending') AS pushed
   FROM records LEFT JOIN todo ON record_uuid = uuid""")
 def _(spark, d):
@@ -182,9 +182,9 @@ def _(spark, d):
 _NOW = "2026-01-01T12:00:00.000Z"
 
 
-@query("create_records", f"""SELECT 'new-' || event_id AS uuid, 'pending' AS sync_status, '{_NOW}' AS updated_at, false AS deleted, 'upsert' AS operation, 'pending' AS status FROM events WHERE event_type = 'view'""")
+@query("create_records", f"""SELECT 'new-' || event_id AS uuid, 'pending' AS sync_status, '{_NOW}' AS updated_at, false AS deleted, 'upsert' AS operation, 'pending' AS status FROM events""")
 def _(spark, d):
-    new = table(spark, d, "events").where("event_type = 'view'").select("event_id", F.col("event_type").alias("texture_class"))
+    new = table(spark, d, "events").select("event_id", F.col("event_type").alias("texture_class"))
     made, ops = S.create_records(new, _NOW, F.concat(F.lit("new-"), "event_id"))
     return made.select("uuid", "sync_status", "updated_at", "deleted").join(ops.select(F.col("record_uuid").alias("uuid"), "operation", "status"), "uuid")
 

@@ -70,7 +70,7 @@ def _(spark, d):
     return O.citations(tips_cache(spark, d)).withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
-@query("tips_status", _T + f"""SELECT record_uuid, CASE WHEN n_tips = 0 THEN 'abstained' ELSE status END AS shown, CASE WHEN trim(disclaimer) = '' THEN '{DISCLAIMER}' ELSE disclaimer END AS disclaimer,
+@query("tips_status", _T + f"""SELECT record_uuid, CASE WHEN n_tips = 0 THEN 'abstained' ELSE status END AS shown, CASE WHEN trim(disclaimer, ' ' || chr(9) || chr(10)) = '' THEN '{DISCLAIMER}' ELSE disclaimer END AS disclaimer,
   coalesce((SELECT string_agg(concat_ws(' — ', title, publisher), '; ' ORDER BY source_no) FROM source s WHERE s.conv_id = c.conv_id), '') AS titles FROM tips_cache c WHERE NOT broken""")
 def _(spark, d):
     p = tips_cache(spark, d).select("record_uuid", T.parse_payload(F.col("payload_json")).alias("p")).where("p IS NOT NULL")

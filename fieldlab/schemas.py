@@ -35,5 +35,3 @@ TIPS_PAYLOAD = (
     "sources array<struct<title: string, url: string, publisher: string, date: string>>, "
     "disclaimer string, model string, retrievedAt string"
 )
-#: What a remote row may overwrite.
-PAYLOAD = ["image_path", "latitude", "longitude", "address", "timestamp", "texture_class", "confidence_score"]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from fieldlab.functions import records as R
@@ -27,6 +28,36 @@ def test_instants(spark):
     assert got[0] - got[1] == 3 * 3600 and got[2] == got[1] and got[3:] == [None, None]
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("2026-01-01T12:00Z", "2026-01-01 12:00:00"), ("2026-01-01 12:00:00Z", "2026-01-01 12:00:00"), ("2026-01-01T12:00:00+0000", "2026-01-01 12:00:00"),
+    ("2026-01-01T12:00:00.123456789Z", "2026-01-01 12:00:00.123456"), ("20260101T120000Z", "2026-01-01 12:00:00"), ("2026-01-01 12:00:00.123456", "2026-01-01 12:00:00.123456"),
+    ("20260101", "2026-01-01 00:00:00"), ("2026-01-01T12", "2026-01-01 12:00:00"), ("2026-01-01T12:00:00,5-05", "2026-01-01 17:00:00.5"), ("2026-01-01T12:00:00 +05:30", "2026-01-01 06:30:00"),
+    ("2026-02-30T00:00:00Z", "2026-03-02 00:00:00"), ("2026-13-01T25:61:61Z", "2027-01-02 02:02:01"), ("+002026-01-01T00:00:00Z", "2026-01-01 00:00:00"), ("2026-01-01T12:00:00.1Z", "2026-01-01 12:00:00.1"),
+    ("2026-1-1", None), ("2026-01-01T", None), ("2026-01-01T12:00:00Z\n", None), ("2026-01-01T12:00:00.Z", None), (" 2026-01-01", None), ("n/a", None), ("", None), ("999999-01-01", None), (None, None),
+])
+def test_stamps(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(R.instant(F.col("t")).cast("string")).first()[0]
+    assert got == want
+
+
+def test_stamps_without_zone_are_local(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        got = spark.createDataFrame([("2026-01-01 12:00:00.5",), ("2026-01-01T12:00:00.5-0300",)], "t string").select(R.instant(F.col("t")).cast("double")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got[0][0] == got[1][0] == 1767279600.5
+
+
+def test_drain_takes_the_given_remote_id(spark):
+    records = spark.createDataFrame([("a", "srv-1", "pending"), ("b", "srv-2", "pending"), ("c", None, "pending"), ("d", None, "pending")], "uuid string, remote_id string, sync_status string")
+    ops = spark.createDataFrame([(1, "a", "upsert", "pending"), (2, "b", "delete", "pending"), (3, "c", "upsert", "pending"), (4, "gone", "upsert", "pending"), (5, "d", "upsert", "synced")], "id long, record_uuid string, operation string, status string")
+    given = F.when(F.col("uuid") == "a", "srv-NEW")
+    after, outbox, pushed = S.drain_outbox(ops, records, given)
+    assert {r["uuid"]: (r["remote_id"], r["sync_status"]) for r in after.collect()} == {"a": ("srv-NEW", "synced"), "b": ("srv-2", "synced"), "c": (None, "synced"), "d": (None, "pending")}
+    assert pushed.first()[0] == 4 and outbox.where("status <> 'synced'").count() == 0
+
+
 def test_merge_by_instant_then_tombstone(spark):
     local = [("a", 1, "2026-01-01T12:00:00.000Z", False, "Local")]
     assert _merge(spark, local, [("a", 1, "2026-01-02T00:00:00.000Z", "t", False, "Remote")])["a"]["address"] == "Remote"
@@ -70,3 +101,19 @@ def test_tombstones_change_live_rows_only(spark):
     assert [r["record_uuid"] for r in ops.collect()] == ["a"] and [r[0] for r in paths.collect()] == ["p1"]
     assert S.tombstone_records(df, df.where("false").select("id"), "now")[1].count() == 0
     assert S.tombstone_records(df, None, "now")[1].count() == 2
+
+
+def test_tables_keep_their_schemas(spark, sf_dir, tmp_path):
+    from fieldlab import schemas
+    from fieldlab.sources import standins, tables
+
+    r, path = standins.records(spark, sf_dir), str(tmp_path / "records")
+    tables.write_table(r.withColumn("more", F.lit(1)), path, schemas.RECORDS)
+    back = tables.read_records(spark, path)
+    assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in schemas.RECORDS] and back.exceptAll(r.select(*back.columns)).count() == 0
+    tables.write_table(standins.outbox(spark, sf_dir), str(tmp_path / "outbox"), schemas.OUTBOX)
+    assert C.pending(tables.read_outbox(spark, str(tmp_path / "outbox"))).count() == C.pending(standins.outbox(spark, sf_dir)).count()
+    tables.write_table(standins.tips_cache(spark, sf_dir), str(tmp_path / "tips"), schemas.TIPS)
+    assert tables.read_tips(spark, str(tmp_path / "tips")).columns == ["record_uuid", "payload_json", "retrieved_at"]
+    with pytest.raises(Exception, match="uuid is null"):
+        tables.write_table(r.withColumn("uuid", F.lit(None).cast("string")), str(tmp_path / "bad"), schemas.RECORDS)
