@@ -44,10 +44,16 @@ def _(spark, d):
     return stats.join(last, "batch").select("total", "addresses", F.round("mean_confidence", 9).alias("mean_confidence"))
 
 
-@query("stream_outbox_drain", f"WITH {RECORDS_SQL}, {OUTBOX_SQL} SELECT o.id, o.record_uuid, o.operation, r.uuid IS NULL AS orphan FROM outbox o LEFT JOIN records r ON r.uuid = o.record_uuid WHERE o.status = 'pending'")
+@query("stream_outbox_drain", f"""WITH {RECORDS_SQL}, {OUTBOX_SQL}, todo AS (SELECT record_uuid, bool_or(operation = 'upsert') AS upserted FROM outbox WHERE status = 'pending' GROUP BY 1)
+  SELECT o.id, o.record_uuid, o.operation, 'synced' AS status, r.uuid IS NULL AS orphan, CASE WHEN upserted THEN 'remote-' || r.uuid ELSE r.remote_id END AS remote_id,
+    CASE WHEN upserted IS NOT NULL THEN 'synced' ELSE r.sync_status END AS sync_status
+  FROM outbox o LEFT JOIN records r ON r.uuid = o.record_uuid LEFT JOIN todo t ON t.record_uuid = r.uuid""")
 def _(spark, d):
     root = scratch(spark, "stream")
-    ops = outbox(spark, d)
-    ops.write.parquet(f"{root}/log")
-    C.run_outbox_drain(C.read_changes(spark, f"{root}/log", ops.schema), records(spark, d), root).awaitTermination()
-    return spark.read.parquet(f"{root}/pushed").select("id", "record_uuid", "operation", "orphan")
+    ops, state = outbox(spark, d), records(spark, d)
+    ops.repartitionByRange(4, "id").write.parquet(f"{root}/log")
+    ops.where("id % 5 = 0").write.mode("append").parquet(f"{root}/log")  # told twice
+    C.run_outbox_drain(C.read_changes(spark, f"{root}/log", ops.schema, files_per_batch=2), state, root).awaitTermination()
+    after = C.drained_records(state, root).select(F.col("uuid").alias("record_uuid"), "remote_id", "sync_status", F.lit(False).alias("orphan"))
+    now = C.drained_outbox(ops, root).join(after, "record_uuid", "left")
+    return now.select("id", "record_uuid", "operation", "status", F.coalesce("orphan", F.lit(True)).alias("orphan"), "remote_id", "sync_status")

@@ -9,13 +9,23 @@ there is no watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.operators import catalogue as C
 from fieldlab.operators import sync as S
 
 
+#: Versions of the state that stay: what a reader or a repeated batch may still need.
+KEPT = 3
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_changes(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """The change log as it grows: Parquet files under ``path``."""
     reader = spark.readStream.schema(schema)
@@ -27,7 +37,7 @@ def _version(spark: SparkSession, root: str, batch: int) -> DataFrame | None:
     try:
         done = spark.read.schema("batch long").parquet(f"{root}/current")
         last = done.where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
-    except Exception as error:  # the first batch finds no table
+    except AnalysisException as error:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return None
@@ -40,8 +50,6 @@ def run_live_catalogue(changes: DataFrame, root: str, on_snapshot=None):
     ``on_snapshot(state, batch)`` is called after each batch with the whole
     state, for what is derived from it.  Returns the started query.
     """
-    spark = changes.sparkSession
-
     def fold(batch_df, batch):
         session = batch_df.sparkSession
         old = _version(session, root, batch)
@@ -55,8 +63,9 @@ def run_live_catalogue(changes: DataFrame, root: str, on_snapshot=None):
         session.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{root}/current")
         if on_snapshot:
             on_snapshot(session.read.parquet(f"{root}/state/{batch}"), batch)
+        if batch >= KEPT:
+            _delete(session, f"{root}/state/{batch - KEPT}")
 
-    del spark
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
 
@@ -78,12 +87,51 @@ def stats_writer(root: str):
     return write
 
 
-def run_outbox_drain(operations: DataFrame, records: DataFrame, root: str):
-    """Pushes pending operations as they arrive, each once: a batch that is run
-    again overwrites what it wrote.  Writes what was pushed, with the record's state."""
+def _pushed(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{root}/pushed")
+    except AnalysisException as error:  # the first batch finds no table
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return None
+
+
+def run_outbox_drain(operations: DataFrame, records: DataFrame, root: str, remote_id: Column | None = None):
+    """Pushes pending operations as they arrive, each operation id once.
+
+    An id that an earlier batch pushed is passed over, and a batch that is run
+    again overwrites what it wrote.  The log of pushes holds the record's state
+    and the remote id that the backend gave (``remote_id``, over record_uuid);
+    drained_outbox and drained_records are the tables after it.
+    """
+    given = F.concat(F.lit("remote-"), "record_uuid") if remote_id is None else remote_id
 
     def drain(batch_df, batch):
         todo = batch_df.where(F.col("status") == "pending").dropDuplicates(["id"])
-        S.with_current_state(todo, records).write.mode("overwrite").parquet(f"{root}/pushed/batch={batch}")
+        done = _pushed(batch_df.sparkSession, root)
+        if done is not None:
+            todo = todo.join(done.where(F.col("batch") < batch).select("id"), "id", "left_anti")
+        out = S.with_current_state(todo, records).drop("remote_id")
+        out = out.withColumn("remote_id", F.when((F.col("operation") == "upsert") & ~F.col("orphan"), given))
+        out.write.mode("overwrite").parquet(f"{root}/pushed/batch={batch}")
 
     return operations.writeStream.foreachBatch(drain).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+
+def drained_outbox(operations: DataFrame, root: str) -> DataFrame:
+    """``operations`` with status synced for all that were pushed."""
+    done = _pushed(operations.sparkSession, root)
+    if done is None:
+        return operations
+    hit = operations.join(done.select("id", F.lit(True).alias("__done")), "id", "left")
+    return hit.withColumn("status", F.when(F.col("__done"), "synced").otherwise(F.col("status"))).select(*operations.columns)
+
+
+def drained_records(records: DataFrame, root: str) -> DataFrame:
+    """``records`` after the pushes: synced, and with the remote id of the last upsert."""
+    done = _pushed(records.sparkSession, root)
+    if done is None:
+        return records
+    of = done.where(~F.col("orphan")).groupBy(F.col("record_uuid").alias("uuid")).agg(F.max_by("remote_id", F.when(F.col("remote_id").isNotNull(), F.col("id"))).alias("__given"), F.lit(True).alias("__done"))
+    after = records.join(of, "uuid", "left")
+    return after.withColumns({"remote_id": F.coalesce("__given", "remote_id"), "sync_status": F.when(F.col("__done"), "synced").otherwise(F.col("sync_status"))}).select(*records.columns)

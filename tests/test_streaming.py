@@ -18,3 +18,20 @@ def test_catalogue_follows_the_log(spark, tmp_path):
     assert rows == {"a": (1, "x"), "c": (5, "z")}
     last = spark.read.parquet(f"{root}/stats").orderBy(F.desc("batch")).first()
     assert (last["total"], last["addresses"], last["mean_confidence"]) == (2, 2, 0.5)
+
+
+def test_operations_are_pushed_once(spark, tmp_path):
+    records = spark.createDataFrame([("a", "old", "pending"), ("b", None, "pending"), ("c", None, "synced")], "uuid string, remote_id string, sync_status string")
+    records = records.withColumns({"deleted": F.lit(False), "texture_class": F.lit("x"), "updated_at": F.lit("t")})
+    kind = "id long, record_uuid string, operation string, status string"
+    told = [[(1, "a", "upsert", "pending"), (2, "b", "delete", "pending")], [(1, "a", "upsert", "pending"), (3, "gone", "upsert", "pending"), (4, "c", "upsert", "synced")]]
+    root, log = str(tmp_path / "out"), str(tmp_path / "log")
+    for rows in told:  # a run each
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(log)
+        C.run_outbox_drain(C.read_changes(spark, log, kind), records, root).awaitTermination()
+    pushed = spark.read.parquet(f"{root}/pushed")
+    assert sorted(r["id"] for r in pushed.collect()) == [1, 2, 3]
+    after = {r["uuid"]: (r["remote_id"], r["sync_status"]) for r in C.drained_records(records, root).collect()}
+    assert after == {"a": ("remote-a", "synced"), "b": (None, "synced"), "c": (None, "synced")}
+    ops = spark.createDataFrame([*told[0], *told[1][1:], (9, "b", "upsert", "pending")], kind)
+    assert {r["id"]: r["status"] for r in C.drained_outbox(ops, root).collect()} == {1: "synced", 2: "synced", 3: "synced", 4: "synced", 9: "pending"}
