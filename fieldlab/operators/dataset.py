@@ -34,6 +34,7 @@ def scan_folders(files: DataFrame, classes: list[str]) -> tuple[DataFrame, DataF
 
 def sample_id(path: Column) -> Column:
     """The file's stem without a trailing photo number in parentheses."""
+    # Fixed value: the shape of a numbered photo's stem.
     stem = F.regexp_replace(F.regexp_extract(path, r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
     numbered = F.regexp_extract(stem, r"^(.+?)\s*\(\d+\)$", 1)
     return F.when(numbered != "", F.trim(numbered)).otherwise(stem)
@@ -52,9 +53,12 @@ def group_counts(images: DataFrame, least: int = 3) -> DataFrame:
     return with_groups(images).groupBy("texture_class").agg(F.countDistinct("sample_group").alias("samples")).withColumn("enough", F.col("samples") >= least)
 
 
-def split_groups(images: DataFrame, seed: int = 42, val: float = 0.15, test: float = 0.15) -> DataFrame:
+def split_groups(images: DataFrame, seed: int = 42, val: float = 0.15, test: float = 0.15, least: int = 3) -> DataFrame:
     """``images`` with sample_group and split: all photos of a group in one split.
 
+    A class with under ``least`` groups stops the job that reads the split, with
+    its name and number.
+
     Groups of a class stand in the order of a seeded hash; the first
     max(1, round(test * n)) go to test, the next to val.  The place in a class
     comes from counts of hash ranges, so no task sorts a whole class.
@@ -70,6 +74,8 @@ def split_groups(images: DataFrame, seed: int = 42, val: float = 0.15, test: flo
     placed = groups.withColumn("place", inside).join(sizes, ["texture_class", "part"]).withColumn("place", F.col("place") + F.col("before"))
     quota = lambda share: F.greatest(F.lit(1), F.round(F.col("n") * share))
     split = F.when(F.col("place") <= quota(test), "test").when(F.col("place") <= quota(test) + quota(val), "val").otherwise("train")
+    few = F.concat(F.lit("class "), "texture_class", F.lit(" has "), F.col("n").cast("string"), F.lit(f" sample group(s), a split needs at least {least}"))
+    split = F.when(F.col("n") < least, F.raise_error(few)).otherwise(split)
     return images.join(placed.select("sample_group", split.alias("split")), "sample_group")
 
 
@@ -121,12 +127,13 @@ def manifest_vs_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def admit(manifest: DataFrame, judged: DataFrame, key: str) -> DataFrame:
-    """Manifest rows with their photo's metrics, flags and whether they are admitted, with the reason if not."""
+    """Every manifest row with its photo's metrics, flags and whether it is admitted, with the reason if not
+    (``no photo`` where none was judged)."""
     flags = F.transform("failures", lambda f: f["criterion"])
     blocking = F.array_join(F.transform(F.filter("failures", lambda f: f["blocking"]), lambda f: f["criterion"]), ",")
-    out = manifest.join(judged, key)
-    refused = F.col("verdict").isin("blocking", "unvalidated")
-    reason = F.when(F.col("verdict") == "blocking", blocking).when(F.col("verdict") == "unvalidated", F.col("error") if "error" in judged.columns else F.lit("unvalidated"))
+    out = manifest.join(judged, key, "left")
+    refused = F.col("verdict").isNull() | F.col("verdict").isin("blocking", "unvalidated")
+    reason = F.when(F.col("verdict").isNull(), "no photo").when(F.col("verdict") == "blocking", blocking).when(F.col("verdict") == "unvalidated", F.col("error") if "error" in judged.columns else F.lit("unvalidated"))
     return out.withColumns({"admitted": ~refused, "quality_flags": F.array_join(flags, ","), "reason": reason})
 
 
@@ -167,6 +174,13 @@ def shuffled_labels(images: DataFrame, key: str, label: str, seed: int) -> DataF
     return order(f"{seed}a|").select(key, "place").join(order(f"{seed}b|").select("place", F.col(label).alias("control")), "place").select(key, "control")
 
 
+def compare_arms(runs: DataFrame) -> DataFrame:
+    """Mean, spread and number of seeds of each arm (arm, seed, value), and how far its mean lies from the ``real`` arm's."""
+    of = runs.groupBy("arm").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("spread"), F.count("value").alias("seeds"))
+    real = F.max(F.when(F.col("arm") == "real", F.col("mean"))).over(Window.partitionBy())  # one row an arm
+    return of.withColumn("delta", F.col("mean") - real)
+
+
 def inherit_split(synthetic: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(synthetic rows with their parent's group and split, those that landed in test)."""
     of = synthetic.join(split.select(F.col("photo").alias("parent"), "sample_group", "split"), "parent")

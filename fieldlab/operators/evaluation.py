@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -32,15 +34,22 @@ def with_prediction(scores: DataFrame, labels: tuple[str, ...]) -> DataFrame:
 
 
 def confusion(scored: DataFrame, k: int) -> DataFrame:
-    """All k x k cells: truth, predicted, n."""
+    """All k x k cells: truth, predicted, n; rows without a prediction stand in cells of predicted -1, so none is lost.
+
+    Rows whose truth is no class are not counted.
+    """
     axis = scored.sparkSession.range(k)
     cells = axis.select(F.col("id").cast("int").alias("truth")).join(axis.select(F.col("id").cast("int").alias("predicted")), F.lit(True))  # k * k rows
-    n = scored.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
-    return cells.join(n, ["truth", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    called = F.when(F.col("predicted").between(0, k - 1), F.col("predicted")).otherwise(-1).cast("int")
+    n = scored.groupBy("truth", called.alias("predicted")).agg(F.count("*").alias("n"))
+    found = n.where(F.col("truth").between(0, k - 1)).select(F.col("truth").cast("int").alias("truth"), "predicted", "n")
+    return cells.withColumn("n", F.lit(0).cast("long")).unionByName(found).groupBy("truth", "predicted").agg(F.sum("n").alias("n"))
 
 
 def report(cells: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of each class; 0 where nothing is to divide by."""
+    """Precision, recall, F1 and support of each class; 0 where nothing is to divide by.
+
+    Rows without a prediction count in the support, as misses."""
     mine, other = Window.partitionBy("truth"), Window.partitionBy("predicted")
     d = cells.withColumns({"support": F.sum("n").over(mine), "called": F.sum("n").over(other)}).where("truth = predicted")
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
@@ -99,9 +108,39 @@ def weighted_cost(cells: DataFrame, costs: DataFrame) -> DataFrame:
     return cells.join(costs, ["truth", "predicted"]).agg(F.sum(F.col("n") * F.col("cost")).alias("total_cost"), F.try_divide(F.sum(F.col("n") * F.col("cost")), F.sum("n")).alias("mean_cost"))
 
 
-def percentiles(rows: DataFrame, column: str, at: list[float], by: list[str] = []) -> DataFrame:
-    """Exact percentiles, interpolated between neighbours."""
-    return rows.groupBy(*by).agg(*(F.percentile(column, q).alias(f"p{round(q * 100)}") for q in at))
+def percentiles(rows: DataFrame, column: str, at: list[float], by: list[str] = [], cuts: int = 256) -> DataFrame:
+    """Exact percentiles of each group, interpolated between neighbours; null values are passed over.
+
+    Approximate quantiles cut each group's values into ranges; counts of the
+    ranges say in which the wanted ranks lie, and only those ranges are summed
+    up value by value.  So no task holds the values of a group, however hot.
+    """
+    rows = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("__v"))
+    group = [F.col(c) for c in by]
+    bounds = rows.groupBy(*group).agg(F.percentile_approx("__v", [i / cuts for i in range(1, cuts)], 20 * cuts).alias("__bounds"))
+    cut = F.size(F.filter("__bounds", lambda b: b < F.col("__v")))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by] or [F.lit(True)]
+    every = lambda tests: reduce(Column.__and__, tests)
+    alone = lambda df: df if by else F.broadcast(df)  # one row where there is one group
+    counted = rows.groupBy(*group, "__v").agg(F.count("*").alias("__c"))
+    cells = counted.alias("r").join(alone(bounds.alias("b")), every(same("r", "b"))).select("r.*", cut.alias("__cut"))
+    sizes = cells.groupBy(*group, "__cut").agg(F.sum("__c").alias("__m"))
+    upto = Window.partitionBy(*group).orderBy("__cut")  # at most ``cuts`` rows a group
+    sizes = sizes.withColumns({"__before": F.sum("__m").over(upto) - F.col("__m"), "__n": F.sum("__m").over(Window.partitionBy(*group))})
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor((F.col("__n") - 1) * q), F.ceil((F.col("__n") - 1) * q)) for q in at))))
+    wanted = sizes.withColumn("__ranks", F.filter(ranks, lambda k: (k >= F.col("__before")) & (k < F.col("__before") + F.col("__m")))).where(F.size("__ranks") > 0)
+    near = cells.alias("r").join(alone(wanted.alias("w")), every([*same("r", "w"), F.col("r.__cut") == F.col("w.__cut")])).select("r.*", "w.__before", "w.__n", "w.__ranks")
+    inside = Window.partitionBy(*group, "__cut").orderBy("__v")
+    near = near.withColumn("__upto", F.col("__before") + F.sum("__c").over(inside))
+    hit = near.withColumn("__rank", F.explode(F.filter("__ranks", lambda k: (k < F.col("__upto")) & (k >= F.col("__upto") - F.col("__c")))))
+    found = hit.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"), F.first("__n").alias("__n"))
+
+    def value(q):
+        place = (F.col("__n") - 1) * q
+        low, high = F.element_at("__at", F.floor(place)), F.element_at("__at", F.ceil(place))
+        return low + (high - low) * (place - F.floor(place))
+
+    return found.select(*group, *(value(q).alias(f"p{q * 100:g}") for q in at))
 
 
 def parity(a: DataFrame, b: DataFrame, bins: int = 10) -> DataFrame:
@@ -140,11 +179,23 @@ def thresholds_by_class(scored: DataFrame, accept: float = 0.8) -> DataFrame:
     """For each predicted class the confidence and the margin that the share ``accept`` of its rows reach,
     beside the one confidence that the same share of all rows reach."""
     q = 1 - accept
-    whole = scored.agg(F.percentile("confidence", q).alias("global_threshold"))
-    own = scored.groupBy("predicted").agg(F.count("*").alias("n"), F.percentile("confidence", q).alias("top1_threshold"), F.percentile("margin", q).alias("margin_threshold"))
+    name = f"p{q * 100:g}"
+    whole = percentiles(scored, "confidence", [q]).select(F.col(name).alias("global_threshold"))
+    top1, margin = (percentiles(scored, c, [q], ["predicted"]).select("predicted", F.col(name).alias(f"{a}_threshold")) for c, a in (("confidence", "top1"), ("margin", "margin")))
+    own = scored.groupBy("predicted").agg(F.count("*").alias("n")).join(top1, "predicted").join(margin, "predicted")
     return own.join(whole, F.lit(True))  # one row
 
 
+def compare_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Coverage and accuracy among the accepted under each rule (top1, margin, global) of thresholds_by_class,
+    which all accept the same share of rows, up to ties."""
+    rows = scored.join(F.broadcast(thresholds.drop("n")), "predicted")  # one row a class
+    rules = {"top1": "confidence >= top1_threshold", "margin": "margin >= margin_threshold", "global": "confidence >= global_threshold"}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.expr(v).alias("taken")) for k, v in rules.items()))).alias("r")
+    hit = (F.col("truth") == F.col("predicted")).cast("double")
+    return rows.select(hit.alias("hit"), each).groupBy("r.rule").agg(F.avg(F.col("r.taken").cast("double")).alias("coverage"), F.avg(F.when(F.col("r.taken"), F.col("hit"))).alias("accuracy"))
+
+
 def outcome_status(score: Column, cause: Column, ood: Column) -> Column:
     """ok, rejectedOod or failed(cause); an unknown cause is an interpreter failure."""
     named = F.when(cause.isin(*CAUSES), cause).otherwise("interpreter")
@@ -181,9 +232,10 @@ def score_with(rows: DataFrame, columns: list[str], predict, keep: list[str]) ->
 def nearest_real(synthetic: DataFrame, real: DataFrame, block: int = 4096) -> DataFrame:
     """Each synthetic item's nearest real item (item, vector): exact, by blocks of the synthetic side.
 
-    Distances are computed block against block in Arrow batches and reduced to
-    one row for each item and task, so no pair of items becomes a row.  A pair
-    of blocks is a task's unit; neither side is held whole.
+    The nearest is found block against block by the scalar products of a matrix
+    multiplication, and its distance then taken from the vectors; one row for
+    each item and pair of blocks comes out, so no pair of items becomes a row.
+    A pair of blocks is a task's unit; neither side is held whole.
     """
     import numpy as np
     import pyarrow as pa
@@ -205,14 +257,14 @@ def nearest_real(synthetic: DataFrame, real: DataFrame, block: int = 4096) -> Da
             ids = np.array(held[2])
             order = np.argsort(ids, kind="stable")
             y, ids = y[order], ids[order]
-            out_item, out_near, out_d = [], [], []
-            for lo in range(0, len(x), 256):
-                d = np.sqrt(((x[lo : lo + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-                k = d.argmin(axis=1)
-                out_item += held[0][lo : lo + 256]
-                out_near += ids[k].tolist()
-                out_d += d[np.arange(len(k)), k].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(out_item, pa.int64()), pa.array(out_near, pa.int64()), pa.array(out_d, pa.float64())], names=["item", "nearest", "distance"])
+            squares, items, near, far = (y * y).sum(axis=1), [], [], []
+            for lo in range(0, len(x), 512):  # a step holds 512 x block numbers
+                part = x[lo : lo + 512]
+                k = (squares - 2 * (part @ y.T)).argmin(axis=1)
+                items += held[0][lo : lo + 512]
+                near += ids[k].tolist()
+                far += np.sqrt(((part - y[k]) ** 2).sum(axis=1)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(near, pa.int64()), pa.array(far, pa.float64())], names=["item", "nearest", "distance"])
 
         for batch in batches:
             for i, j, side, item, v in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side", "item", "vector"))):

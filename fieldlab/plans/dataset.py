@@ -36,8 +36,13 @@ def split(spark, d):
 
 
 def scratch(spark, label):
-    """A new folder that all executors share: the cluster's, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldlab-")
+    """A new folder that all executors share: the cluster's, or on one machine without any a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="fieldlab-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -141,10 +146,10 @@ _ADMIT = f"""{_ALL}, flagged AS (SELECT m.image_id, coalesce(string_agg(criterio
   FROM metrics m LEFT JOIN failing f ON f.image_id = m.image_id GROUP BY 1)"""
 
 
-@query("admit_images", f"{_ADMIT} SELECT doc_id AS photo, reason IS NULL AS admitted, flags AS quality_flags, reason FROM documents JOIN flagged ON image_id = doc_id")
+@query("admit_images", f"{_ADMIT} SELECT doc_id AS photo, image_id IS NOT NULL AND reason IS NULL AS admitted, flags AS quality_flags, CASE WHEN image_id IS NULL THEN 'no photo' ELSE reason END AS reason FROM documents LEFT JOIN flagged ON image_id = doc_id")
 def _(spark, d):
     judged = Q.audit(Q.as_images(planes(spark, d), SIDE), "image_id", CRITERIA).withColumnRenamed("image_id", "photo")
-    return D.admit(manifest(spark, d), judged, "photo").select("photo", "admitted", "quality_flags", "reason")
+    return D.admit(manifest(spark, d).select("photo"), judged, "photo").select("photo", "admitted", "quality_flags", "reason")
 
 
 @query("recompute_admission", f"""{_ALL} SELECT image_id, CASE WHEN blur < 30000 OR mean_luma < 110 OR mean_luma > 140 OR clipped > 0.05::DOUBLE THEN 'blocking' WHEN contrast < 46 OR cast_ > 0.1::DOUBLE OR specular > 0.02::DOUBLE THEN 'advisory' ELSE 'ok' END AS verdict FROM metrics""")
@@ -179,6 +184,26 @@ def _(spark, d):
     return D.shuffled_labels(manifest(spark, d), "photo", "texture_class", 5)
 
 
+@query("control_arms", _W + """, seeds AS (SELECT unnest([1, 2, 3]) AS seed),
+  a AS (SELECT seed, sample_id, texture_class, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || 'a|' || photo), photo) AS place FROM manifest CROSS JOIN seeds),
+  b AS (SELECT seed, texture_class AS control, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || 'b|' || photo), photo) AS place FROM manifest CROSS JOIN seeds),
+  rows AS (SELECT a.seed, sample_id, texture_class, control FROM a JOIN b USING (seed, place)),
+  runs AS (SELECT 'real' AS arm, seed, avg((n = 1)::INT::DOUBLE) AS value FROM (SELECT seed, sample_id, count(DISTINCT texture_class) AS n FROM rows GROUP BY 1, 2) GROUP BY seed
+    UNION ALL SELECT 'shuffled', seed, avg((n = 1)::INT::DOUBLE) FROM (SELECT seed, sample_id, count(DISTINCT control) AS n FROM rows GROUP BY 1, 2) GROUP BY seed),
+  arms AS (SELECT arm, avg(value) AS mean, stddev_samp(value) AS spread, count(*) AS seeds FROM runs GROUP BY arm)
+  SELECT arm, round(mean, 9) AS mean, round(spread, 9) AS spread, seeds, round(mean - (SELECT mean FROM arms WHERE arm = 'real'), 9) AS delta FROM arms""")
+def _(spark, d):
+    # share of samples whose photos have one label, with real labels and with shuffled ones
+    m, runs = manifest(spark, d).select("photo", "sample_id", "texture_class"), []
+    for seed in (1, 2, 3):
+        both = m.join(D.shuffled_labels(m, "photo", "texture_class", seed), "photo")
+        of = both.groupBy("sample_id").agg(F.countDistinct("texture_class").alias("real"), F.countDistinct("control").alias("shuffled"))
+        whole = of.agg(*(F.avg((F.col(c) == 1).cast("double")).alias(c) for c in ("real", "shuffled")))
+        runs.append(whole.select(F.lit(seed).alias("seed"), F.expr("stack(2, 'real', real, 'shuffled', shuffled) AS (arm, value)")))
+    c = D.compare_arms(runs[0].unionByName(runs[1]).unionByName(runs[2]))
+    return c.select("arm", F.round("mean", 9).alias("mean"), F.round("spread", 9).alias("spread"), "seeds", F.round("delta", 9).alias("delta"))
+
+
 @query("synthetic_lineage_split", _SPLIT + " SELECT 's-' || photo AS item, sample_group, split, split = 'test' AS refused FROM split WHERE photo % 4 = 1")
 def _(spark, d):
     s = split(spark, d)
@@ -198,12 +223,12 @@ def _(spark, d):
     return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "problem").distinct()
 
 
-@query("manifest_hash")
+@query("manifest_hash", _SPLIT + " SELECT split, count(*) AS images, true AS recorded FROM split GROUP BY 1")
 def _(spark, d):
     root = scratch(spark, "manifests")
-    manifest(spark, d).write.option("header", True).csv(root)
-    recorded = M.manifest_hash(spark, f"{root}/*.csv")
-    recorded.write.parquet(f"{root}-hashes")
-    again = M.manifest_hash(spark, f"{root}/*.csv").select("path", F.col("sha256").alias("now"))
-    both = spark.read.parquet(f"{root}-hashes").join(again, "path")
-    return both.agg(F.count("*").alias("files"), F.min(F.col("sha256") == F.col("now")).alias("unchanged"))
+    s = split(spark, d)
+    s.select("sample_id", "texture_class", F.col("path").alias("image"), "setting", "site", "device").write.option("header", True).csv(f"{root}/manifest")
+    M.write_split(s.select("photo", "sample_group", "split"), f"{root}/split", 42, 0.15, 0.15, CLASSES, manifest=f"{root}/manifest/*.csv")
+    rows, settings = M.load_split(spark, f"{root}/split", manifest=f"{root}/manifest/*.csv")  # fails if the files changed
+    recorded = settings.agg(F.max((F.col("name") == "manifest_sha256") & (F.length("value") == 64)).alias("recorded"))
+    return D.split_counts(rows).crossJoin(F.broadcast(recorded))  # one row

@@ -170,6 +170,15 @@ def _(spark, d):
     return rounded(E.thresholds_by_class(s))
 
 
+@query("thresholds_at_equal_coverage", f"""{_P}, own AS (SELECT predicted, quantile_cont(top1, 0.2) AS a, quantile_cont(top1 - top2, 0.2) AS b FROM top GROUP BY 1),
+  r AS (SELECT truth = predicted AS hit, unnest(['top1', 'margin', 'global']) AS rule, unnest([top1 >= a, top1 - top2 >= b, top1 >= (SELECT quantile_cont(top1, 0.2) FROM top)]) AS taken FROM top JOIN own USING (predicted))
+  SELECT rule, round(avg(taken::INT::DOUBLE), 9) AS coverage, round(avg(hit::INT::DOUBLE) FILTER (WHERE taken), 9) AS accuracy FROM r GROUP BY rule""")
+def _(spark, d):
+    r = E.ranking(F.col("probabilities"))
+    s = scored(spark, d).withColumn("margin", F.get(r, 0)["p"] - F.get(r, 1)["p"])
+    return rounded(E.compare_thresholds(s, E.thresholds_by_class(s)))
+
+
 @query("outcome_status", f"{_P} SELECT item, {_STATUS} AS status FROM top")
 def _(spark, d):
     return log(spark, d).select("item", "status")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlab.operators.dataset import REQUIRED
+from fieldlab.operators.dataset import REQUIRED, scan_folders
 
 MANIFEST = "sample_id string, texture_class string, image string, setting string, site string, device string, captured_at string, sand_pct double, silt_pct double, clay_pct double, lab_report string, quality_flags string"
 
@@ -16,6 +19,21 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
 
 
+def scan_dataset(spark: SparkSession, root: str, classes: list[str]) -> DataFrame:
+    """The images of a dataset folder; raises FileNotFoundError without the folder and
+    ValueError with the classes that have no image."""
+    try:
+        images, missing = scan_folders(list_files(spark, root), classes)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        raise FileNotFoundError(f"no dataset folder {root}") from error
+    lacking = sorted(r[0] for r in missing.collect())  # class names only
+    if lacking:
+        raise ValueError(f"no images of {', '.join(lacking)} under {root}")
+    return images
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest with the known columns that its header has."""
     header = spark.read.option("header", True).csv(path).columns
@@ -35,16 +53,31 @@ def manifest_hash(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def write_split(split: DataFrame, path: str, seed: int, val: float, test: float, classes: list[str]) -> None:
-    """Rows by split, and one row of settings beside them."""
+def manifest_digest(spark: SparkSession, path: str) -> str:
+    """One digest of a manifest's files, in order of their own digests (a row a file comes to the driver)."""
+    return hashlib.sha256("".join(sorted(r["sha256"] for r in manifest_hash(spark, path).select("sha256").collect())).encode()).hexdigest()
+
+
+def write_split(split: DataFrame, path: str, seed: int, val: float, test: float, classes: list[str], manifest: str | None = None) -> None:
+    """Rows by split, and one row a setting beside them; with ``manifest`` also the digest of those files."""
+    spark = split.sparkSession
     split.write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
     settings = [("seed", str(seed)), ("val", str(val)), ("test", str(test)), ("classes", ",".join(classes))]
-    split.sparkSession.createDataFrame(settings, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    if manifest:
+        settings.append(("manifest_sha256", manifest_digest(spark, manifest)))
+    spark.createDataFrame(settings, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 
 
-def load_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, settings); raises what Spark raises if there is none."""
-    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/settings")
+def load_split(spark: SparkSession, path: str, manifest: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, settings); raises what Spark raises if there is none, and ValueError
+    where ``manifest`` is not the one that the split was made of."""
+    rows, settings = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/settings")
+    if manifest:
+        stored = settings.where("name = 'manifest_sha256'").first()
+        found = manifest_digest(spark, manifest)
+        if stored is None or stored["value"] != found:
+            raise ValueError(f"the split was made of manifest {stored and stored['value']}, not of {found}")
+    return rows, settings
 
 
 def write_run(metrics: DataFrame, path: str) -> None:
@@ -52,11 +85,19 @@ def write_run(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").partitionBy("version").parquet(path)
 
 
-def concat_history(history: DataFrame) -> DataFrame:
+def concat_history(history: DataFrame, chunk: int = 4096) -> DataFrame:
     """Metric series (version, phase, epoch, metric, value) with both phases end to end.
 
-    Only metrics that phase 1 has go on; ``step`` counts epochs over both.
+    Only metrics that phase 1 has go on; ``step`` counts epochs over both.  The
+    place in a series is what lies in the chunks of epochs before plus the place
+    in its own chunk, so no task sorts a whole series.
     """
-    known = history.where("phase = 1").select("version", "metric").distinct()
-    step = F.row_number().over(Window.partitionBy("version", "metric").orderBy("phase", "epoch"))
-    return history.join(known, ["version", "metric"]).withColumn("step", step)
+    series = ["version", "metric"]
+    known = history.where("phase = 1").select(*series).distinct()
+    rows = history.join(known, series).withColumn("chunk", F.floor(F.col("epoch") / chunk))
+    earlier = Window.partitionBy(*series).orderBy("phase", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*series, "phase", "chunk").agg(F.count("*").alias("m"))
+    sizes = sizes.select(*series, "phase", "chunk", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*series, "phase", "chunk").orderBy("epoch"))
+    placed = rows.withColumn("inside", inside).join(sizes, [*series, "phase", "chunk"])
+    return placed.withColumn("step", (F.col("before") + F.col("inside")).cast("int")).select(*history.columns, "step")

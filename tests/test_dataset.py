@@ -36,6 +36,87 @@ def test_few_groups_are_named(spark):
     assert {r["texture_class"]: r["enough"] for r in D.group_counts(few).collect()} == {"a": False, "b": True}
 
 
+def test_few_groups_stop_the_split(spark, photos):
+    few = photos.unionByName(spark.createDataFrame([("rare", "rare/1.jpg"), ("rare", "rare/2.jpg")], "texture_class string, path string"))
+    with pytest.raises(Exception, match=r"class rare has 2 sample group\(s\), a split needs at least 3"):
+        D.split_groups(few).collect()
+
+
+def test_a_changed_manifest_stops_the_load(spark, photos, tmp_path):
+    photos.coalesce(2).write.option("header", True).csv(str(tmp_path / "m"))
+    M.write_split(D.split_groups(photos), str(tmp_path / "s"), 1, 0.15, 0.15, CLASSES, manifest=str(tmp_path / "m/*.csv"))
+    assert M.load_split(spark, str(tmp_path / "s"), manifest=str(tmp_path / "m/*.csv"))[0].count() == 180
+    photos.limit(1).write.mode("append").option("header", True).csv(str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="manifest"):
+        M.load_split(spark, str(tmp_path / "s"), manifest=str(tmp_path / "m/*.csv"))
+    M.write_split(D.split_groups(photos), str(tmp_path / "t"), 1, 0.15, 0.15, CLASSES)
+    with pytest.raises(ValueError):
+        M.load_split(spark, str(tmp_path / "t"), manifest=str(tmp_path / "m/*.csv"))
+
+
+def test_scan_names_what_is_missing(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        M.scan_dataset(spark, str(tmp_path / "none"), CLASSES)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.JPG").write_text("x")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "notes.txt").write_text("x")
+    with pytest.raises(ValueError, match="b, c"):
+        M.scan_dataset(spark, str(tmp_path), CLASSES)
+    assert M.scan_dataset(spark, str(tmp_path), ["a"]).count() == 1
+
+
+def test_every_manifest_row_is_judged(spark):
+    judged = spark.createDataFrame([(1, "ok", [], None), (2, "blocking", [("blur", True), ("contrast", False)], None), (3, "advisory", [("contrast", False)], None), (4, "unvalidated", None, "broken")], "photo long, verdict string, failures array<struct<criterion:string,blocking:boolean>>, error string")
+    got = {r["photo"]: (r["admitted"], r["quality_flags"], r["reason"]) for r in D.admit(spark.range(1, 6).withColumnRenamed("id", "photo"), judged, "photo").collect()}
+    assert got == {1: (True, "", None), 2: (False, "blur,contrast", "blur"), 3: (True, "contrast", None), 4: (False, None, "broken"), 5: (False, None, "no photo")}
+
+
+def test_series_across_chunks(spark):
+    rows = [(0, 1 + (e > 40), e, "loss", 0.5) for e in range(100)] + [(0, 2, 5, "late", 0.1)]
+    h = spark.createDataFrame(rows, "version int, phase int, epoch int, metric string, value double")
+    got = {r["epoch"]: r["step"] for r in M.concat_history(h, chunk=7).collect()}
+    assert got == {e: e + 1 for e in range(100)}
+
+
+def test_arms(spark):
+    runs = spark.createDataFrame([("real", 1, 0.9), ("real", 2, 0.7), ("shuffled", 1, 0.2), ("shuffled", 2, 0.4)], "arm string, seed int, value double")
+    got = {r["arm"]: r for r in D.compare_arms(runs).collect()}
+    assert got["shuffled"]["mean"] == pytest.approx(0.3) and got["shuffled"]["delta"] == pytest.approx(-0.5) and got["real"]["spread"] == pytest.approx(0.02**0.5)
+
+
+def test_rows_without_prediction_are_counted(spark):
+    s = spark.createDataFrame([(0, 0), (0, None), (1, 1), (1, 7), (None, 1)], "truth int, predicted int")
+    cells = E.confusion(s, 2)
+    assert {(r["truth"], r["predicted"]): r["n"] for r in cells.collect()} == {(0, 0): 1, (0, 1): 0, (1, 0): 0, (1, 1): 1, (0, -1): 1, (1, -1): 1}
+    assert E.summary(E.report(cells)).first()["accuracy"] == 0.5 and E.summary(E.report(cells)).first()["test_size"] == 4
+
+
+def test_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.random(3001).tolist(), "b": [0.5] * 700 + rng.integers(0, 4, 300).astype(float).tolist(), "c": [1.0], None: [2.0, 1.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None)], "g string, v double")
+    at = [0.0, 0.05, 0.5, 0.9, 1.0]
+    for r in E.percentiles(df, "v", at, ["g"], cuts=16).collect():
+        assert [r[f"p{round(q * 100)}"] for q in at] == pytest.approx(np.quantile(groups[r["g"]], at).tolist()) if r["g"] else r["p50"] == 1.5
+    whole = [v for vs in groups.values() for v in vs]
+    assert E.percentiles(df, "v", [0.25]).first()[0] == pytest.approx(np.quantile(whole, 0.25))
+
+
+def test_nearest_by_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(40, 8)), rng.normal(size=(300, 8))
+    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, vector array<double>")
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "item long, vector array<double>")
+    away = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    for r in E.nearest_real(a, b, block=32).collect():
+        assert r["nearest"] == away[r["item"]].argmin() and r["distance"] == pytest.approx(away[r["item"]].min(), rel=1e-12)
+
+
 def test_weights(photos):
     w = {r[0]: r[1] for r in D.class_weights(photos.where("texture_class <> 'c'"), [*CLASSES, "d"]).collect()}
     assert w["a"] == pytest.approx(120 / (4 * 60)) and w["c"] == w["d"] == 1
