@@ -3,8 +3,8 @@
 A line is boilerplate on a host if at least ``min_pages`` of the host's pages
 hold it and these are more than ``ratio`` of all its pages.  Lines are compared
 without white space at their ends and known by a 64-bit hash; each page counts
-a line once.  With ``distinct`` a host's pages of equal text are one page, so
-copies of a page do not turn its own lines into boilerplate.  Only (host, hash)
+a line once.  Pages of equal text on a host are one page (unless ``distinct`` is
+off), so copies of a page do not turn its own lines into boilerplate.  Only (host, hash)
 pairs are shuffled, summed up before they move (with a hash of the text beside
 them if ``distinct``);
 the few boilerplate hashes of each host come back to the pages, as a broadcast
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from fieldlab.llm.common import free_names, materialize, quoted, read
 
-RATIO, MIN_PAGES = 0.1, 5
+#: A line on over this share of a host's distinct pages, and at least so many of them, is boilerplate.
+RATIO, MIN_PAGES = 0.01, 5
 #: Most hashes that are broadcast: 8 MB.
 BROADCAST_LINES = 1_000_000
 SALTS = 64
@@ -52,7 +53,7 @@ def _at(host: str | Column) -> Column:
     return F.coalesce((quoted(host) if isinstance(host, str) else host).cast("string"), F.lit(_NO_HOST))
 
 
-def boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = True) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines.
 
     A host has at most (distinct lines of its average page) / ratio of them.
@@ -67,7 +68,7 @@ def boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = R
     return common.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = True) -> DataFrame:
     """``docs`` with the cleaned ``text``, ``n_lines`` and ``n_dropped``; other columns stay."""
     found = materialize(boilerplate(docs, host, ratio, min_pages, distinct), "boilerplate")
     total = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
@@ -98,20 +99,19 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op4_line_dedup": f"""
-WITH pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-key AS (SELECT doc_id, source, text, row_number() OVER () AS page FROM documents),
+WITH pages AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INT) AS pages FROM documents GROUP BY source),
 seen AS (
-  SELECT source, line, count(DISTINCT page) AS n
-  FROM (SELECT source, page, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM key)
-  WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT page) >= {MIN_PAGES}),
+  SELECT source, line, count(DISTINCT text) AS n
+  FROM (SELECT source, text, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM documents)
+  WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) >= {MIN_PAGES}),
 bad AS (
   SELECT s.source, list(line) AS lines FROM seen s JOIN pages p ON s.source IS NOT DISTINCT FROM p.source
-  WHERE n > p.pages * {RATIO} GROUP BY s.source),
+  WHERE n > p.pages * {RATIO}::DOUBLE GROUP BY s.source),
 split AS (
   SELECT doc_id, string_split(text, chr(10)) AS all_lines,
          list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) = ''
            OR NOT list_contains(coalesce(b.lines, []), trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))) AS kept
-  FROM key k LEFT JOIN bad b ON k.source IS NOT DISTINCT FROM b.source)
+  FROM documents k LEFT JOIN bad b ON k.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, coalesce(array_to_string(kept, chr(10)), CASE WHEN all_lines IS NULL THEN NULL ELSE '' END) AS text,
        CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(all_lines) - len(kept), 0) AS BIGINT) AS n_dropped
