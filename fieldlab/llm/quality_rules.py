@@ -166,10 +166,11 @@ def fit_decision_list(x: np.ndarray, bad: np.ndarray, names: list[str], precisio
 
 
 def labelled_sample(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled rows of each label, by a hash of doc_id."""
+    """At most ``sample`` labelled rows of each label, by a hash of doc_id; of rows of one doc_id the one of smallest features."""
     want = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [want.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    return featured.select("doc_id", *FEATURES).join(chosen[0].union(chosen[1]), "doc_id").select("doc_id", "quality", *FEATURES)
+    of = featured.select("doc_id", *FEATURES).join(chosen[0].union(chosen[1]), "doc_id").groupBy("doc_id", "quality")
+    return of.agg(F.min(F.struct(*FEATURES)).alias("f")).select("doc_id", "quality", "f.*")
 
 
 def learn_rules(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE, **fit) -> list[list[tuple[str, str, float]]]:

@@ -155,6 +155,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, leas
     want = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [want.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * sample short rows
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # one of repeated ids
     rows = rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = materialize(rows.withColumn("fit", F.substring("key", 1, 1).isin(*"0123456789")).drop("key"), "toxicity-sample")
     fit = rows.where("fit")
