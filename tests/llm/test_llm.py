@@ -285,7 +285,7 @@ def test_lines_of_raw_pages(spark, sf_dir):
     strip = lambda x: x.strip(" \t\r\x0b\x0c")
     per, held = Counter(h for h, _ in rows.values()), Counter((h, x) for h, t in rows.values() for x in {strip(y) for y in t.split("\n")})
     bad = lambda h, x: x and held[h, x] >= 2 and held[h, x] > 0.3 * per[h]
-    out = line_dedup.drop_boilerplate(pages, host=line_dedup.host_of(F.col("url")), ratio=0.3, min_pages=2)
+    out = line_dedup.drop_boilerplate(pages, host=line_dedup.host_of(F.col("url")), ratio=0.3, min_pages=2, distinct=False)
     for r in out.collect():
         h, t = rows[r["page_id"]]
         assert r["text"] == "\n".join(x for x in t.split("\n") if not bad(h, strip(x)))
