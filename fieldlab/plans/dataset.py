@@ -212,7 +212,7 @@ def _(spark, d):
     return of.select("item", "sample_group", "split", (F.col("split") == "test").alias("refused"))
 
 
-@query("manifest_format_diagnosis")
+@query("manifest_format_diagnosis", "SELECT DISTINCT unnest(['semicolon', 'latin']) AS folder, unnest(['semicolon_delimiter', 'not_utf8']) AS problem FROM documents")
 def _(spark, d):
     root = scratch(spark, "manifests")
     m = manifest(spark, d).select("sample_id", "texture_class", F.col("path").alias("image"), "setting", F.concat(F.lit("São "), "site").alias("site"), "device")

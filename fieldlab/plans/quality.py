@@ -119,7 +119,9 @@ def _(spark, d):
     return Q.verify_images(Q.as_images(cut, SIDE), "image_id")
 
 
-@query("image_features")
+@query("image_features", f"""WITH {PLANES_SQL}, blocks AS (SELECT image_id, y // 2 AS oy, x // 2 AS ox, avg(r) / 255 AS r, avg(g) / 255 AS g, avg(b) / 255 AS b FROM planes GROUP BY ALL),
+  v AS (SELECT image_id, oy, ox, unnest([1, 2, 3]) AS c, unnest([r, g, b]) AS v FROM blocks)
+  SELECT image_id, CAST(count(*) AS INT) AS n_features, list(round(v, 5) ORDER BY oy, ox, c) AS features FROM v GROUP BY image_id""")
 def _(spark, d):
     f = Q.resize_features(Q.as_images(planes(spark, d), SIDE), "image_id", 4)
-    return f.select("image_id", F.size("features").alias("n_features"), F.transform("features", lambda v: F.round(v, 5)).alias("features"))
+    return f.select("image_id", F.size("features").alias("n_features"), F.transform("features", lambda v: F.round(v.cast("double"), 5)).alias("features"))

@@ -178,6 +178,27 @@ def test_temperature_recovers_scaling(spark):
     assert 1.7 < t < 2.4
 
 
+def test_classifier_learns_weighted_classes(spark):
+    import random
+
+    rng, rows = random.Random(2), []
+    for i in range(900):
+        k = 0 if i % 10 else 1 + i // 10 % 2  # one class holds nine tenths
+        rows.append((i, float(k), [rng.gauss(3.0 * (k == j), 1.0) for j in range(3)]))
+    df = spark.createDataFrame(rows, "item long, label double, x array<double>")
+    w = D.class_weights(df.select(F.col("label").cast("int").cast("string").alias("texture_class")), ["0", "1", "2"])
+    w = w.select(F.col("texture_class").cast("double").alias("label"), "weight")
+    plain, weighted = (E.train_classifier(df.where("item % 3 <> 0"), "x", "label", x) for x in (None, w))
+    out = {}
+    for name, model in (("plain", plain), ("weighted", weighted)):
+        s = E.with_prediction(E.batch_score(model, df.where("item % 3 = 0").withColumn("truth", F.col("label").cast("int")), "x"), ("a", "b", "c"))
+        assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 for r in s.limit(20).collect())
+        rep = {r["class"]: r for r in E.report(E.confusion(s, 3)).collect()}
+        out[name] = min(rep[1]["recall"], rep[2]["recall"])
+        assert rep[0]["recall"] > 0.9
+    assert out["weighted"] > 0.8 and out["weighted"] >= out["plain"]
+
+
 def test_user_model_in_batches(spark):
     out = E.score_with(spark.range(5).select("id", (F.col("id") * 1.0).alias("x")), ["x"], lambda f: [[v, 1 - v] for v in f["x"]], ["id"])
     assert {r["id"]: r["probabilities"] for r in out.collect()}[2] == [2.0, -1.0]
