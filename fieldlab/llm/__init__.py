@@ -1,4 +1,4 @@
-"""Training-data operators: ten self-contained Spark jobs over text corpora.
+"""Training-data operators: thirteen self-contained Spark jobs over text corpora.
 
 Nothing else in the library imports this subpackage.  Each module holds one
 operator with its own general interface plus the thin ``opN_*`` query over it;
