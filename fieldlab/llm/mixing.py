@@ -6,12 +6,13 @@ Each source's documents are shuffled into a line of words that is read at most
 ``max_epochs`` times and cut into blocks of equally many words.  Slot ``i`` of
 the mix looks up the golden-ratio point ``frac((i + 1) * phi)`` in the
 cumulative targets; the slots of a source are ranked, and its slot of rank
-``r`` takes its block ``r``.  What a source gives to the mix is what its slots
-take, and the order of the slots is the order of the mix.  Golden-ratio points
-leave a source a few blocks off its target at most, and blocks are small
-against targets (``SLOTS`` of them for the average source), so a source with
-the average target comes within about 0.2 % of it, and one with a tenth of that
-within about 2 %.  Slots beyond a source's last reading take nothing.
+``r`` takes its block ``r``.  Golden-ratio points leave a source a few slots
+off its target at most: its last slot takes what the target still wants, and
+slots beyond the target take nothing.  A source so small that no point hits it
+gets one slot, at the place in the schedule that its targets' middle has in the
+cumulative ones.  So every source is taken to its target, rounded to whole
+words, and slots decide from which block on, in which order and in how many
+pieces.  Points are exact integers modulo 2^64.
 
 Defined results: null texts have size 0; the null source is a source of its
 own, the last in order; documents without words and sources without words are
@@ -25,9 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlab.llm.common import materialize, n_words, quoted, read, shuffle_parts, small_broadcast, split_running_sum
+from fieldlab.llm.common import free_names, materialize, n_words, quoted, read, shuffle_parts, small_broadcast, split_running_sum
 
-GOLDEN = 0.6180339887498949
+#: Fixed value: 2^64 over the golden ratio.
+GOLDEN = 0x9E3779B97F4A7C15
 #: Cells of the unit interval for the lookup of points by an equi-join.
 CELLS = 4096
 #: Slots that share a chunk when they are ranked.
@@ -36,6 +38,10 @@ SLOT_CHUNK = 65536
 SLOTS = 2000
 
 
+def _whole(number: int) -> Column:
+    return F.lit(str(number)).cast("decimal(20,0)")
+
+
 def cyclic_weights(rank: Column) -> Column:
     """3, 1, 2, repeating along the order of the sources."""
     return F.element_at(F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0)), (rank % 3 + 1).cast("int"))
@@ -67,7 +73,7 @@ def mix(docs: DataFrame, weight=cyclic_weights, share: float = 1.5, max_epochs:
     A piece is what a slot takes of one document: slot, source_no, block, row
     key (source_no, chunk, row_no), doc_id, epoch, first word, words.  A block
     holds the ``SLOTS``-th part of the average source's target, at least one
-    word and at most ``block_words``.
+    word and at most ``block_words``; a source's last one ends with its target.
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("shuffle"))
     sized = materialize(sized, "mix-sizes")
@@ -89,21 +95,30 @@ def mix(docs: DataFrame, weight=cyclic_weights, share: float = 1.5, max_epochs:
     spans = quotas.where("quota > 0").withColumn("hi", F.sum("quota").over(upto) / F.lit(float(total or 1)))
     spans = spans.withColumn("lo", F.lag("hi", 1, 0.0).over(upto)).withColumn("hi", F.when(F.lead("hi").over(upto).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
     spans = spans.select("source_no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.lit(CELLS - 1), F.floor(F.col("hi") * CELLS).cast("int")))).alias("cell"))
-    points = docs.sparkSession.range(-(-total // block)).withColumnRenamed("id", "slot")
-    turn = (F.col("slot") + 1) * F.lit(GOLDEN)
-    points = points.withColumn("point", turn - F.floor(turn)).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
-    slots = points.join(spans, "cell").where("point >= lo AND point < hi").select("slot", "source_no", F.floor(F.col("slot") / SLOT_CHUNK).alias("slot_chunk"))
-    slots = split_running_sum(materialize(slots, "mix-slots"), "source_no", "slot_chunk", ["slot"], F.lit(1), "block").drop("slot_chunk")
-    made = slots.groupBy("source_no").agg((F.count("*") * block).alias("made"))
-
-    # the words [from, upto) of a document's reading in each epoch, as far as slots reach, cut at block borders
+    n_slots = -(-total // block)
+    points = docs.sparkSession.range(n_slots).withColumnRenamed("id", "slot")
+    turn = ((F.col("slot") + 1).cast("decimal(18,0)") * _whole(GOLDEN)) % _whole(1 << 64)
+    # the upper 53 bits, which a double holds exactly
+    points = points.withColumn("point", F.shiftrightunsigned((turn - _whole(1 << 63)).cast("long").bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53)))
+    points = points.withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
+    slots = points.join(spans, "cell").where("point >= lo AND point < hi").select("slot", "source_no")
+    slots = materialize(slots, "mix-hits")
+    missed = spans.groupBy("source_no").agg(F.min("lo").alias("lo"), F.min(F.least("hi", F.lit(1.0))).alias("hi")).join(slots, "source_no", "left_anti")
+    slots = slots.union(missed.select(F.floor((F.col("lo") + F.col("hi")) / 2 * n_slots), "source_no"))
+    slots = materialize(slots.withColumn("slot_chunk", F.floor(F.col("slot") / SLOT_CHUNK)), "mix-slots")
+    slots = split_running_sum(slots, "source_no", "slot_chunk", ["slot"], F.lit(1), "block").drop("slot_chunk")
+    ends = slots.groupBy("source_no").agg((F.count("*") - 1).alias("last")).join(quotas.select("source_no", "quota"), "source_no")
+
+    # the words [from, upto) of a document's reading in each epoch, as far as the target reaches, cut at block borders
     row = ["source_no", "chunk", "row_no"]
-    reads = line.where("size > 0").join(made, "source_no")
-    reads = reads.select(*row, "doc_id", "size", "made", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"), (F.col("source_size") * F.col("epoch") + F.col("at")).alias("from"))
-    reads = reads.withColumn("upto", F.least(F.col("from") + F.col("size"), "made")).where("`from` < upto")
-    cut = reads.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("upto") - 1) / block))))
+    reads = line.where("size > 0").join(ends, "source_no")
+    reads = reads.select(*row, "doc_id", "size", "quota", "last", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"), (F.col("source_size") * F.col("epoch") + F.col("at")).alias("from"))
+    reads = reads.withColumn("upto", F.least(F.col("from") + F.col("size"), "quota")).where("`from` < upto")
+    of = lambda word: F.least(F.floor(word / block), F.col("last"))
+    cut = reads.withColumn("block", F.explode(F.sequence(of(F.col("from")), of(F.col("upto") - 1))))
     first = F.greatest(F.col("from"), F.col("block") * block)
-    pieces = cut.select(*row, "doc_id", "epoch", "block", (first - F.col("from")).alias("first_word"), (F.least(F.col("upto"), (F.col("block") + 1) * block) - first).alias("words"))
+    end = F.when(F.col("block") == F.col("last"), F.col("upto")).otherwise(F.least("upto", (F.col("block") + 1) * block))
+    pieces = cut.select(*row, "doc_id", "epoch", "block", (first - F.col("from")).alias("first_word"), (end - first).alias("words"))
     return line, sources, pieces.join(slots, ["source_no", "block"])
 
 
@@ -122,10 +137,11 @@ def whole_documents(docs: DataFrame, line: DataFrame, pieces: DataFrame) -> Data
     row = ["source_no", "chunk", "row_no"]
     reads = pieces.groupBy(*row, "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"), F.min("block").alias("block"))
     reads = reads.join(line.select(*row, "doc_id", "size", "at"), row).where(F.col("words") * 2 >= F.col("size"))
-    taken = reads.groupBy(F.col("doc_id").alias("__id"), "epoch").agg(F.min(F.struct("slot", "block", "source_no", "epoch", "at")).alias("__place"))
-    taken = small_broadcast(taken.select("__id", "__place"), "mix-copies")
-    order = ["__place", F.xxhash64("text")]
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    own, place = free_names(docs.columns, "id", "place")
+    taken = reads.groupBy(F.col("doc_id").alias(own), "epoch").agg(F.min(F.struct("slot", "block", "source_no", "epoch", "at")).alias(place))
+    taken = small_broadcast(taken.select(own, place), "mix-copies")
+    order = [place, F.xxhash64("text")]
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
     return out.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order).select(*map(quoted, docs.columns))
 
 
@@ -150,18 +166,25 @@ q AS (SELECT *, CAST(round(target) AS BIGINT) AS quota FROM t),
 plan AS (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS total, greatest(1, least(4096, coalesce(sum(quota), 0) // (2000 * greatest(1, count(*))))) AS block FROM q),
 span AS (SELECT source, CAST(sum(quota) OVER (ORDER BY source NULLS LAST) AS BIGINT) / (SELECT total FROM plan)::DOUBLE AS hi FROM q WHERE quota > 0),
 spans AS (SELECT source, coalesce(lag(hi) OVER (ORDER BY hi), 0) AS lo, CASE WHEN lead(hi) OVER (ORDER BY hi) IS NULL THEN 2 ELSE hi END AS hi FROM span),
-point AS (SELECT slot, (slot + 1) * 0.6180339887498949::DOUBLE AS turn FROM (SELECT unnest(range(CAST(ceil(total / block) AS BIGINT))) AS slot FROM plan)),
-slots AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block FROM point JOIN spans ON turn - floor(turn) >= lo AND turn - floor(turn) < hi),
-made AS (SELECT source, count(*) * any_value((SELECT block FROM plan)) AS made FROM slots GROUP BY source),
+point AS (
+  SELECT slot, CAST((slot + 1)::HUGEINT * 11400714819323198485 % 18446744073709551616 // 2048 AS BIGINT) / 9007199254740992::DOUBLE AS point
+  FROM (SELECT unnest(range(CAST(ceil(total / block) AS BIGINT))) AS slot FROM plan)),
+hits AS (SELECT slot, source FROM point JOIN spans ON point >= lo AND point < hi),
+every AS (
+  SELECT * FROM hits UNION ALL
+  SELECT CAST(floor((lo + least(hi, 1)) / 2 * (SELECT count(*) FROM point)) AS BIGINT), source FROM spans s
+  WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.source IS NOT DISTINCT FROM s.source)),
+slots AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block FROM every),
+ends AS (SELECT source, count(*) - 1 AS last FROM slots GROUP BY source),
 line AS (
-  SELECT z.doc_id, z.source, z.size, t.source_size, t.target, coalesce(m.made, 0) AS made,
+  SELECT z.doc_id, z.source, z.size, q.source_size, q.target, q.quota, e.last,
          coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY shuffle, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM sized z JOIN t ON z.source IS NOT DISTINCT FROM t.source LEFT JOIN made m ON z.source IS NOT DISTINCT FROM m.source),
-part AS (SELECT *, least(greatest(made - pos, 0), size) AS once, least(greatest(made - source_size - pos, 0), size) AS again, (SELECT block FROM plan) AS block FROM line)
+  FROM sized z JOIN q ON z.source IS NOT DISTINCT FROM q.source LEFT JOIN ends e ON z.source IS NOT DISTINCT FROM e.source),
+part AS (SELECT *, least(greatest(quota - pos, 0), size) AS once, least(greatest(quota - source_size - pos, 0), size) AS again, (SELECT block FROM plan) AS block FROM line)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(once + again AS BIGINT) AS taken, first.slot AS first_slot,
-       CAST(CASE WHEN once = 0 THEN 0 ELSE (pos + once - 1) // p.block - pos // p.block + 1 END
-          + CASE WHEN again = 0 THEN 0 ELSE (source_size + pos + again - 1) // p.block - (source_size + pos) // p.block + 1 END AS BIGINT) AS n_slots
-FROM part p LEFT JOIN slots first ON once > 0 AND first.source IS NOT DISTINCT FROM p.source AND first.block = pos // p.block
+       CAST(CASE WHEN once = 0 THEN 0 ELSE least((pos + once - 1) // p.block, last) - least(pos // p.block, last) + 1 END
+          + CASE WHEN again = 0 THEN 0 ELSE least((source_size + pos + again - 1) // p.block, last) - least((source_size + pos) // p.block, last) + 1 END AS BIGINT) AS n_slots
+FROM part p LEFT JOIN slots first ON once > 0 AND first.source IS NOT DISTINCT FROM p.source AND first.block = least(pos // p.block, last)
 """
 }
 QUERIES = {"op7_mixing": op7_mixing}
