@@ -1,7 +1,10 @@
 """Operator 4: line dedup by site-relative frequency.
 
-A line is boilerplate on a host if at least ``min_pages`` of the host's pages
-hold it and these are more than ``ratio`` of all its pages.  Lines are compared
+A line is boilerplate on a host if it surely stands on more than ``ratio`` of
+the host's pages: if n of its N pages hold it, n has to exceed ``ratio`` * N by
+``sure`` standard deviations of a count, sqrt(n).  So chance repeats stay on a
+host of any size without a fixed number of pages (twice is never enough), and
+on large hosts the ratio alone decides.  Lines are compared
 without white space at their ends and known by a 64-bit hash; each page counts
 a line once.  Pages of equal text on a host are one page (unless ``distinct`` is
 off), so copies of a page do not turn its own lines into boilerplate.  Only (host, hash)
@@ -22,13 +25,15 @@ called as an output stay, and the output gets an underscore.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.llm.common import free_names, materialize, quoted, read
 
-#: A line on over this share of a host's distinct pages, and at least so many of them, is boilerplate.
-RATIO, MIN_PAGES = 0.01, 5
+#: A line on over this share of a host's distinct pages is boilerplate, with so many standard deviations to spare (95 % sure).
+RATIO, SURE = 0.01, 1.645
 #: Most hashes that are broadcast: 8 MB.
 BROADCAST_LINES = 1_000_000
 SALTS = 64
@@ -53,7 +58,7 @@ def _at(host: str | Column) -> Column:
     return F.coalesce((quoted(host) if isinstance(host, str) else host).cast("string"), F.lit(_NO_HOST))
 
 
-def boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = True) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, sure: float = SURE, distinct: bool = True) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines.
 
     A host has at most (distinct lines of its average page) / ratio of them.
@@ -64,13 +69,15 @@ def boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = R
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_ENDS)) != ""), _key))
     seen = docs.select(at, page, F.explode(keys).alias("line"))
     seen = (seen.distinct() if distinct else seen).groupBy("host", "line").agg(F.count("*").alias("n"))
-    common = seen.where(F.col("n") >= min_pages).join(pages, "host").where(F.col("n") > F.col("pages") * ratio)
+    least = max(1, math.ceil(sure * sure))  # n - sure * sqrt(n) > 0 needs more than that
+    over = F.col("n") - F.col("pages") * ratio
+    common = seen.where(F.col("n") >= least).join(pages, "host").where((over > 0) & (over * over > F.col("n") * (sure * sure)))
     return common.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = RATIO, sure: float = SURE, distinct: bool = True) -> DataFrame:
     """``docs`` with the cleaned ``text``, ``n_lines`` and ``n_dropped``; other columns stay."""
-    found = materialize(boilerplate(docs, host, ratio, min_pages, distinct), "boilerplate")
+    found = materialize(boilerplate(docs, host, ratio, sure, distinct), "boilerplate")
     total = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     at, deal, b_host, b_lines, b_salt, kept = free_names(docs.columns, "__at", "__deal", "__host", "__lines", "__salt", "__kept")
     found = found.withColumnsRenamed({"host": b_host, "lines": b_lines})
@@ -103,10 +110,10 @@ WITH pages AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INT) AS
 seen AS (
   SELECT source, line, count(DISTINCT text) AS n
   FROM (SELECT source, text, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM documents)
-  WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) >= {MIN_PAGES}),
+  WHERE line <> '' GROUP BY source, line),
 bad AS (
   SELECT s.source, list(line) AS lines FROM seen s JOIN pages p ON s.source IS NOT DISTINCT FROM p.source
-  WHERE n > p.pages * {RATIO}::DOUBLE GROUP BY s.source),
+  WHERE n - p.pages * {RATIO}::DOUBLE > 0 AND (n - p.pages * {RATIO}::DOUBLE) * (n - p.pages * {RATIO}::DOUBLE) > n * {SURE * SURE}::DOUBLE GROUP BY s.source),
 split AS (
   SELECT doc_id, string_split(text, chr(10)) AS all_lines,
          list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) = ''
