@@ -4,8 +4,9 @@ Texts and lexicon are folded alike: lower case, invisible characters out,
 homoglyphs of other scripts and digit substitutions to one Latin skeleton.  The
 lexicon holds words, and stems (``abcde*``) of inflected ones, of significant
 log-odds among labelled texts; a word counts once, by its heaviest entry.  An exception
-phrase (a lexicon word with one neighbour) takes back a match where labelled
-clean texts use that phrase.  One automaton finds words and phrases; the sum of
+phrase (a lexicon word with one neighbour) takes back the match of its heavier
+word (of equals the first) where labelled clean texts use that phrase; a match
+is taken back once, however many phrases hold it.  One automaton finds words and phrases; the sum of
 weights, alone and per word of the text, goes through a logistic link.
 
 Fitted on at most ``SAMPLE`` labelled rows of each label: the lexicon on about
@@ -82,9 +83,11 @@ class Lexicon:
             for w, x in self.words.items():
                 if not w.endswith("*"):
                     x = max(0.0, x - self.words.get(f"{w[:STEM]}*", 0.0)) if len(w) >= STEM else x
-                self._found.add_word(f" {w[:-1]}" if w.endswith("*") else f" {w} ", x)
+                self._found.add_word(f" {w[:-1]}" if w.endswith("*") else f" {w} ", (x, 0))
             for p in self.phrases:
-                self._found.add_word(f" {p} ", -max(map(self.weight, p.split(" "))))
+                a, b = p.split(" ")
+                x, y = self.weight(a), self.weight(b)
+                self._found.add_word(f" {p} ", (max(x, y), len(b if y > x else p)))
             if len(self._found):
                 self._found.make_automaton()
         return self._found
@@ -98,7 +101,13 @@ class Lexicon:
         words, found = folded_words(text), self._automaton()
         if not words or not len(found):
             return 0.0, 0.0
-        total = max(0.0, sum(x for _, x in found.iter(f" {' '.join(words)} ")))
+        total, back = 0.0, {}
+        for end, (x, behind) in found.iter(f" {' '.join(words)} "):
+            if behind:  # where the heavier word of a phrase begins
+                back[end - behind] = x
+            else:
+                total += x
+        total = max(0.0, total - sum(back.values()))
         return total, 100 * total / len(words)
 
     def score(self, text: str | None) -> float:
