@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default number of rows in an Arrow batch; a number that the user chose stays."""
+    """Lowers Spark's default number of rows in an Arrow batch for the session; a number that the user chose stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
@@ -50,12 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: dict[str, str] = {}
-_MADE: list[str] = []
+#: Tables made inside the innermost ``only_the_last`` of this thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("tables made", default=None)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -66,17 +71,27 @@ def _delete(spark: SparkSession, path: str) -> None:
 def clear(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables; results that still read them are void after that."""
     _delete(spark, shared_dir(spark))
-    _MADE.clear()
 
 
 @contextmanager
 def only_the_last(spark: SparkSession):
-    """Of the tables made inside, only the last one stays: for steps that end in a written table."""
-    before = len(_MADE)
-    yield
-    for path in _MADE[before:-1]:
-        _delete(spark, path)
-    del _MADE[before:-1]
+    """Of the tables that this thread makes inside, only the last one stays, and none after an error.
+
+    For steps that end in a written table; what an outer step keeps is its own last one.
+    """
+    made: list[str] = []
+    outer = _MADE.get()
+    token = _MADE.set(made)
+    kept = 0
+    try:
+        yield
+        kept = len(made[-1:])
+    finally:
+        _MADE.reset(token)
+        for path in made[: len(made) - kept]:
+            _delete(spark, path)
+        if outer is not None:
+            outer += made[len(made) - kept :]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

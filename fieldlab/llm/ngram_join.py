@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import materialize, read, shuffle_parts, small_broadcast
+from fieldlab.llm.common import free_names, materialize, read, shuffle_parts, small_broadcast
 
 #: Prefixes that hold a token before it counts as frequent.
 FREQUENT = 40
@@ -547,8 +547,9 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     doc_id and text; of rows with both equal (nulls too) one stays.
     """
     found = materialize(found.select("doc_id", "text_key", "stays"), "join-found")
-    gone = small_broadcast(found.where("NOT stays").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct(), "join-gone")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    own, key = free_names(docs.columns, "id", "key")
+    gone = small_broadcast(found.where("NOT stays").select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct(), "join-gone")
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(key)), "left_anti")
     if found.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
