@@ -284,8 +284,8 @@ def test_lines_of_raw_pages(spark, sf_dir):
     rows = {r["page_id"]: (urlsplit(r["url"]).hostname, r["text"]) for r in pages.collect()}
     strip = lambda x: x.strip(" \t\r\x0b\x0c")
     per, held = Counter(h for h, _ in rows.values()), Counter((h, x) for h, t in rows.values() for x in {strip(y) for y in t.split("\n")})
-    bad = lambda h, x: x and held[h, x] >= 2 and held[h, x] > 0.3 * per[h]
-    out = line_dedup.drop_boilerplate(pages, host=line_dedup.host_of(F.col("url")), ratio=0.3, min_pages=2, distinct=False)
+    bad = lambda h, x: x and held[h, x] - 0.3 * per[h] > 0.5 * held[h, x] ** 0.5
+    out = line_dedup.drop_boilerplate(pages, host=line_dedup.host_of(F.col("url")), ratio=0.3, sure=0.5, distinct=False)
     for r in out.collect():
         h, t = rows[r["page_id"]]
         assert r["text"] == "\n".join(x for x in t.split("\n") if not bad(h, strip(x)))
@@ -422,12 +422,19 @@ def test_toxicity_learns_planted_words(spark):
 
 
 def brute_measure(lex, text):
-    """Sum of weights over the words, less the exception phrases; and that per 100 words."""
+    """Sum of weights over the words whose match no exception phrase takes back; and that per 100 words."""
     words = toxicity.folded_words(text)
     weigh = lambda w: max([0.0, *(x for k, x in lex.words.items() if k == w or (k.endswith("*") and w.startswith(k[:-1])))])
     weights = {w: weigh(w) for w in set(words)}
-    total = sum(weights[w] for w in words) - sum(max(weights[a], weights[b]) for a, b in zip(words, words[1:]) if f"{a} {b}" in lex.phrases)
-    return max(0.0, total), 100 * max(0.0, total) / len(words) if words else 0.0
+    back = {i + (weights[b] > weights[a]) for i, (a, b) in enumerate(zip(words, words[1:])) if f"{a} {b}" in lex.phrases}
+    total = sum(weights[w] for i, w in enumerate(words) if i not in back)
+    return total, 100 * total / len(words) if words else 0.0
+
+
+def test_a_match_is_taken_back_once():
+    lex = toxicity.Lexicon({"damn": 3.0, "idiot": 3.0}, {"nice damn", "damn joke", "idiot damn"})
+    for text, want in (("nice damn joke you idiot", 3), ("you idiot", 3), ("nice damn joke", 0), ("idiot damn", 3), ("nice damn damn joke", 0), ("damn", 3), ("idiot idiot damn joke", 3)):
+        assert lex.measure(text)[0] == want == brute_measure(lex, text)[0]
 
 
 def test_toxicity_of_the_query_by_brute_force(spark, sf_dir):
@@ -459,7 +466,7 @@ def test_scores_beside_columns_of_the_same_name(spark):
     lex = toxicity.Lexicon({"idiot": 5.0}, frozenset(), (-2.0, 2.0, 0.0))
     out = common.materialize(toxicity.score_texts(docs, lex, docs.columns), "test")
     assert out.columns == [*docs.columns, "score_"] and {r["doc_id"]: r["score"] for r in out.collect()} == {1: 0.1, 2: 0.2}
-    full = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(9), "n_lines": F.lit(1), "n_dropped": F.lit(77), "ids": F.lit("i"), "__kept": F.lit(1)})
+    full = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(9), "n_lines": F.lit(1), "n_dropped": F.lit(77), "ids": F.lit("i"), "__kept": F.lit(1), "__id": F.lit(1), "__place": F.lit(1), "__gone": F.lit(1), "__key": F.lit(1), "id": F.lit(1), "place": F.lit(2), "key": F.lit(3)})
     now = full
     for _, stage in cp.STAGES[:4]:
         now = common.materialize(stage(spark, now, "/root/testdata/sf0.001"), "test")
@@ -500,18 +507,24 @@ def brute_mix(rows, slots_a_source, block_words):
         for i, n, _ in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"mix{r[0]}".encode()).hexdigest()):
             line[s] += [i] * n
         line[s] *= 2
-    taken, slots, rank = Counter(), defaultdict(list), Counter()
-    for slot in range(-(-total // block)):
-        point, upto = (slot + 1) * mixing.GOLDEN % 1.0, 0
+    taken, slots = Counter(), defaultdict(list)
+    n_slots, its = -(-total // block), defaultdict(list)
+    for slot in range(n_slots):
+        point, upto = (slot + 1) * mixing.GOLDEN % 2**64 / 2**64, 0
         for s in names:
             upto += quota[s]
             if quota[s] and (point < upto / total or s == names[-1]):
+                its[s].append(slot)
                 break
-        got = line[s][rank[s] * block : (rank[s] + 1) * block]
-        rank[s] += 1
-        taken.update(got)
-        for i in set(got):
-            slots[i].append(slot)
+    for s in names:
+        if quota[s] and not its[s]:
+            before = sum(quota[x] for x in names[: names.index(s)])
+            its[s] = [int((before / total + (before + quota[s]) / total) / 2 * n_slots)]
+        for r, slot in enumerate(its[s]):  # the last slot ends with the target
+            got = line[s][: quota[s]][r * block : None if r == len(its[s]) - 1 else (r + 1) * block]
+            taken.update(got)
+            for i in set(got):
+                slots[i].append(slot)
     return {i: (taken[i], slots[i]) for i, _, _ in rows}, quota, block
 
 
@@ -529,13 +542,31 @@ def test_mix_by_brute_force(spark, monkeypatch):
         assert (got[i]["taken"], got[i]["first_slot"]) == (taken, min(slots, default=None)) and taken <= 2 * n
         assert got[i]["n_slots"] >= len(slots)  # a block may hold the end of one reading and the start of the next
         by[s] += taken
-    assert block > 1 and all(abs(by[s] - q) <= 4 * block for s, q in quota.items())
+    assert block > 1 and by == Counter(quota)
     assert {r["source"]: round(r["target"]) for r in sources.collect()} == quota
     again = mixing.taken_words(*[x for k, x in enumerate(mixing.mix(docs)) if k != 1]).collect()
     assert sorted(map(repr, got.values())) == sorted(map(repr, again))
-    monkeypatch.setattr(mixing, "GOLDEN", 0.5)  # without its schedule the mix is another one
+    monkeypatch.setattr(mixing, "GOLDEN", 1 << 62)  # without its schedule the mix is another one
     line, _, pieces = mixing.mix(docs)
-    assert {r["doc_id"]: r["taken"] for r in mixing.taken_words(line, pieces).collect()} != {i: r["taken"] for i, r in got.items()}
+    assert {r["doc_id"]: r["first_slot"] for r in mixing.taken_words(line, pieces).collect()} != {i: r["first_slot"] for i, r in got.items()}
+
+
+def test_small_sources_meet_their_targets(spark):
+    """Sources of 1, 40 and 400 words beside one of a million."""
+    rows = [(i, 5000, "huge") for i in range(200)] + [(200, 1, "a"), *((201 + i, 4, "b") for i in range(10)), *((211 + i, 20, "tiny") for i in range(20)), (231, 0, "none")]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    line, sources, pieces = mixing.mix(docs)
+    got = {r["doc_id"]: r for r in mixing.taken_words(line, pieces).collect()}
+    by = Counter()
+    for i, n, s in rows:
+        by[s] += got[i]["taken"]
+        assert got[i]["taken"] <= 2 * n
+    target = {r["source"]: r["target"] for r in sources.collect()}
+    assert {s: round(t) for s, t in target.items()} == by and (by["a"], by["b"], by["tiny"], by["none"]) == (2, 80, 800, 0)
+    want, _, _ = brute_mix(rows, mixing.SLOTS, 4096)
+    assert {i: (r["taken"], r["first_slot"]) for i, r in got.items()} == {i: (t, min(slots, default=None)) for i, (t, slots) in want.items()}
+    whole = Counter(r["source"] for r in mixing.whole_documents(docs, line, pieces).collect())
+    assert (whole["a"], whole["b"], whole["tiny"]) == (2, 20, 40)
 
 
 def test_mix_of_odd_rows(nasty, empty, monkeypatch):
