@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def audit_rows(seed, n=300):
 @pytest.mark.parametrize("seed, small", [(1, False), (2, True)])
 def test_audit_by_brute_force(spark, monkeypatch, seed, small):
     if small:  # many runs, merge rounds, small pieces and squares
-        for name, value in (("BLOCK_ENTRIES", 40), ("PIECE", 3), ("FAN", 2), ("SOURCE_BLOCK", 2), ("TASK_ENTRIES", 10)):
+        for name, value in (("BLOCK_POSTINGS", 60), ("PIECE", 3), ("FAN", 2), ("SOURCE_BLOCK", 2), ("TASK_ENTRIES", 10)):
             monkeypatch.setattr(divergence, name, value)
     rows = audit_rows(seed)
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "lang string, source string, text string, term string, n int").repartition(5)
@@ -165,14 +166,21 @@ def test_audit_by_brute_force(spark, monkeypatch, seed, small):
 def test_merge_keeps_all_entries(spark, monkeypatch):
     monkeypatch.setattr(divergence, "PIECE", 2)
     rng = random.Random(4)
-    entries = [("en", b"%d" % rng.randint(0, 30), rng.choice("ab"), rng.randint(1, 9), 1) for _ in range(500)]
+    entries = [(b"en\0\0%d" % rng.randint(0, 30), rng.choice([b"a", b"b"]), rng.randint(1, 9), 1) for _ in range(500)]
     want = Counter()
-    for lang, term, source, n, docs in entries:
-        want[lang, term, source] += n
-    runs = [sorted(entries[k::7]) for k in range(7)]
-    pieces = sorted(((divergence._order(run[c]), divergence._run_batch(0, str(k), run[c : c + 2]).column("entries")[0].values) for k, run in enumerate(runs) for c in range(0, len(run), 2)), key=lambda x: x[0])
-    merged = list(divergence._merged(iter(pieces)))
-    assert [e[:3] for e in merged] == sorted(want) and all(want[e[:3]] == e[3] for e in merged)
+    for key, source, n, _ in entries:
+        want[key, source] += n
+    rows = []
+    for k in range(7):
+        block = Counter()
+        for key, source, n, _ in entries[k::7]:
+            block[key, source] += n
+        batch = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*((*x, n, 1) for x, n in sorted(block.items()))), divergence._ENTRIES)], schema=divergence._ENTRIES)
+        for b in divergence._pieces(0, str(k), batch):
+            rows += list(zip(*(b.column(c).to_pylist() for c in ("first", "last", "piece"))))
+    assert len(rows) > 50
+    merged = [x for t in divergence._merged(iter(sorted(rows))) for x in zip(*(t.column(c).to_pylist() for c in ("key", "source", "n")))]
+    assert [x[:2] for x in merged] == sorted(want) and all(want[x[:2]] == x[2] for x in merged)
 
 
 def test_smoothed_is_exact(spark):
