@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from fieldlab.constants import CLASSES
 from fieldlab.operators import evaluation as E
 from fieldlab.operators import monitoring as M
+from fieldlab.operators import neighbours as N
 from fieldlab.plans.catalogue import _W
+from fieldlab.plans.dataset import scratch
 from fieldlab.sources.standins import PROBABILITIES_SQL, probabilities, records, table
 
 QUERIES, SQL = {}, {}
@@ -141,13 +143,28 @@ def _(spark, d):
     return rounded(E.parity(a.join(b.select("item"), "item", "left_semi"), b))
 
 
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+
+
 @query("nearest_real_distance", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT a.vec_id AS item, b.vec_id AS nearest, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))) AS distance
     FROM v a CROSS JOIN v b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0)
   SELECT item, round(min(distance), 6) AS distance, min(distance) < 0.3::DOUBLE AS near_duplicate FROM d GROUP BY item""")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
-    n = E.nearest_real(e.where("item % 10 = 0"), e.where("item % 10 <> 0"))
-    return n.select("item", F.round("distance", 6).alias("distance"), (F.col("distance") < 0.3).alias("near_duplicate"))
+    e, root = _vectors(spark, d), scratch(spark, "neighbours")
+    index = N.write_index(e.where("item % 10 <> 0"), f"{root}/index")
+    n = N.nearest(e.where("item % 10 = 0"), index, f"{root}/work", exact=True)
+    return n.select(F.col("query").alias("item"), F.round("distance", 6).alias("distance"), (F.col("distance") < 0.3).alias("near_duplicate"))
+
+
+@query("nearest_index_recall", "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def _(spark, d):
+    """The index against an exact search: every row divisible by 50 against all others, with as many probes as 95 % of a sample need."""
+    e, root = _vectors(spark, d), scratch(spark, "neighbours")
+    index, asked = N.write_index(e, f"{root}/index"), e.where("item % 50 = 0")
+    found = N.nearest(asked, index, f"{root}/few", probes=N.probes_for(index, asked, f"{root}/probes"))
+    r = N.recall(found, N.nearest(asked, index, f"{root}/exact", exact=True))
+    return r.select("queries", (F.col("recall") >= 0.9).alias("reached"))
 
 
 @query("temperature_scaling", f"""{_P}, t AS (SELECT unnest([0.5, 0.75, 1.0, 1.5, 2.0])::DOUBLE AS t)
