@@ -6,8 +6,10 @@ from fieldlab.plans.catalogue import _FOLD
 from fieldlab.plans.dataset import scratch
 from fieldlab.sources.standins import OUTBOX_SQL, RECORDS_SQL, outbox, records, remote_batches
 from fieldlab.streaming import catalogue as C
+from fieldlab.streaming import keyed as K
 
 QUERIES, SQL = {}, {}
+FOLDER = "fieldlab.sources.push:FolderBackend"
 _STATE = _FOLD.replace("FROM local\n", "FROM local WHERE false\n") + ", placed AS (SELECT *, min(seq) OVER (PARTITION BY uuid) AS first_seq, row_number() OVER (PARTITION BY uuid ORDER BY instant DESC, deleted DESC, seq) AS place FROM every), state AS (SELECT * FROM placed WHERE place = 1)"
 
 
@@ -21,27 +23,26 @@ def query(name, sql=None):
     return add
 
 
-def _log(spark, d, root):
-    """The pulled rows as a change log of several files, with the record columns that statistics need."""
+def _followed(spark, d, root):
+    """Follows the pulled rows, a change log of several files, with the record columns that statistics need."""
     rows = remote_batches(spark, d)[1].withColumn("address", F.col("texture_class"))
     rows.repartitionByRange(4, "seq").write.parquet(f"{root}/log")
-    return C.read_changes(spark, f"{root}/log", rows.schema, files_per_batch=2)
+    K.follow_catalogue(C.read_changes(spark, f"{root}/log", rows.schema, files_per_batch=2), root).awaitTermination()
 
 
 @query("stream_live_catalogue", f"{_STATE} SELECT uuid, updated_at, texture_class, confidence_score FROM state WHERE NOT deleted")
 def _(spark, d):
     root = scratch(spark, "stream")
-    C.run_live_catalogue(_log(spark, d, root), root).awaitTermination()
-    return C.live_view(C.current_state(spark, root)).select("uuid", "updated_at", "texture_class", "confidence_score")
+    _followed(spark, d, root)
+    return C.live_view(K.catalogue(spark, root)).select("uuid", "updated_at", "texture_class", "confidence_score")
 
 
 @query("stream_home_stats", f"{_STATE} SELECT count(*) AS total, count(DISTINCT texture_class) AS addresses, round(avg(confidence_score), 9) AS mean_confidence FROM state WHERE NOT deleted")
 def _(spark, d):
     root = scratch(spark, "stream")
-    C.run_live_catalogue(_log(spark, d, root), root, C.stats_writer(root)).awaitTermination()
-    stats = spark.read.parquet(f"{root}/stats")
-    last = stats.agg(F.max("batch").alias("batch"))
-    return stats.join(last, "batch").select("total", "addresses", F.round("mean_confidence", 9).alias("mean_confidence"))
+    _followed(spark, d, root)
+    K.follow_stats(spark, root).awaitTermination()
+    return K.stats(spark, root).select("total", "addresses", F.round("mean_confidence", 9).alias("mean_confidence"))
 
 
 @query("stream_outbox_drain", f"""WITH {RECORDS_SQL}, {OUTBOX_SQL}, todo AS (SELECT record_uuid, bool_or(operation = 'upsert') AS upserted FROM outbox WHERE status = 'pending' GROUP BY 1)
@@ -53,7 +54,7 @@ def _(spark, d):
     ops, state = outbox(spark, d), records(spark, d)
     ops.repartitionByRange(4, "id").write.parquet(f"{root}/log")
     ops.where("id % 5 = 0").write.mode("append").parquet(f"{root}/log")  # told twice
-    C.run_outbox_drain(C.read_changes(spark, f"{root}/log", ops.schema, files_per_batch=2), state, root).awaitTermination()
+    C.follow_outbox(C.read_changes(spark, f"{root}/log", ops.schema, files_per_batch=2), state, root, FOLDER, f"{root}/backend").awaitTermination()
     after = C.drained_records(state, root).select(F.col("uuid").alias("record_uuid"), "remote_id", "sync_status", F.lit(False).alias("orphan"))
     now = C.drained_outbox(ops, root).join(after, "record_uuid", "left")
     return now.select("id", "record_uuid", "operation", "status", F.coalesce("orphan", F.lit(True)).alias("orphan"), "remote_id", "sync_status")

@@ -1,29 +1,20 @@
-"""Streams: the live catalogue, its statistics, and the outbox drain.
+"""Streams over the catalogue's change log: what a reader needs, and the outbox drain.
 
-The state of the catalogue is a versioned table: each micro-batch writes
-version n + 1 from version n with the last-write-wins merge and then one small
-row that names it, so a batch that is run again overwrites its own version and
-readers never see half of one.  Arrival order does not matter to the merge, so
-there is no watermark.
+The catalogue itself and its statistics are in :mod:`fieldlab.streaming.keyed`.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fieldlab.operators import catalogue as C
 from fieldlab.operators import sync as S
-
-
-#: Versions of the state that stay: what a reader or a repeated batch may still need.
-KEPT = 3
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from fieldlab.shipping import ship
+from fieldlab.sources import push as P
+from fieldlab.streaming.keyed import rocksdb
 
 
 def read_changes(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -32,95 +23,61 @@ def read_changes(spark: SparkSession, path: str, schema, files_per_batch: int |
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def _version(spark: SparkSession, root: str, batch: int) -> DataFrame | None:
-    """The state that batch ``batch`` starts from."""
-    try:
-        done = spark.read.schema("batch long").parquet(f"{root}/current")
-        last = done.where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
-    except AnalysisException as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return None
-    return None if last is None else spark.read.parquet(f"{root}/state/{last}")
-
-
-def run_live_catalogue(changes: DataFrame, root: str, on_snapshot=None):
-    """Folds pulled rows (uuid, seq, updated_at, deleted, payload) into the state under ``root``.
-
-    ``on_snapshot(state, batch)`` is called after each batch with the whole
-    state, for what is derived from it.  Returns the started query.
-    """
-    def fold(batch_df, batch):
-        session = batch_df.sparkSession
-        old = _version(session, root, batch)
-        if old is None:
-            old = session.createDataFrame([], batch_df.drop("seq").schema).withColumn("id", F.lit(None).cast("long"))
-        merged = S.lww_merge(old, batch_df)
-        # a new uuid gets its id from the change that brought it
-        first = batch_df.groupBy("uuid").agg(F.min("seq").alias("first_seq"))
-        merged = merged.join(first, "uuid", "left").withColumn("id", F.coalesce("id", "first_seq")).drop("first_seq", "remote")
-        merged.write.mode("overwrite").parquet(f"{root}/state/{batch}")
-        session.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{root}/current")
-        if on_snapshot:
-            on_snapshot(session.read.parquet(f"{root}/state/{batch}"), batch)
-        if batch >= KEPT:
-            _delete(session, f"{root}/state/{batch - KEPT}")
-
-    return changes.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-
-
-def current_state(spark: SparkSession, root: str) -> DataFrame:
-    last = spark.read.schema("batch long").parquet(f"{root}/current").agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{root}/state/{last}")
-
-
 def live_view(state: DataFrame, **filters) -> DataFrame:
     return C.filtered(state, **filters).orderBy(F.desc("id"))
 
 
-def stats_writer(root: str):
-    """For ``on_snapshot``: home statistics of each batch, exact since they come from the snapshot."""
-
-    def write(state, batch):
-        C.home_stats(state).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/stats/batch={batch}")
+def push_outbox(operations: DataFrame, records: DataFrame, root: str, backend: str, argument: str | None = None, run: str | None = None) -> None:
+    """Pushes pending operations to a backend (see :mod:`fieldlab.sources.push`), each with its record as it is now.
 
-    return write
+    What was pushed is logged under ``root``.  Raises if an operation fails;
+    what was not pushed stays pending, and a second call pushes only that.
+    drained_outbox and drained_records are the tables after it.  With ``run``
+    (a name) only what a write of that name pushed before is passed over.
+    """
+    spark = operations.sparkSession
+    ship(spark)
+    spark.dataSource.register(P.PushSink)
+    rows = S.with_current_state(operations.where(F.col("status") == "pending"), records).drop("status")
+    done = pushed_log(spark, root, run)
+    if done is not None:
+        rows = rows.join(done.select("id"), "id", "left_anti")
+    first = ("id", "record_uuid", "operation", "orphan")
+    rows = rows.select(*first, *(c for c in rows.columns if c not in first))
+    # the operations of a record in one task, in their order; a number of parts that does not change when it is done again
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "record_uuid").sortWithinPartitions("record_uuid", "id")
+    options = {"root": root, "backend": backend, "argument": argument, "run": run}
+    rows.write.format(P.NAME).options(**{k: v for k, v in options.items() if v is not None}).mode("append").save()
+
+
+def follow_outbox(operations: DataFrame, records: DataFrame, root: str, backend: str, argument: str | None = None) -> StreamingQuery:
+    """Pushes pending operations as they arrive, each id once.
+
+    The ids that were seen are keyed state, so a batch costs its operations and
+    a look at their records.  A batch that fails stops the query; started again,
+    it goes on behind what that batch has pushed.
+    """
+    fresh = operations.where(F.col("status") == "pending").dropDuplicates(["id"])
+    with rocksdb(operations.sparkSession):
+        return (
+            fresh.writeStream.foreachBatch(lambda rows, batch: push_outbox(rows, records, root, backend, argument, f"batch-{batch}"))
+            .option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        )
 
 
-def _pushed(spark: SparkSession, root: str) -> DataFrame | None:
+def pushed_log(spark: SparkSession, root: str, run: str | None = None) -> DataFrame | None:
+    """What has been pushed (in the writes of one name), a row an operation; None before the first."""
     try:
-        return spark.read.parquet(f"{root}/pushed")
-    except AnalysisException as error:  # the first batch finds no table
+        return spark.read.parquet(f"{root}/pushed" + (f"/run={run}" if run else "")).drop("run").dropDuplicates(["id"])
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         return None
 
 
-def run_outbox_drain(operations: DataFrame, records: DataFrame, root: str, remote_id: Column | None = None):
-    """Pushes pending operations as they arrive, each operation id once.
-
-    An id that an earlier batch pushed is passed over, and a batch that is run
-    again overwrites what it wrote.  The log of pushes holds the record's state
-    and the remote id that the backend gave (``remote_id``, over record_uuid);
-    drained_outbox and drained_records are the tables after it.
-    """
-    given = F.concat(F.lit("remote-"), "record_uuid") if remote_id is None else remote_id
-
-    def drain(batch_df, batch):
-        todo = batch_df.where(F.col("status") == "pending").dropDuplicates(["id"])
-        done = _pushed(batch_df.sparkSession, root)
-        if done is not None:
-            todo = todo.join(done.where(F.col("batch") < batch).select("id"), "id", "left_anti")
-        out = S.with_current_state(todo, records).drop("remote_id")
-        out = out.withColumn("remote_id", F.when((F.col("operation") == "upsert") & ~F.col("orphan"), given))
-        out.write.mode("overwrite").parquet(f"{root}/pushed/batch={batch}")
-
-    return operations.writeStream.foreachBatch(drain).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-
-
 def drained_outbox(operations: DataFrame, root: str) -> DataFrame:
     """``operations`` with status synced for all that were pushed."""
-    done = _pushed(operations.sparkSession, root)
+    done = pushed_log(operations.sparkSession, root)
     if done is None:
         return operations
     hit = operations.join(done.select("id", F.lit(True).alias("__done")), "id", "left")
@@ -129,7 +86,7 @@ def drained_outbox(operations: DataFrame, root: str) -> DataFrame:
 
 def drained_records(records: DataFrame, root: str) -> DataFrame:
     """``records`` after the pushes: synced, and with the remote id of the last upsert."""
-    done = _pushed(records.sparkSession, root)
+    done = pushed_log(records.sparkSession, root)
     if done is None:
         return records
     of = done.where(~F.col("orphan")).groupBy(F.col("record_uuid").alias("uuid")).agg(F.max_by("remote_id", F.when(F.col("remote_id").isNotNull(), F.col("id"))).alias("__given"), F.lit(True).alias("__done"))
