@@ -26,22 +26,36 @@ def instant(text: Column) -> Column:
     March.  A text without a zone is read in the session time zone, which jobs
     set to the device's zone or UTC.
     """
-    part = lambda k: F.regexp_extract(text, STAMP, k)
-    number = lambda k: F.coalesce(part(k).try_cast("long"), F.lit(0))
-    year = number(1).cast("int")
-    day = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), number(2).cast("int") - 1), number(3).cast("int") - 1)
-    seconds = F.unix_date(day).cast("long") * 86_400 + number(4) * 3600 + number(5) * 60 + number(6)
-    offset = (number(10) * 3600 + number(11) * 60) * F.when(part(9) == "-", -1).otherwise(1)
-    micros = F.rpad(part(7), 6, "0").substr(1, 6).try_cast("long")
-    utc = F.timestamp_micros((seconds - offset) * 1_000_000 + F.coalesce(micros, F.lit(0)))
-    at = F.when(part(8) == "", F.to_utc_timestamp(utc, F.current_timezone())).otherwise(utc)
-    return F.coalesce(F.try_to_timestamp(text, F.lit(COMMON_STAMP)), F.when(text.rlike(STAMP) & (F.abs(year) <= LAST_YEAR), at))
+    mark = "\x01"  # one match gives all parts, each behind a mark
+    parts = F.split(F.regexp_replace(text, STAMP, "".join(f"{mark}${k}" for k in range(1, 12))), mark)
+    matched = F.when(~F.contains(text, F.lit(mark)), parts)
+
+    def read(part: Column) -> Column:
+        number = lambda k: F.coalesce(F.get(part, F.lit(k)).try_cast("long"), F.lit(0))
+        year = number(1).cast("int")
+        day = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), number(2).cast("int") - 1), number(3).cast("int") - 1)
+        seconds = F.unix_date(day).cast("long") * 86_400 + number(4) * 3600 + number(5) * 60 + number(6)
+        offset = (number(10) * 3600 + number(11) * 60) * F.when(part[9] == "-", -1).otherwise(1)
+        micros = F.rpad(part[7], 6, "0").substr(1, 6).try_cast("long")
+        utc = F.timestamp_micros((seconds - offset) * 1_000_000 + F.coalesce(micros, F.lit(0)))
+        at = F.when(part[8] == "", F.to_utc_timestamp(utc, F.current_timezone())).otherwise(utc)
+        return F.when((F.size(part) == 12) & (F.abs(year) <= LAST_YEAR), at)
+
+    # the one-element array binds the parts to a name, so the match is made once, and only if the common shape fails
+    return F.coalesce(F.try_to_timestamp(text, F.lit(COMMON_STAMP)), F.get(F.transform(F.array(matched), read), F.lit(0)))
 
 
 def instant_or_epoch(text: Column) -> Column:
     return F.coalesce(instant(text), F.timestamp_seconds(F.lit(0)))
 
 
+def utc_text(at: Column) -> Column:
+    """A timestamp as an ISO-8601 text in UTC: three decimals, or six where they are needed."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    shape = lambda decimals: F.date_format(utc, f"yyyy-MM-dd'T'HH:mm:ss.{decimals}'Z'")
+    return F.when(F.unix_micros(at) % 1000 == 0, shape("SSS")).otherwise(shape("SSSSSS"))
+
+
 def has_coordinates() -> Column:
     return F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlab.constants import MAX_ATTEMPTS
 from fieldlab.functions import tips as T
-from fieldlab.functions.records import has_classification
+from fieldlab.functions.records import has_classification, instant_or_epoch
 from fieldlab.operators.catalogue import live
 
 
@@ -24,7 +24,11 @@ def work_list(records: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    return cache.join(new.select("record_uuid"), "record_uuid", "left_anti").unionByName(new)
+    """``new`` rows replace those of their record_uuid; of several new ones the latest retrieved stays (of equals the one of greatest payload)."""
+    rest = [c for c in new.columns if c not in ("record_uuid", "retrieved_at")]
+    latest = F.struct(instant_or_epoch(F.col("retrieved_at")), "retrieved_at", *rest)
+    one = new.groupBy("record_uuid").agg(F.max_by(F.struct(*new.columns), latest).alias("r")).select("r.*")
+    return cache.join(one.select("record_uuid"), "record_uuid", "left_anti").unionByName(one)
 
 
 def delete(cache: DataFrame, gone: DataFrame) -> DataFrame:
@@ -40,7 +44,8 @@ def citations(cache: DataFrame) -> DataFrame:
 
 
 def attempt_outcomes(log: DataFrame) -> DataFrame:
-    kind = T.outcome(F.col("status_code"), F.col("transport"), F.col("well_formed"))
+    """``log`` (status_code, transport, body of the answer) with the kind of each attempt and whether it is retried."""
+    kind = T.outcome(F.col("status_code"), F.col("transport"), F.col("body"))
     return log.withColumn("outcome", kind).withColumn("retryable", T.retryable(F.col("outcome"), F.col("status_code")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.constants import NO_ADDRESS
@@ -138,6 +138,15 @@ source AS (SELECT conv_id, text AS title, 'https://example.org/' || turn AS url,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS source_no FROM turns WHERE role = 'user')"""
 
 
+def _answer(event: Column, user: Column) -> Column:
+    """A body of an answer; every sixth breaks its contract, in one of eight ways."""
+    good = F.concat(F.lit('{"status":"grounded","tips":[{"text":"tip '), event, F.lit('","citations":[0]}],"sources":[{"title":"t","url":"https://example.org/'), user, F.lit('"}],"disclaimer":"d","model":"m1","retrievedAt":"2026-01-01T00:00:00Z"}'))
+    swap = lambda a, b: F.replace(good, F.lit(a), F.lit(b))
+    broken = [swap('"text":"tip', '"text":7,"x":"tip'), swap('"disclaimer":"d"', '"disclaimer":{"a":1}'), swap('"model":"m1"', '"model":true'), swap('"title":"t"', '"title":"t","publisher":5'),
+              F.concat(good, F.lit("}] trailing")), F.replace(good, F.lit('"'), F.lit("'")), swap("[0]", "[0.5]"), swap("2026-01-01T", "soon")]
+    return F.when(event % 6 != 0, good).otherwise(F.get(F.array(*broken), (F.floor(event / 6) % len(broken)).cast("int")))
+
+
 def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request attempts: a request is a user and a day, its attempts in order of event_id."""
     from pyspark.sql.window import Window
@@ -147,7 +156,7 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("request").orderBy("event_id"))
     t = F.col("event_type")
     code = F.when(t == "view", 200).when(t == "click", 503).when(t == "error", 401).when(t == "signup", 429)
-    return e.select("event_id", "request", nth.alias("attempt"), code.alias("status_code"), F.when(t == "purchase", "timeout").alias("transport"), (F.col("event_id") % 6 != 0).alias("well_formed"))
+    return e.select("event_id", "request", nth.alias("attempt"), code.alias("status_code"), F.when(t == "purchase", "timeout").alias("transport"), F.when(code == 200, _answer(F.col("event_id"), F.col("user_id"))).alias("body"))
 
 
 ATTEMPTS_SQL = """log AS (
