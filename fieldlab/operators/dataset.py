@@ -60,10 +60,13 @@ def split_groups(images: DataFrame, seed: int = 42, val: float = 0.15, test: flo
     its name and number.
 
     Groups of a class stand in the order of a seeded hash; the first
-    max(1, round(test * n)) go to test, the next to val.  The place in a class
+    max(1, round(test * n)) go to test, the next to val.  A photo without a class
+    or a sample stops the job as well.  The place in a class
     comes from counts of hash ranges, so no task sorts a whole class.
     """
     images = with_groups(images)
+    unnamed = F.raise_error(F.lit("a photo has no class or no sample, so it belongs to no split"))
+    images = images.withColumn("sample_group", F.when(F.col("texture_class").isNull() | F.col("sample_group").isNull(), unnamed).otherwise(F.col("sample_group")))
     groups = images.select("texture_class", "sample_group").distinct()
     groups = groups.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}|"), "sample_group"), 256)).withColumn("part", F.substring("h", 1, 2))
     sizes = groups.groupBy("texture_class", "part").agg(F.count("*").alias("m"))
@@ -182,6 +185,13 @@ def compare_arms(runs: DataFrame) -> DataFrame:
 
 
 def inherit_split(synthetic: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(synthetic rows with their parent's group and split, those that landed in test)."""
-    of = synthetic.join(split.select(F.col("photo").alias("parent"), "sample_group", "split"), "parent")
-    return of, of.where(F.col("split") == "test")
+    """(synthetic rows with their parent's group and split, those that must not be used).
+
+    The second table has those that landed in test and those whose parent is
+    unknown, each with its ``reason``; the first has every row, with nulls for
+    an unknown parent.
+    """
+    known = split.select(F.col("photo").alias("parent"), "sample_group", "split")
+    of = synthetic.join(known, "parent", "left")
+    reason = F.when(F.col("split").isNull(), "unknown parent").when(F.col("split") == "test", "parent in test")
+    return of, of.withColumn("reason", reason).where("reason IS NOT NULL")

@@ -144,13 +144,27 @@ def percentiles(rows: DataFrame, column: str, at: list[float], by: list[str] = [
 
 
 def parity(a: DataFrame, b: DataFrame, bins: int = 10) -> DataFrame:
-    """Two models on the same items (item, truth, predicted, confidence): agreement, accuracy and calibration deltas."""
-    both = a.join(b.select("item", F.col("predicted").alias("other")), "item")
-    same = both.agg(F.count("*").alias("items"), F.avg((F.col("predicted") == F.col("other")).cast("double")).alias("agreement"))
-    right = lambda x: x.agg(F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("accuracy"))
-    one = lambda x, n: right(x).join(calibration_error(reliability(x, bins)), F.lit(True)).select(F.col("accuracy").alias(f"accuracy_{n}"), F.col("ece").alias(f"ece_{n}"))
-    out = same.join(one(a, "a"), F.lit(True)).join(one(b, "b"), F.lit(True))  # one row each
-    return out.select("items", "agreement", (F.col("accuracy_b") - F.col("accuracy_a")).alias("accuracy_delta"), (F.col("ece_b") - F.col("ece_a")).alias("ece_delta"))
+    """Two models on the same items (item, truth, predicted, confidence): agreement, accuracy and calibration deltas.
+
+    All are over the items that both have; ``only_a`` and ``only_b`` count the
+    others, which a comparison must not pass over in silence.
+    """
+    pairs = a.select("item", F.lit(1).alias("in_a"), *(F.col(c).alias(f"{c}_a") for c in ("truth", "predicted", "confidence"))).join(
+        b.select("item", F.lit(1).alias("in_b"), *(F.col(c).alias(f"{c}_b") for c in ("truth", "predicted", "confidence"))), "item", "full"
+    )
+    both = pairs.where("in_a = 1 AND in_b = 1")
+    counts = pairs.agg(
+        F.count_if((F.col("in_a") == 1) & (F.col("in_b") == 1)).alias("items"), F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"),
+        F.avg(F.when((F.col("in_a") == 1) & (F.col("in_b") == 1), (F.col("predicted_a") == F.col("predicted_b")).cast("double"))).alias("agreement"),
+    )
+
+    def one(n):
+        x = both.select(*(F.col(f"{c}_{n}").alias(c) for c in ("truth", "predicted", "confidence")))
+        right = x.agg(F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias(f"accuracy_{n}"))
+        return right.join(calibration_error(reliability(x, bins)).select(F.col("ece").alias(f"ece_{n}")), F.lit(True))
+
+    out = counts.join(one("a"), F.lit(True)).join(one("b"), F.lit(True))  # one row each
+    return out.select("items", "only_a", "only_b", "agreement", (F.col("accuracy_b") - F.col("accuracy_a")).alias("accuracy_delta"), (F.col("ece_b") - F.col("ece_a")).alias("ece_delta"))
 
 
 def temperature_loss(scored: DataFrame, temperatures: list[float]) -> DataFrame:
@@ -205,7 +219,8 @@ def outcome_status(score: Column, cause: Column, ood: Column) -> Column:
 def train_classifier(train: DataFrame, features: str, label: str, weights: DataFrame | None = None, iterations: int = 50):
     """Multinomial logistic regression over array<float> features, rows weighted by class (label, weight)."""
     rows = train.withColumn("vector", array_to_vector(F.col(features).cast("array<double>")))
-    rows = rows.join(F.broadcast(weights), label) if weights is not None else rows.withColumn("weight", F.lit(1.0))  # one row a class
+    # a row of a class without a weight counts once
+    rows = rows.join(F.broadcast(weights), label, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))) if weights is not None else rows.withColumn("weight", F.lit(1.0))  # one row a class
     model = LogisticRegression(featuresCol="vector", labelCol=label, weightCol="weight", family="multinomial", maxIter=iterations, regParam=1e-3)
     return Pipeline(stages=[model]).fit(rows)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def counters(log: DataFrame) -> DataFrame:
@@ -24,8 +25,25 @@ def rates(log: DataFrame) -> DataFrame:
 
 
 def drift(log: DataFrame, old: int, new: int) -> DataFrame:
-    """Change of the rates from one version to another, for each device class."""
+    """Change of the rates from one version to another, for each device class.
+
+    A device class that only one version has keeps a row: its changes are null
+    and ``only_in`` names the version.
+    """
     r = rates(log)
-    a = r.where(F.col("version") == old).select("device", *(F.col(c).alias(f"{c}_a") for c in ("ambiguous", "insufficient", "blocked")))
-    b = r.where(F.col("version") == new)
-    return a.join(b, "device").select("device", *((F.col(c) - F.col(f"{c}_a")).alias(f"{c}_delta") for c in ("ambiguous", "insufficient", "blocked")))
+    names = ("ambiguous", "insufficient", "blocked")
+    a = r.where(F.col("version") == old).select("device", F.lit(True).alias("has_a"), *(F.col(c).alias(f"{c}_a") for c in names))
+    b = r.where(F.col("version") == new).select("device", F.lit(True).alias("has_b"), *names)
+    both = a.join(b, "device", "full")
+    only = F.when(F.col("has_b").isNull(), F.lit(old)).when(F.col("has_a").isNull(), F.lit(new))
+    return both.select("device", *((F.col(c) - F.col(f"{c}_a")).alias(f"{c}_delta") for c in names), only.alias("only_in"))
+
+
+def follow_counters(log: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the counters of a score log that grows as table ``name`` of the session: a streaming aggregate in complete mode.
+
+    The table has a row a counter (versions by classes, verdicts, flags and
+    causes), whatever the length of the log.
+    """
+    writer = counters(log).writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    return writer.outputMode("complete").trigger(availableNow=True).start()

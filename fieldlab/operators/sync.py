@@ -49,6 +49,23 @@ def lww_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
     return out
 
 
+def lww_merge_into(local: DataFrame, remote: DataFrame, buckets: int) -> DataFrame:
+    """lww_merge where ``local`` is a table in ``buckets`` by uuid (one row each, see tables.write_bucketed).
+
+    Only the pulled rows are shuffled: they are folded to one a uuid in as many
+    parts as there are buckets, and meet the table where it lies.
+    """
+    ranked = _ranked(local.limit(0), remote).where("remote").repartition(buckets, "uuid")
+    keep = [c for c in ranked.columns if c not in ("uuid", "id", "wins", "seq", "remote")]
+    best = ranked.groupBy("uuid").agg(F.max_by(F.struct(*keep), "wins").alias("pulled"), F.max("wins").alias("pulled_wins"))
+    own = _ranked(local, remote.limit(0)).where("NOT remote").select("uuid", "id", F.struct(*keep).alias("own"), F.col("wins").alias("own_wins"))
+    both = own.join(best, "uuid", "full")
+    remote_wins = F.col("own_wins").isNull() | F.coalesce(F.col("pulled_wins") > F.col("own_wins"), F.lit(False))
+    both = both.withColumn("remote", remote_wins).withColumn("w", F.when(F.col("remote"), F.col("pulled")).otherwise(F.col("own")))
+    out = both.select("uuid", "id", *(F.col(f"w.{c}").alias(c) for c in keep), "remote")
+    return out.withColumn("sync_status", F.when(F.col("remote"), "synced").otherwise(F.col("sync_status"))) if "sync_status" in out.columns else out
+
+
 def lww_applied(local: DataFrame, remote: DataFrame) -> DataFrame:
     """How many pulled rows changed a record while they were folded in, one after the other."""
     state = F.struct(F.col("wins.at"), F.col("wins.gone"))

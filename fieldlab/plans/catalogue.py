@@ -6,7 +6,9 @@ from fieldlab.constants import ADDRESS_LABEL, CLASS_LABEL, COORDINATES_LABEL, HI
 from fieldlab.functions import records as R
 from fieldlab.operators import catalogue as C
 from fieldlab.operators import sync as S
+from fieldlab.plans.paths import scratch
 from fieldlab.sources.standins import OUTBOX_SQL, RECORDS_SQL, REMOTE_SQL, outbox, records, remote_batches, table
+from fieldlab.sources.tables import write_bucketed
 
 _ROW = ["id", "uuid", "sync_status", "address", "updated_at", "texture_class"]
 _ROW_SQL = ", ".join(_ROW)
@@ -163,6 +165,15 @@ def _(spark, d):
     return S.lww_merge(*remote_batches(spark, d)).select("uuid", F.coalesce("id", F.lit(-1)).alias("id"), "updated_at", "deleted", "texture_class", "confidence_score", "remote")
 
 
+@query("lww_merge_bucketed", _FOLD + """, placed AS (SELECT *, max(id) OVER (PARTITION BY uuid) AS own, row_number() OVER (PARTITION BY uuid ORDER BY instant DESC, deleted DESC, seq) AS place FROM every)
+  SELECT uuid, coalesce(own, -1) AS id, updated_at, deleted, texture_class, confidence_score, remote FROM placed WHERE place = 1""")
+def _(spark, d):
+    local, pulled = remote_batches(spark, d)
+    root = scratch(spark, "bucketed")
+    held = write_bucketed(local, f"catalogue_{root[-8:]}", root, 8)
+    return S.lww_merge_into(held, pulled, 8).select("uuid", F.coalesce("id", F.lit(-1)).alias("id"), "updated_at", "deleted", "texture_class", "confidence_score", "remote")
+
+
 @query("lww_applied_count", _FOLD + """, ranked AS (SELECT *, epoch(instant) * 2 + deleted::INT AS state FROM every),
   seen AS (SELECT *, max(state) OVER (PARTITION BY uuid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ranked)
   SELECT count(*) AS received, count(*) FILTER (WHERE best IS NULL OR state > best) AS pulled FROM seen WHERE remote""")

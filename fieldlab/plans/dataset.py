@@ -1,12 +1,10 @@
 """Queries over the dataset inventory, splits and manifests."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from fieldlab.operators import dataset as D
 from fieldlab.operators import quality as Q
+from fieldlab.plans.paths import scratch
 from fieldlab.plans.quality import _ALL, CRITERIA, SIDE
 from fieldlab.sources import manifests as M
 from fieldlab.sources.standins import MANIFEST_SQL, manifest, planes, table
@@ -35,17 +33,6 @@ def split(spark, d):
     return D.split_groups(manifest(spark, d))
 
 
-def scratch(spark, label):
-    """A new folder that all executors share: the cluster's, or on one machine without any a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="fieldlab-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("scan_image_folders", _W + "SELECT texture_class, count(*) AS images FROM manifest WHERE texture_class IN ('de', 'en', 'es') GROUP BY 1 UNION ALL SELECT 'it', 0")
 def _(spark, d):
     images, missing = D.scan_folders(manifest(spark, d), ["de", "en", "es", "it"])
@@ -204,12 +191,12 @@ def _(spark, d):
     return c.select("arm", F.round("mean", 9).alias("mean"), F.round("spread", 9).alias("spread"), "seeds", F.round("delta", 9).alias("delta"))
 
 
-@query("synthetic_lineage_split", _SPLIT + " SELECT 's-' || photo AS item, sample_group, split, split = 'test' AS refused FROM split WHERE photo % 4 = 1")
+@query("synthetic_lineage_split", _SPLIT + """ SELECT 's-' || photo AS item, CASE WHEN photo % 16 <> 1 THEN sample_group END AS sample_group, CASE WHEN photo % 16 <> 1 THEN split END AS split,
+  CASE WHEN photo % 16 = 1 THEN 'unknown parent' WHEN split = 'test' THEN 'parent in test' END AS reason FROM split WHERE photo % 4 = 1""")
 def _(spark, d):
-    s = split(spark, d)
-    fake = manifest(spark, d).where("photo % 4 = 1").select(F.concat(F.lit("s-"), "photo").alias("item"), F.col("photo").alias("parent"))
-    of, _bad = D.inherit_split(fake, s)
-    return of.select("item", "sample_group", "split", (F.col("split") == "test").alias("refused"))
+    fake = manifest(spark, d).where("photo % 4 = 1").select(F.concat(F.lit("s-"), "photo").alias("item"), F.when(F.col("photo") % 16 == 1, -F.col("photo")).otherwise(F.col("photo")).alias("parent"))
+    of, bad = D.inherit_split(fake, split(spark, d))
+    return of.join(bad.select("item", "reason"), "item", "left").select("item", "sample_group", "split", "reason")
 
 
 @query("manifest_format_diagnosis", "SELECT DISTINCT unnest(['semicolon', 'latin']) AS folder, unnest(['semicolon_delimiter', 'not_utf8']) AS problem FROM documents")

@@ -7,7 +7,7 @@ from fieldlab.operators import evaluation as E
 from fieldlab.operators import monitoring as M
 from fieldlab.operators import neighbours as N
 from fieldlab.plans.catalogue import _W
-from fieldlab.plans.dataset import scratch
+from fieldlab.plans.paths import scratch
 from fieldlab.sources.standins import PROBABILITIES_SQL, probabilities, records, table
 
 QUERIES, SQL = {}, {}
@@ -125,22 +125,37 @@ def _(spark, d):
     return M.counters(log(spark, d))
 
 
-@query("drift_compare", f"""{_P}, r AS (SELECT version, {_DEVICE.replace('% 4', '// 2 % 4')} AS device, avg(({_VERDICT} = 'ambiguous')::INT::DOUBLE) AS a, avg(({_VERDICT} = 'insufficient')::INT::DOUBLE) AS i, avg((item % 6 = 0)::INT::DOUBLE) AS b FROM top GROUP BY 1, 2)
-  SELECT x.device, round(y.a - x.a, 9) AS ambiguous_delta, round(y.i - x.i, 9) AS insufficient_delta, round(y.b - x.b, 9) AS blocked_delta FROM r x JOIN r y USING (device) WHERE x.version = 0 AND y.version = 1""")
+@query("monitoring_counters_stream", SQL["monitoring_counters"])
 def _(spark, d):
-    of = log(spark, d).withColumn("device", F.concat(F.lit("dev-"), F.floor(F.col("item") / 2) % 4))
+    """The same counters kept by a streaming aggregate over the log as it grows."""
+    root = scratch(spark, "score-log")
+    rows = log(spark, d).select("version", "item", "label", "verdict", "flags", "status")
+    rows.repartitionByRange(3, "item").write.parquet(f"{root}/log")
+    grows = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    name = f"counters_{root[-8:]}"
+    M.follow_counters(grows, name, f"{root}/checkpoint").awaitTermination()
+    return spark.table(name)
+
+
+@query("drift_compare", f"""{_P}, dealt AS (SELECT *, CASE WHEN version = 1 AND item % 20 = 1 THEN 'dev-new' ELSE {_DEVICE.replace('% 4', '// 2 % 4')} END AS dev FROM top),
+  r AS (SELECT version, dev AS device, avg(({_VERDICT} = 'ambiguous')::INT::DOUBLE) AS a, avg(({_VERDICT} = 'insufficient')::INT::DOUBLE) AS i, avg((item % 6 = 0)::INT::DOUBLE) AS b FROM dealt GROUP BY 1, 2)
+  SELECT coalesce(x.device, y.device) AS device, round(y.a - x.a, 9) AS ambiguous_delta, round(y.i - x.i, 9) AS insufficient_delta, round(y.b - x.b, 9) AS blocked_delta, CASE WHEN y.device IS NULL THEN 0 WHEN x.device IS NULL THEN 1 END AS only_in
+  FROM (SELECT * FROM r WHERE version = 0) x FULL JOIN (SELECT * FROM r WHERE version = 1) y USING (device)""")
+def _(spark, d):
+    new = (F.col("version") == 1) & (F.col("item") % 20 == 1)
+    of = log(spark, d).withColumn("device", F.when(new, "dev-new").otherwise(F.concat(F.lit("dev-"), F.floor(F.col("item") / 2) % 4)))
     return rounded(M.drift(of, 0, 1))
 
 
-@query("model_parity", f"""{_P}, b AS (SELECT a.item, a.truth, n.predicted, n.top1 FROM top a JOIN top n ON n.item = CASE WHEN a.item % 2 = 0 THEN a.item + 1 ELSE a.item - 1 END),
+@query("model_parity", f"""{_P}, b AS (SELECT a.item, a.truth, n.predicted, n.top1 FROM top a JOIN top n ON n.item = CASE WHEN a.item % 2 = 0 THEN a.item + 1 ELSE a.item - 1 END WHERE a.item % 30 <> 4),
   ea AS (SELECT sum(n * abs(accuracy - confidence)) / sum(n) AS e FROM (SELECT count(*) AS n, avg(top1) AS confidence, avg((truth = predicted)::INT::DOUBLE) AS accuracy FROM top WHERE item IN (SELECT item FROM b) GROUP BY least(9, floor(top1 * 10)))),
   eb AS (SELECT sum(n * abs(accuracy - confidence)) / sum(n) AS e FROM (SELECT count(*) AS n, avg(top1) AS confidence, avg((truth = predicted)::INT::DOUBLE) AS accuracy FROM b GROUP BY least(9, floor(top1 * 10))))
-  SELECT count(*) AS items, round(avg((a.predicted = b.predicted)::INT::DOUBLE), 9) AS agreement, round(avg((b.truth = b.predicted)::INT::DOUBLE) - avg((a.truth = a.predicted)::INT::DOUBLE), 9) AS accuracy_delta, round((SELECT e FROM eb) - (SELECT e FROM ea), 9) AS ece_delta FROM top a JOIN b USING (item)""")
+  SELECT count(*) AS items, (SELECT count(*) FROM top WHERE item NOT IN (SELECT item FROM b)) AS only_a, 0 AS only_b, round(avg((a.predicted = b.predicted)::INT::DOUBLE), 9) AS agreement, round(avg((b.truth = b.predicted)::INT::DOUBLE) - avg((a.truth = a.predicted)::INT::DOUBLE), 9) AS accuracy_delta, round((SELECT e FROM eb) - (SELECT e FROM ea), 9) AS ece_delta FROM top a JOIN b USING (item)""")
 def _(spark, d):
     a = scored(spark, d).select("item", "truth", "predicted", "confidence")
     partner = F.when(F.col("item") % 2 == 0, F.col("item") + 1).otherwise(F.col("item") - 1)
     b = a.select(partner.alias("item"), "predicted", "confidence").join(a.select("item", "truth"), "item")
-    return rounded(E.parity(a.join(b.select("item"), "item", "left_semi"), b))
+    return rounded(E.parity(a, b.where("item % 30 <> 4")))
 
 
 def _vectors(spark, d):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldlab.plans.catalogue import _FOLD
-from fieldlab.plans.dataset import scratch
+from fieldlab.plans.paths import scratch
 from fieldlab.sources.standins import OUTBOX_SQL, RECORDS_SQL, outbox, records, remote_batches
 from fieldlab.streaming import catalogue as C
 from fieldlab.streaming import keyed as K
