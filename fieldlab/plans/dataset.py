@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from fieldlab.constants import CLASSES as LABELS
 from fieldlab.operators import dataset as D
+from fieldlab.operators import evaluation as E
 from fieldlab.operators import quality as Q
 from fieldlab.plans.paths import scratch
 from fieldlab.plans.quality import _ALL, CRITERIA, SIDE
 from fieldlab.sources import manifests as M
-from fieldlab.sources.standins import MANIFEST_SQL, manifest, planes, table
+from fieldlab.sources.standins import MANIFEST_SQL, PROBABILITIES_SQL, manifest, planes, probabilities, table
 
 QUERIES, SQL = {}, {}
 CLASSES = ["de", "en", "es", "fr"]
@@ -97,12 +99,18 @@ def _(spark, d):
     return D.contract_violations(stored, active)
 
 
-@query("write_run_artifacts", "SELECT CAST(vec_id % 2 AS INT) AS version, count(*) AS items, min(label) AS least_label FROM embeddings GROUP BY 1")
+@query("write_run_artifacts", f"""WITH {PROBABILITIES_SQL}
+  SELECT version::VARCHAR AS version, round(avg((truth = predicted)::INT::DOUBLE), 9) AS accuracy, count(*) AS test_size, count(*) FILTER (WHERE truth = 0 AND predicted = 1) AS zero_as_one, 'again' AS note, 2 AS epochs FROM top GROUP BY version""")
 def _(spark, d):
     path = scratch(spark, "runs")
-    runs = table(spark, d, "embeddings").groupBy((F.col("vec_id") % 2).cast("int").alias("version")).agg(F.count("*").alias("items"), F.min("label").alias("least_label"))
-    M.write_run(runs, path)
-    return spark.read.parquet(path).select("version", "items", "least_label")
+    rows = E.with_prediction(probabilities(spark, d), LABELS)
+    for note in ("once", "again"):  # the second write replaces the first
+        for v in (0, 1):
+            M.write_run(M.run_artifacts(v, rows.where(F.col("version") == v), LABELS, {"note": note}, None, [(1, 0, "loss", 1.0), (1, 1, "loss", 0.5)]), path)
+    steps = M.concat_history(M.run_history(spark, path)).groupBy("version").agg(F.max("step").alias("epochs"))
+    runs = spark.read.parquet(path).withColumn("version", F.col("version").cast("string"))
+    told = runs.select("version", F.round("metrics.accuracy", 9).alias("accuracy"), "metrics.test_size", F.col("metrics.confusion")[0][1].alias("zero_as_one"), F.col("config")["note"].alias("note"))
+    return told.join(steps, "version")
 
 
 @query("concat_history", """WITH h AS (SELECT user_id % 5 AS version, CASE WHEN event_id % 3 > 0 THEN 1 ELSE 2 END AS phase, event_id AS epoch,

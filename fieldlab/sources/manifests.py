@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlab.operators.dataset import REQUIRED, scan_folders
+from fieldlab.operators import evaluation as E
+from fieldlab.operators.dataset import REQUIRED, SPLITS, scan_folders
 
 MANIFEST = "sample_id string, texture_class string, image string, setting string, site string, device string, captured_at string, sand_pct double, silt_pct double, clay_pct double, lab_report string, quality_flags string"
 
@@ -59,19 +61,43 @@ def manifest_digest(spark: SparkSession, path: str) -> str:
 
 
 def write_split(split: DataFrame, path: str, seed: int, val: float, test: float, classes: list[str], manifest: str | None = None) -> None:
-    """Rows by split, and one row a setting beside them; with ``manifest`` also the digest of those files."""
+    """Rows by split, and one row a setting beside them: seed, fractions, classes and their numbers (``class_to_idx.<class>``),
+    photos of each split (``count.<split>``); with ``manifest`` also the digest of those files.
+
+    Each write goes to a folder of its own, which the pointer ``current`` names
+    at the end: a reader sees the rows and settings of one write.
+    """
     spark = split.sparkSession
-    split.write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
+    name = uuid.uuid4().hex
+    split.write.partitionBy("split").parquet(f"{path}/{name}/rows")
+    counts = {r["split"]: r["n"] for r in spark.read.parquet(f"{path}/{name}/rows").groupBy("split").agg(F.count("*").alias("n")).collect()}  # a row a split
     settings = [("seed", str(seed)), ("val", str(val)), ("test", str(test)), ("classes", ",".join(classes))]
+    settings += [(f"class_to_idx.{c}", str(i)) for i, c in enumerate(classes)] + [(f"count.{k}", str(counts.get(k, 0))) for k in SPLITS]
     if manifest:
         settings.append(("manifest_sha256", manifest_digest(spark, manifest)))
-    spark.createDataFrame(settings, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    spark.createDataFrame(settings, "name string, value string").coalesce(1).write.parquet(f"{path}/{name}/settings")
+    last = _current(spark, path)
+    spark.createDataFrame([(last[0] + 1 if last else 1, name)], "number long, name string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and folder of the last write; None before the first."""
+    try:
+        r = spark.read.schema("number long, name string").parquet(f"{path}/current").agg(F.max(F.struct("number", "name")).alias("m")).first()["m"]
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    return r and (r["number"], r["name"])
 
 
 def load_split(spark: SparkSession, path: str, manifest: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, settings); raises what Spark raises if there is none, and ValueError
+    """(rows, settings) of the last write; raises FileNotFoundError if there is none, and ValueError
     where ``manifest`` is not the one that the split was made of."""
-    rows, settings = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/settings")
+    last = _current(spark, path)
+    if last is None:
+        raise FileNotFoundError(f"no split under {path}")
+    rows, settings = spark.read.parquet(f"{path}/{last[1]}/rows"), spark.read.parquet(f"{path}/{last[1]}/settings")
     if manifest:
         stored = settings.where("name = 'manifest_sha256'").first()
         found = manifest_digest(spark, manifest)
@@ -80,9 +106,43 @@ def load_split(spark: SparkSession, path: str, manifest: str | None = None) -> t
     return rows, settings
 
 
-def write_run(metrics: DataFrame, path: str) -> None:
-    """Appends rows of one or more versions, a folder a version."""
-    metrics.write.mode("append").partitionBy("version").parquet(path)
+def run_artifacts(version: str, scored: DataFrame, classes: list[str], config: dict[str, str], runtime: dict[str, str] | None, history: list[tuple[int, int, str, float]] = ()) -> DataFrame:
+    """One row with all that a run leaves: version, config, runtime, metrics and history.
+
+    ``scored`` has truth and predicted of the test rows; the metrics are
+    accuracy, both F1, precision, recall, F1 and support of each class, the
+    confusion (rows by truth; a further column of rows without a prediction)
+    and the test size.  ``runtime`` is what the training recorded about itself,
+    null if it recorded nothing.  ``history``: phase, epoch, metric, value.
+    """
+    k, spark = len(classes), scored.sparkSession
+    cells = E.confusion(scored, k)
+    report = E.report(cells)
+    names = F.array(*map(F.lit, classes))
+    row = F.struct(F.get(names, F.col("class")).alias("class"), "precision", "recall", "f1", "support")
+    per_class = report.agg(F.transform(F.array_sort(F.collect_list(F.struct("class", row.alias("r")))), lambda x: x["r"]).alias("per_class"))  # a row a class
+    lines = cells.groupBy("truth").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("predicted") < 0, k).otherwise(F.col("predicted")).alias("at"), "n"))), lambda x: x["n"]).alias("line"))
+    matrix = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("truth", "line"))), lambda x: x["line"]).alias("confusion"))
+    numbers = E.summary(report).withColumnsRenamed({"macro_f1": "f1_macro", "weighted_f1": "f1_weighted"})
+    one = numbers.join(per_class, F.lit(True)).join(matrix, F.lit(True))  # one row each
+    told = spark.createDataFrame([(str(version), config, runtime, [tuple(h) for h in history])], "version string, config map<string,string>, runtime map<string,string>, history array<struct<phase: int, epoch: bigint, metric: string, value: double>>")
+    return told.join(one, F.lit(True)).select("version", "config", "runtime", F.struct("accuracy", "f1_macro", "f1_weighted", "per_class", "confusion", "test_size").alias("metrics"), "history")
+
+
+def fit_history(model, phase: int = 1) -> list[tuple[int, int, str, float]]:
+    """The objective of each iteration of a fitted pipeline's classifier."""
+    return [(phase, i, "objective", float(v)) for i, v in enumerate(model.stages[-1].summary.objectiveHistory)]
+
+
+def write_run(runs: DataFrame, path: str) -> None:
+    """Writes rows of one or more versions, a folder a version; a version that is there already is replaced."""
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+
+def run_history(spark: SparkSession, path: str) -> DataFrame:
+    """version, phase, epoch, metric, value of all runs: what concat_history takes."""
+    runs = spark.read.parquet(path).select(F.col("version").cast("string").alias("version"), F.explode("history").alias("h"))
+    return runs.select("version", "h.phase", "h.epoch", "h.metric", "h.value")
 
 
 def concat_history(history: DataFrame, chunk: int = 4096) -> DataFrame:
