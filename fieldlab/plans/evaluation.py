@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from fieldlab.constants import CLASSES
+from fieldlab.operators import controls as K
+from fieldlab.operators import dataset as D
 from fieldlab.operators import evaluation as E
 from fieldlab.operators import monitoring as M
 from fieldlab.operators import neighbours as N
@@ -182,6 +184,13 @@ def _(spark, d):
     return r.select("queries", (F.col("recall") >= 0.9).alias("reached"))
 
 
+@query("latency_percentiles", "SELECT event_type AS stage, round(quantile_cont(value * 3, 0.5), 6) AS p50, round(quantile_cont(value * 3, 0.95), 6) AS p95, round(quantile_cont(value * 3, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def _(spark, d):
+    """Exact percentiles of how long each stage took (milliseconds), beside those of confidence."""
+    took = table(spark, d, "events").select(F.col("event_type").alias("stage"), (F.col("value") * 3).alias("took_ms"))
+    return rounded(E.percentiles(took, "took_ms", [0.5, 0.95, 0.99], ["stage"]), 6)
+
+
 @query("temperature_scaling", f"""{_P}, t AS (SELECT unnest([0.5, 0.75, 1.0, 1.5, 2.0])::DOUBLE AS t)
   SELECT t, round(sum(-ln(pow(p[truth + 1], 1 / t) / (pow(p[1], 1 / t) + pow(p[2], 1 / t) + pow(p[3], 1 / t) + pow(p[4], 1 / t) + pow(p[5], 1 / t)))), 5) AS loss FROM probs CROSS JOIN t GROUP BY 1""")
 def _(spark, d):
@@ -237,3 +246,11 @@ def _(spark, d):
 def _(spark, d):
     model, e = _model(spark, d)
     return E.with_prediction(E.batch_score(model, e, "embedding"), CLASSES).select("item", "predicted", "label", F.round("confidence", 6).alias("confidence"))
+
+
+@query("control_arms_trained")
+def _(spark, d):
+    """Held-out accuracy of models trained on real and on shuffled labels, five seeds each, all in one fit."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("int").alias("truth"))
+    runs = K.train_arms(rows, "vector", "item", "truth", 10, [1, 2, 3, 4, 5], scratch(spark, "arms"), iterations=25, tolerance=1e-3)
+    return rounded(D.compare_arms(runs), 6)
