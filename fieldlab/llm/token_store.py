@@ -34,7 +34,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.llm.bpe import check_byte_level, vocabulary_path
@@ -128,12 +128,17 @@ class Shard:
         """(key, slot) of every document of the given keys, in order of ordinals.
 
         A key's ordinals start at 0, but for the first key of the shard, which
-        may have begun in the shard before.
+        may have begun in the shard before.  Prints only spare comparisons: a
+        slot counts if its document has the key and the ordinal.
         """
+        document = np.empty(self.n, np.int64)
+        document[slots(key_hash(self.keys[0], self.keys[1]), self.pilots, self.n)] = np.arange(self.n)
         k, nth, found = keys, np.where(keys == self.first_key, self.first_nth, 0), []
         while len(k):
             at = self.find(k, nth)
-            k, nth, at = k[at >= 0], nth[at >= 0], at[at >= 0]
+            own = self.keys[:, document[at]]
+            here = (at >= 0) & (own[0] == k) & (own[1] == nth)
+            k, nth, at = k[here], nth[here], at[here]
             found += zip(k.tolist(), at.tolist())
             nth = nth + 1
         return found
@@ -349,12 +354,24 @@ def read_documents(store: DataFrame) -> DataFrame:
     return store.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _count_below(ascending: str, key: str, or_equal: bool) -> Column:
+    """How many numbers of an ascending array column lie below the key (or equal it), by a binary search."""
+    array, wanted = F.col(ascending), F.col(key)
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda i: F.pow(F.lit(2), i).cast("int"))
+
+    def move(n, step):
+        at = F.get(array, n + step - 1)  # null beyond the end
+        return F.when(at <= wanted if or_equal else at < wanted, n + step).otherwise(n)
+
+    return F.aggregate(steps, F.lit(0), move)
+
+
 def lookup(store: DataFrame, keys: DataFrame | list[int]) -> DataFrame:
     """(doc_id, ids) of the asked keys (a list, or the column doc_id of a table); strange keys give no row.
 
     Keys go to their range by a binary search over the last keys of the ranges
-    (one row a range comes to the driver), to their shard by the first and last
-    keys within that range, and are then found by hash.  Shards outside the
+    (one row a range comes to the driver), to their shard by another one within
+    that range, and are then found by hash.  Shards outside the
     span of all keys are pruned by their footer statistics.
     """
     spark = store.sparkSession
@@ -364,8 +381,12 @@ def lookup(store: DataFrame, keys: DataFrame | list[int]) -> DataFrame:
     ranges = sorted((r["last"], r["part"]) for r in store.groupBy("part").agg(F.max("last_key").alias("last")).collect())
     place = F.get(number_list(part for _, part in ranges), range_number(F.col("key"), [last for last, _ in ranges]))
     asked = asked.withColumn("part", place.cast("int"))
-    shards = store.select("part", "shard", "first_key", "last_key")
-    to = asked.join(shards, "part").where("key >= first_key AND key <= last_key").groupBy("part", "shard").agg(F.collect_list("key").alias("asked"))
+    # a row a range: its shards in order, in which a key is searched (it may stand in several, one behind another)
+    shards = store.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("shard", "first_key", "last_key"))).alias("s"))
+    first, last = _count_below("s.last_key", "key", False), _count_below("s.first_key", "key", True) - 1
+    at = asked.join(shards, "part").select("part", "key", F.col("s.shard").alias("numbers"), F.when(first <= last, F.sequence(first, last)).alias("places"))
+    to = at.select("part", "key", "numbers", F.explode("places").alias("place")).select("part", F.get("numbers", F.col("place")).alias("shard"), "key")
+    to = to.groupBy("part", "shard").agg(F.collect_list("key").alias("asked"))
     to = materialize(to, "store-asked")  # at most the documents of a shard in a row
     near = store.where((F.col("last_key") >= F.lit(least)) & (F.col("first_key") <= F.lit(most)))
     near = near.join(F.broadcast(to) if n <= BROADCAST_ROWS else to, ["part", "shard"])

@@ -258,3 +258,18 @@ def test_oracle_on_odd_documents(spark, tmp_path, name, sql):
     found = c.execute(sql[name])
     names = [x[0] for x in found.description]
     assert Counter(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*names).collect())) == Counter(found.fetchall())
+
+
+# --- 10: keys of a store ------------------------------------------------------
+
+
+def test_equal_prints_do_not_return_another_document(monkeypatch):
+    import numpy as np
+
+    from fieldlab.llm import token_store
+
+    monkeypatch.setattr(token_store, "prints_of", lambda h: np.zeros(len(h), np.uint32))  # all collide
+    row = token_store._shard_row(0, 4, [bytes([k, 0, 0, 0]) for k in range(6)], [2, 4, 4, 6, 8, 9], [0, 0, 1, 0, 0, 0])
+    shard = token_store.Shard(row)
+    found = shard.find_all(np.array([1, 2, 3, 4, 7, 9, 50]))
+    assert sorted((k, int(shard.get(at)[0])) for k, at in found) == [(2, 0), (4, 1), (4, 2), (9, 5)]
