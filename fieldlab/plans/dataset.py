@@ -7,9 +7,9 @@ from fieldlab.operators import dataset as D
 from fieldlab.operators import evaluation as E
 from fieldlab.operators import quality as Q
 from fieldlab.plans.paths import scratch
-from fieldlab.plans.quality import _ALL, CRITERIA, SIDE
+from fieldlab.plans.quality import _SHOTS, AUDIT, BLUR, LEAST, shots
 from fieldlab.sources import manifests as M
-from fieldlab.sources.standins import MANIFEST_SQL, PROBABILITIES_SQL, manifest, planes, probabilities, table
+from fieldlab.sources.standins import MANIFEST_SQL, PROBABILITIES_SQL, manifest, photos, probabilities, table
 
 QUERIES, SQL = {}, {}
 CLASSES = ["de", "en", "es", "fr"]
@@ -137,23 +137,23 @@ def _(spark, d):
     return D.manifest_vs_files(m.where("NOT (photo % 60 = 11 AND photo % 50 <> 7)"), m.where("photo % 50 <> 7"))
 
 
-_ADMIT = f"""{_ALL}, flagged AS (SELECT m.image_id, coalesce(string_agg(criterion, ',' ORDER BY no), '') AS flags, string_agg(criterion, ',' ORDER BY no) FILTER (WHERE blocking) AS reason
+_ADMIT = f"""{_SHOTS}, flagged AS (SELECT m.image_id, coalesce(string_agg(criterion, ',' ORDER BY no), '') AS flags, string_agg(criterion, ',' ORDER BY no) FILTER (WHERE blocking) AS reason
   FROM metrics m LEFT JOIN failing f ON f.image_id = m.image_id GROUP BY 1)"""
 
 
 @query("admit_images", f"{_ADMIT} SELECT doc_id AS photo, image_id IS NOT NULL AND reason IS NULL AS admitted, flags AS quality_flags, CASE WHEN image_id IS NULL THEN 'no photo' ELSE reason END AS reason FROM documents LEFT JOIN flagged ON image_id = doc_id")
 def _(spark, d):
-    judged = Q.audit(Q.as_images(planes(spark, d), SIDE), "image_id", CRITERIA).withColumnRenamed("image_id", "photo")
+    judged = Q.audit(Q.as_images(photos(spark, d)), "image_id", AUDIT, BLUR).withColumnRenamed("image_id", "photo")
     return D.admit(manifest(spark, d).select("photo"), judged, "photo").select("photo", "admitted", "quality_flags", "reason")
 
 
-@query("recompute_admission", f"""{_ALL} SELECT image_id, CASE WHEN blur < 30000 OR mean_luma < 110 OR mean_luma > 140 OR clipped > 0.05::DOUBLE THEN 'blocking' WHEN contrast < 46 OR cast_ > 0.1::DOUBLE OR specular > 0.02::DOUBLE THEN 'advisory' ELSE 'ok' END AS verdict FROM metrics""")
+@query("recompute_admission", f"""{_SHOTS} SELECT image_id, CASE WHEN blur < 15000 OR mean_luma < 110 OR mean_luma > 140 OR clipped > 0.05::DOUBLE OR side < {LEAST} THEN 'blocking' WHEN contrast < 46 OR cast_ > 0.1::DOUBLE OR specular > 0.02::DOUBLE THEN 'advisory' ELSE 'ok' END AS verdict FROM metrics""")
 def _(spark, d):
     from fieldlab.constants import QualityCriteria
 
-    new = QualityCriteria(min_blur=30000.0, min_luma=110.0, max_luma=140.0, max_clipped=0.05, min_contrast=46.0, max_cast=0.1, max_specular=0.02, min_side=SIDE)
+    new = QualityCriteria(min_blur=15000.0, min_luma=110.0, max_luma=140.0, max_clipped=0.05, min_contrast=46.0, max_cast=0.1, max_specular=0.02, min_side=LEAST)
     path = scratch(spark, "metrics")
-    Q.image_metrics(Q.as_images(planes(spark, d), SIDE), "image_id").write.parquet(path)  # recorded once
+    shots(spark, d).write.parquet(path)  # recorded once
     return spark.read.parquet(path).select("image_id", Q.verdict(Q.failures(new), F.col("error")).alias("verdict"))
 
 
