@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors that centroids are fitted on, and centroids, at most (by default the square root of the rows).
+#: Vectors that centroids are fitted on, and centroids, at most.
 SAMPLE, MOST_LISTS = 20_000, 4096
 #: Entries of a segment of a list, queries of a block, and queries compared in a step.
 SEGMENT, QUERY_BLOCK, STEP = 4096, 65_536, 512
@@ -52,11 +52,15 @@ def _numbers(column: pa.Array) -> np.ndarray:
 
 
 def fit_centroids(real: DataFrame, lists: int | None = None, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
-    """Centroids of at most ``sample`` vectors, those of smallest hash."""
+    """Centroids of at most ``sample`` distinct vectors, those of smallest hash.
+
+    By default as many as the square root of the rows, and a single one for what fits into a segment.
+    """
     rows = real.where("vector IS NOT NULL")
     if lists is None:
-        lists = max(1, min(MOST_LISTS, round(rows.count() ** 0.5)))
-    few = rows.orderBy(F.xxhash64("vector"), "item").limit(sample).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+        n = rows.count()
+        lists = 1 if n <= SEGMENT else min(MOST_LISTS, round(n**0.5))
+    few = rows.select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(sample).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     few = few.cache()
     try:
         if few.isEmpty():
@@ -210,7 +214,7 @@ def nearest(queries: DataFrame, index: Index, path: str, k: int = 1, probes: int
         return spark.read.parquet(f"{path}/{name}")
 
     first = _best(_compare(written(_probe(asked, index, probes, False), "asked"), index, k), k)
-    if not exact:
+    if not exact or probes >= len(index.centroids):
         return first
     first = written(first, "first")
     reach = first.where(F.col("rank") == k).select("query", F.col("distance").alias("reach"))

@@ -178,7 +178,8 @@ def _(spark, d):
 def _(spark, d):
     """The index against an exact search: every row divisible by 50 against all others, with as many probes as 95 % of a sample need."""
     e, root = _vectors(spark, d), scratch(spark, "neighbours")
-    index, asked = N.write_index(e, f"{root}/index"), e.where("item % 50 = 0")
+    lists = max(2, round(e.count() ** 0.5))  # the rule for large tables, at any size
+    index, asked = N.write_index(e, f"{root}/index", N.fit_centroids(e, lists)), e.where("item % 50 = 0")
     found = N.nearest(asked, index, f"{root}/few", probes=N.probes_for(index, asked, f"{root}/probes"))
     r = N.recall(found, N.nearest(asked, index, f"{root}/exact", exact=True))
     return r.select("queries", (F.col("recall") >= 0.9).alias("reached"))

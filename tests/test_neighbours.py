@@ -28,8 +28,8 @@ def test_exact_search_by_brute_force(spark, clustered, tmp_path, monkeypatch, k)
     x, rows = clustered
     monkeypatch.setattr(N, "SEGMENT", 64)
     monkeypatch.setattr(N, "QUERY_BLOCK", 16)
-    index = N.write_index(rows, f"{tmp_path}/index")
-    assert index.lists.agg({"n": "sum"}).first()[0] == len({v.tobytes() for v in x})
+    index = N.write_index(rows, f"{tmp_path}/index")  # 39 lists, as the rows are more than a segment
+    assert 30 < len(index.centroids) <= 39 and index.lists.agg({"n": "sum"}).first()[0] == len({v.tobytes() for v in x})
     queries = [q for q in range(1500) if q % 50 == 0] + [701, 5]
     found = N.nearest(rows.where("item % 50 = 0 OR item IN (701, 5, 9000)"), index, f"{tmp_path}/work", k=k, probes=2, exact=True).collect()
     got = {}
@@ -40,7 +40,7 @@ def test_exact_search_by_brute_force(spark, clustered, tmp_path, monkeypatch, k)
 
 def test_recall_of_the_index(spark, clustered, tmp_path):
     _, rows = clustered
-    N.write_index(rows, f"{tmp_path}/index")
+    N.write_index(rows, f"{tmp_path}/index", N.fit_centroids(rows, 30))
     index = N.open_index(spark, f"{tmp_path}/index")
     queries = rows.where("item % 50 = 0")
     few = N.nearest(queries, index, f"{tmp_path}/a", probes=4)
@@ -73,7 +73,7 @@ def test_measured_probes_reach_the_recall(spark, sf_dir, tmp_path):
     x = rng.normal(size=(2000, 16))
     x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, vector array<float>")
-    index, asked = N.write_index(rows, f"{tmp_path}/index"), rows.where("item % 10 = 0")
+    index, asked = N.write_index(rows, f"{tmp_path}/index", N.fit_centroids(rows, 45)), rows.where("item % 10 = 0")
     probes = N.probes_for(index, asked, f"{tmp_path}/probes", sample=100)
     found = N.nearest(asked, index, f"{tmp_path}/few", probes=probes)
     r = N.recall(found, N.nearest(asked, index, f"{tmp_path}/all", exact=True)).first()
