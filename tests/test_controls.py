@@ -20,7 +20,7 @@ def rows(spark):
 def test_agrees_with_spark_ml(rows):
     """One model of many against Spark's own fit: weights up to a constant a class, probabilities to 1e-3."""
     both = rows.withColumn("labels", F.array(F.when(F.col("item") % 3 == 0, -1).otherwise(F.col("label")), F.lit(1), F.col("label")))
-    w = K.fit_models(both, "x", "labels", 3, 3, iterations=60, tolerance=1e-6)
+    w = K.fit_models(both, "x", "labels", 3, 3, iterations=90, tolerance=1e-6)
     model = E.train_classifier(rows.where("item % 3 <> 0"), "x", "label", iterations=300)
     scored = E.batch_score(model, rows, "x").collect()
     x = np.column_stack([np.array([r["x"] for r in scored]), np.ones(len(scored))])
