@@ -497,7 +497,8 @@ def similarity_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tupl
     alone = bucket.select("rep").distinct().withColumn("comp", F.col("rep"))
     pairs = materialize(cross_pairs(bucket, facts, alone, percent, False).select("hub", "rep").distinct(), "join-pairs")
     links = verify(named, pairs, width, percent).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    members = sets.select("doc_id", "text_key", "digest").join(classes.select("digest", F.col("rep").alias("class")), "digest", "left").drop("digest")
+    of = materialize(classes.select("digest", F.col("rep").alias("class")), "join-of")
+    members = sets.select("doc_id", "text_key", "digest").join(of, "digest", "left").drop("digest")
     return links, members
 
 
@@ -534,7 +535,8 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
         ids = of.groupBy("component_id").agg(F.min("class_id").alias("smallest"), F.min("first").alias("kept"))
         of = of.join(ids, "component_id").drop("component_id").withColumnRenamed("smallest", "component_id")
         stays = F.col("kept").isNull() | (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key")))
-    of = of.select("digest", "class_id", "component_id", *(["kept"] if odd else []))
+    # a written table: a large class of copies is then a skewed join, whose rows Spark deals over tasks
+    of = materialize(of.select("digest", "class_id", "component_id", *(["kept"] if odd else [])), "join-of")
     return sets.select("doc_id", "text_key", "n", "digest").join(of, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), *(F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c) for c in ("class_id", "component_id")), "text_key", stays.alias("stays")
     )
