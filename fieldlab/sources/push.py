@@ -8,7 +8,9 @@ driver so in its commit message; the driver then fails the write, and what was
 not pushed stays pending.  Only file names and counts go through the driver.
 
 A task that is lost between a push and the next entry of its journal sends up
-to ``JOURNAL_EVERY`` operations again, under their old keys.
+to ``JOURNAL_EVERY`` operations again, under their old keys.  A backend that
+takes many operations in a request gets as many as an entry holds.  A task that
+is through leaves one journal in place of its entries.
 
 Options: ``root`` (a folder that driver and executors share), ``backend``
 ("module:factory", called with the option ``argument``), ``run`` (a name of the
@@ -17,10 +19,11 @@ write, by default a new one; a write that is done again keeps it).
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -51,6 +54,24 @@ class Backend(Protocol):
     def delete(self, key: str, record: dict) -> None: ...
 
 
+class BulkBackend(Protocol):
+    """A backend that takes (key, operation, record) of many operations in one request; keys are as above."""
+
+    def push(self, operations: list[tuple[str, str, dict]]) -> Iterable[str | None]:
+        """Does them in their order; for each that is done its remote id, if any.  Raises at the first that fails."""
+
+
+class _OneByOne:
+    """A bulk request made of single ones."""
+
+    def __init__(self, backend: Backend):
+        self.backend = backend
+
+    def push(self, operations: list[tuple[str, str, dict]]) -> Iterator[str | None]:
+        for key, operation, record in operations:
+            yield (self.backend.upsert if operation == "upsert" else self.backend.delete)(key, record)
+
+
 class FolderBackend:
     """A backend of a shared folder: a file for each operation, named by its key and created once."""
 
@@ -74,6 +95,41 @@ class FolderBackend:
         self._once(key, {"operation": "delete", "uuid": record["record_uuid"]})
 
 
+class BundleBackend:
+    """A bulk backend of a shared folder: a Parquet file for each request, named by its keys and created once.
+
+    A request that comes again finds its file.  Where one comes again cut at
+    other places, its operations stand there twice; whoever reads the folder
+    takes a key once.
+    """
+
+    KIND = pa.schema([("key", pa.string()), ("operation", pa.string()), ("uuid", pa.string()), ("remote_id", pa.string())])
+
+    def __init__(self, root: str):
+        self.fs, self.root = _file_system(root)
+        self.fs.create_dir(self.root, recursive=True)
+
+    def push(self, operations: list[tuple[str, str, dict]]) -> list[str | None]:
+        path = f"{self.root}/{hashlib.blake2b(json.dumps([o[0] for o in operations]).encode(), digest_size=16).hexdigest()}.parquet"
+        if self.fs.get_file_info(path).type == pafs.FileType.File:
+            return pq.read_table(path, filesystem=self.fs, columns=["remote_id"], partitioning=None).column("remote_id").to_pylist()
+        rows = [(key, operation, r["record_uuid"], f"remote-{r['record_uuid']}" if operation == "upsert" else None) for key, operation, r in operations]
+        _write(self.fs, path, [pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.KIND)], schema=self.KIND)])
+        return [r[3] for r in rows]
+
+
+def _write(fs: pafs.FileSystem, path: str, tables: Iterable[pa.Table]) -> None:
+    """Writes a file that nobody sees before it is whole."""
+    folder, _, name = path.rpartition("/")
+    hidden = f"{folder}/_{uuid.uuid4().hex}-{name}"
+    writer = None
+    for t in tables:
+        writer = writer or pq.ParquetWriter(hidden, t.schema, filesystem=fs)
+        writer.write_table(t)
+    writer.close()
+    fs.move(hidden, path)
+
+
 @dataclass
 class TaskDone(WriterCommitMessage):
     pushed: int
@@ -85,7 +141,7 @@ class PushFailed(RuntimeError):
     """An operation failed; those behind it in its task stay pending."""
 
 
-def _load(spec: str, argument: str | None) -> Backend:
+def _load(spec: str, argument: str | None) -> Backend | BulkBackend:
     module, _, factory = spec.partition(":")
     made = getattr(importlib.import_module(module), factory)
     return made(argument) if argument is not None else made()
@@ -105,31 +161,58 @@ class _Pusher:
         journals = [f for f in fs.get_file_info(pafs.FileSelector(mine)) if f.base_name.startswith(f"{task.partitionId()}-") and f.size]
         known = {i for f in journals for i in pq.read_table(f.path, filesystem=fs, columns=["id"], partitioning=None).column("id").to_pylist()}
         done: list[tuple] = []
-        pushed, part = 0, 0
+        entries: list[str] = []
+        pushed, held = 0, []
+        at_once = JOURNAL_EVERY if hasattr(backend, "push") else 1
+        bulk = backend if hasattr(backend, "push") else _OneByOne(backend)
 
         def write_down():
-            nonlocal part, pushed
+            nonlocal pushed
             if done:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*done), PUSHED)]
-                pq.write_table(pa.Table.from_arrays(columns, schema=PUSHED), f"{mine}/{task.partitionId()}-{task.taskAttemptId()}-{part}.parquet", filesystem=fs)
-                part, pushed = part + 1, pushed + len(done)
+                entries.append(f"{mine}/{task.partitionId()}-{task.taskAttemptId()}-{len(entries)}.parquet")
+                _write(fs, entries[-1], [pa.Table.from_arrays(columns, schema=PUSHED)])
+                pushed += len(done)
                 done.clear()
 
-        for r in rows:
-            if r.id in known:
-                continue
-            try:
-                remote = None
-                if not r.orphan:
-                    send = backend.upsert if r.operation == "upsert" else backend.delete
-                    remote = send(str(r.id), r.asDict(True))
-            except Exception as error:  # whatever a backend raises stops the run
-                write_down()
-                return TaskDone(pushed, r.id, f"{type(error).__name__}: {error}")
-            done.append((r.id, r.record_uuid, r.operation, r.orphan, remote))
+        def settle():
+            """Entries become one file: Spark opens files one by one.  What a loss in between leaves twice is read once."""
+            write_down()
+            if len(entries) > 1:
+                read = lambda lo: pa.concat_tables(pq.read_table(e, filesystem=fs, partitioning=None) for e in entries[lo : lo + 100])
+                _write(fs, f"{mine}/{task.partitionId()}-{task.taskAttemptId()}-all.parquet", map(read, range(0, len(entries), 100)))
+                for e in entries:
+                    fs.delete_file(e)
+
+        def send() -> TaskDone | None:
+            asked = [(str(r.id), "upsert" if r.operation == "upsert" else "delete", r.asDict(True)) for r in held if not r.orphan]
+            remote = None
+            for r in held:
+                try:
+                    if not r.orphan:
+                        remote = iter(bulk.push(asked)) if remote is None else remote
+                        done.append((r.id, r.record_uuid, r.operation, r.orphan, next(remote)))
+                    else:
+                        done.append((r.id, r.record_uuid, r.operation, r.orphan, None))
+                except Exception as error:  # whatever a backend raises stops the run
+                    settle()
+                    return TaskDone(pushed, r.id, f"{type(error).__name__}: {error}")
+            held.clear()
             if len(done) >= JOURNAL_EVERY:
                 write_down()
-        write_down()
+            return None
+
+        for r in rows:
+            if r.id not in known:
+                held.append(r)
+                if len(held) >= at_once:
+                    failed = send()
+                    if failed:
+                        return failed
+        failed = send()
+        if failed:
+            return failed
+        settle()
         return TaskDone(pushed)
 
 

@@ -167,3 +167,75 @@ def test_a_repeated_task_pushes_only_what_is_left(spark, tmp_path, monkeypatch):
     assert push.PushWriter(options).write(iter(rows)) == push.TaskDone(3)  # 0 and 1 were written down
     assert asked(root) == {0: 1, 1: 1, 2: 2, 3: 1, 4: 1}
     assert push.FolderBackend(f"{root}/backend").upsert("2", {"record_uuid": "other"}) == "remote-a"  # known by its key
+
+
+class RefusingBulk(push.BundleBackend):
+    """Does a request up to a key, as long as a file says that it refuses it."""
+
+    def push(self, operations):
+        import os
+
+        keys = [key for key, _, _ in operations]
+        stop = next((i for i, key in enumerate(keys) if os.path.exists(f"{self.root}/refuse-{key}")), None)
+        yield from super().push(operations[:stop]) if stop != 0 else ()
+        if stop is not None:
+            raise ConnectionError("refused")
+
+
+def in_folder(spark, root):
+    return sorted((int(r["key"]), r["operation"], r["remote_id"]) for r in spark.read.parquet(f"{root}/backend/*.parquet").collect())
+
+
+def test_many_operations_are_a_request_and_a_file(spark, records, tmp_path):
+    """Files grow with tasks and requests, not with operations."""
+    root = str(tmp_path / "out")
+    ops = spark.createDataFrame([(i, "a" if i % 2 else "b", "upsert" if i % 3 else "delete", "pending") for i in range(1000)] + [(1000, "gone", "upsert", "pending")], KIND)
+    C.push_outbox(ops, records, root, "fieldlab.sources.push:BundleBackend", f"{root}/backend", "r")
+    assert in_folder(spark, root) == [(i, "upsert", "remote-" + "ba"[i % 2]) if i % 3 else (i, "delete", None) for i in range(1000)]
+    assert {r["status"] for r in C.drained_outbox(ops, root).collect()} == {"synced"}
+    assert C.pushed_log(spark, root).count() == 1001
+    files = lambda where: [p for p in (tmp_path / "out" / where).glob("*.parquet")]
+    assert len(files("backend")) <= 4 + 1000 // push.JOURNAL_EVERY
+    assert len(files("pushed/run=r")) <= 4  # a journal a task, of five entries and more
+
+
+def test_a_request_fails_in_its_middle(spark, records, tmp_path):
+    root = str(tmp_path / "out")
+    ops = spark.createDataFrame([(i, "a", "upsert", "pending") for i in range(5)] + [(5, "gone", "upsert", "pending"), (6, "b", "delete", "pending")], KIND)
+    refuse = tmp_path / "out" / "backend" / "refuse-3"
+    refuse.parent.mkdir(parents=True)
+    refuse.touch()
+    run = lambda: C.push_outbox(ops, records, root, "test_streaming:RefusingBulk", f"{root}/backend", "r")
+    with pytest.raises(Exception, match="operation 3: ConnectionError: refused"):
+        run()
+    status = {r["id"]: r["status"] for r in C.drained_outbox(ops, root).collect()}
+    assert [status[i] for i in range(5)] == ["synced"] * 3 + ["pending"] * 2
+    refuse.unlink()
+    run()
+    assert {r["status"] for r in C.drained_outbox(ops, root).collect()} == {"synced"}
+    assert [key for key, _, _ in in_folder(spark, root)] == [0, 1, 2, 3, 4, 6]  # each once
+
+
+def test_a_request_that_comes_again_finds_its_file(tmp_path):
+    backend = push.BundleBackend(str(tmp_path))
+    asked = [("1", "upsert", {"record_uuid": "a"}), ("2", "delete", {"record_uuid": "b"})]
+    assert list(backend.push(asked)) == list(backend.push(asked)) == ["remote-a", None]
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_the_drain_takes_as_many_batches_at_any_size(spark, sf_dir, tmp_path, monkeypatch):
+    """Each batch looks at all records, so files told twice must not grow with the partitions of the input."""
+    from fieldlab.plans import streams
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(24).write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(str(tmp_path / "nation.parquet"))
+    root = str(tmp_path / "root")
+    monkeypatch.setattr(streams, "scratch", lambda spark, label: root)
+    monkeypatch.setattr(C, "follow_outbox", lambda *a: (_ for _ in ()).throw(InterruptedError))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        with pytest.raises(InterruptedError):
+            streams.QUERIES["stream_outbox_drain"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list((tmp_path / "root" / "log").glob("*.parquet"))) <= 6
