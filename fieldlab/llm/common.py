@@ -105,6 +105,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def for_a_while(df: DataFrame, label: str):
+    """``df`` as a written table that goes when the block ends; what reads it has to be written inside."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        _delete(spark, path)
+
+
 def quoted(name: str) -> Column:
     """The column of exactly this name, dots and other signs included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -16,15 +16,16 @@ pairs: representatives are first checked against the smallest one of a bucket;
 then those outside the largest component of their bucket are compared with all
 of its other members, each two components by their closest pair; then, in the
 buckets where such pairs were found, whatever pairs of different components are
-left.  A parity bitmap (as many bits as tokens, or twice that) bounds the
-symmetric difference from below and only drops pairs that cannot link; every
+left.  A parity bitmap (four bits and more for each token that linked sets may
+differ in, at most two for each of its own) bounds the symmetric difference
+from below and only drops pairs that cannot link; every
 link is verified on whole sets.
 
 Rows shuffled: prefixes, keys, bitmaps, and the sets of candidates only.  What
 a bucket is (its size, first member, signature) comes from aggregates that are
 summed up before they move, so a key that a third of all rows share is a row a
 task there; members meet their bucket in plain joins, which AQE splits.  The
-driver sees counts.
+driver sees counts.  Zones, the largest table, are there only until the keys are.
 
 Defined results: words are lower-cased (A-Z) runs of anything but ASCII white
 space; shorter texts are one shingle of all their words; null and wordless
@@ -37,13 +38,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import free_names, materialize, read, shuffle_parts, small_broadcast
+from fieldlab.llm.common import for_a_while, free_names, materialize, read, shuffle_parts, small_broadcast
 
 #: Prefixes that hold a token before it counts as frequent.
 FREQUENT = 40
@@ -167,8 +169,10 @@ def index_keys(n: int, percent: int, at: np.ndarray, tokens: np.ndarray, frequen
 # --- bitmaps ----------------------------------------------------------------
 
 
-def parity_bitmap(tokens: np.ndarray) -> bytes:
-    bits = max(512, 1 << (len(tokens) - 1).bit_length())
+def parity_bitmap(tokens: np.ndarray, percent: int) -> bytes:
+    """A power of two of bits: of unlike sets half differ, over twice of what links allow (from 78 % on)."""
+    n = len(tokens)
+    bits = max(256, 1 << (min(n, -(-8 * n * (100 - percent) // (100 + percent))) - 1).bit_length())
     odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -228,7 +232,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     alone = len(s) * (100 - percent) < percent
                     zones.append(None if alone else zone(s, percent).tobytes())
-                    maps.append(None if alone else parity_bitmap(s))
+                    maps.append(None if alone else parity_bitmap(s, percent))
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("text_key"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, zones, maps))], names=["doc_id", "text_key", "n", "digest", "zone", "bitmap"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, digest binary, zone binary, bitmap binary")
@@ -266,24 +270,29 @@ def _keys(percent: int):
     return run
 
 
-def buckets(reps: DataFrame, percent: int) -> DataFrame:
+def sets_keys(zones: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n): the index keys of representatives (rep, n, zone)."""
+    tokens = zones.mapInArrow(_explode_zone, "token long, rep long, n long, at int")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    known = tokens.join(shared, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("at", "token", (F.col("df") > FREQUENT).alias("often"))).alias("shared"))
+    return known.mapInArrow(_keys(percent), "key long, rep long, n long")
+
+
+def buckets(keys: DataFrame, percent: int) -> DataFrame:
     """(key, rep, m): index keys that m >= 2 representatives share, one key for each set of them.
 
     Sizes of linked sets differ by a factor under 100 / percent, so each key is
-    split by the logarithm of the size, neighbouring classes together.
+    split by the logarithm of the size, neighbouring classes together.  ``keys``
+    is a written table.
     """
-    tokens = reps.mapInArrow(_explode_zone, "token long, rep long, n long, at int")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = tokens.join(shared, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("at", "token", (F.col("df") > FREQUENT).alias("often"))).alias("shared"))
-    keys = materialize(known.mapInArrow(_keys(percent), "key long, rep long, n long"), "join-keys")
     # a little over the largest factor, so that rounding cannot put two classes between linked sizes
     size = F.floor(F.ln("n") / math.log(100 / percent * 1.000001))
     split = keys.select(F.explode(F.array(F.xxhash64("key", size), F.xxhash64("key", size + 1))).alias("key"), "rep")
     several = split.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared_keys = materialize(split.join(several, "key"), "join-shared")
-    members = shared_keys.groupBy("key", "m").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
-    chosen = members.groupBy("m", "s", "x").agg(F.min("key").alias("key")).select("key")
-    return materialize(shared_keys.join(chosen, "key"), "join-buckets")
+    with for_a_while(split.join(several, "key"), "join-shared") as shared_keys:
+        members = shared_keys.groupBy("key", "m").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"))
+        chosen = members.groupBy("m", "s", "x").agg(F.min("key").alias("key")).select("key")
+        return materialize(shared_keys.join(chosen, "key"), "join-buckets")
 
 
 def _hub_pairs(percent: int):
@@ -466,22 +475,28 @@ def merge_components(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps
 
 
-def _candidates(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
-    """(sets, classes, representatives, docs by representative, whether ids are null or repeated)."""
+def _candidates(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """(sets, classes, facts of representatives, buckets, docs by representative, whether ids are null or repeated)."""
     if not 50 <= percent <= 100:
         raise ValueError(f"similarity of {percent} %: index keys are complete from 50 % to 100 %")
-    sets = materialize(_sets(docs, width, percent), "join-sets")
-    odd = sets.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    rep = F.xxhash64("digest").alias("rep") if odd else F.col("class_id").alias("rep")
-    classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), *([first] if odd else [])).select("*", rep)
-    reps = sets.where("zone IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("zone").alias("zone"), F.first("bitmap").alias("bitmap")).select("*", rep).drop("digest", "class_id")
-    reps = materialize(reps, "join-reps")
+    with ExitStack() as until_keys:
+        with for_a_while(_sets(docs, width, percent), "join-whole") as whole:
+            sets = materialize(whole.select("doc_id", "text_key", "n", "digest"), "join-sets")
+            odd = sets.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
+            first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+            rep = F.xxhash64("digest").alias("rep") if odd else F.col("class_id").alias("rep")
+            classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), *([first] if odd else [])).select("*", rep)
+            one = lambda c: whole.where("zone IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first(c).alias(c)).select(rep, "n", c)
+            facts = materialize(one("bitmap"), "join-facts")
+            zones = until_keys.enter_context(for_a_while(one("zone"), "join-zones"))
+        with for_a_while(sets_keys(zones, percent), "join-keys") as keys:
+            until_keys.close()
+            bucket = buckets(keys, percent)
     if odd:
         named = classes.select("rep", F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
         docs = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))).select(F.col("rep").alias("doc_id"), "text")
         docs = materialize(docs.dropDuplicates(["doc_id"]), "join-named")
-    return sets, classes, reps, docs, odd
+    return sets, classes, facts, bucket, docs, odd
 
 
 def similarity_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -491,9 +506,7 @@ def similarity_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tupl
     text_key, class (null for texts without words).  The work grows with the
     links, as its result does; similarity_components doesn't list them.
     """
-    sets, classes, reps, named, _ = _candidates(docs, width, percent)
-    facts = reps.select("rep", "n", "bitmap")
-    bucket = buckets(reps.select("rep", "n", "zone"), percent)
+    sets, classes, facts, bucket, named, _ = _candidates(docs, width, percent)
     alone = bucket.select("rep").distinct().withColumn("comp", F.col("rep"))
     pairs = materialize(cross_pairs(bucket, facts, alone, percent, False).select("hub", "rep").distinct(), "join-pairs")
     links = verify(named, pairs, width, percent).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
@@ -511,9 +524,7 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
     Representatives go by their doc_id; where ids are null or repeated, by a hash of
     their set, so that each text has its own.
     """
-    sets, classes, reps, docs, odd = _candidates(docs, width, percent)
-    facts = reps.select("rep", "n", "bitmap")
-    bucket = buckets(reps.select("rep", "n", "zone"), percent)
+    sets, classes, facts, bucket, docs, odd = _candidates(docs, width, percent)
     comps = materialize(bucket.select("rep").distinct().withColumn("comp", F.col("rep")), "join-components")
 
     hubs = bucket.groupBy("key").agg(F.min("rep").alias("hub"))
